@@ -2,10 +2,12 @@
 
 QUERIES maps a query's name to a function of (spark, sf_dir); ORACLES has DuckDB SQL for those that SQL expresses."""
 
-from . import quality
+from . import bpe, quality, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.query,
     "op3_quality_rules": quality.query,
+    "op4_byte_bpe": bpe.query,
 }
 
 ORACLES = {
