@@ -2,14 +2,16 @@
 
 QUERIES maps a query's name to a function of (spark, sf_dir); ORACLES has DuckDB SQL for those that SQL expresses."""
 
-from . import bpe, quality, token_counts
+from . import bpe, minhash, quality, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op3_quality_rules": quality.query,
     "op4_byte_bpe": bpe.query,
+    "op10_minhash_near_dedup": minhash.query,
 }
 
 ORACLES = {
     "op3_quality_rules": quality.ORACLE,
+    "op10_minhash_near_dedup": minhash.ORACLE,
 }
