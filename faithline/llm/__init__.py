@@ -2,18 +2,21 @@
 
 QUERIES maps a query's name to a function of (spark, sf_dir); ORACLES has DuckDB SQL for those that SQL expresses."""
 
-from . import bpe, line_dedup, minhash, mixing, quality, token_counts
+from . import bpe, licenses, line_dedup, minhash, mixing, quality, token_counts, topk
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op2_token_counts": token_counts.query,
     "op3_quality_rules": quality.query,
     "op4_byte_bpe": bpe.query,
+    "op5_license_scan": licenses.query,
+    "op6_exact_top_k": topk.query,
     "op8_line_dedup": line_dedup.query,
     "op10_minhash_near_dedup": minhash.query,
 }
 
 ORACLES = {
     "op3_quality_rules": quality.ORACLE,
+    "op6_exact_top_k": topk.ORACLE,
     "op10_minhash_near_dedup": minhash.ORACLE,
 }
