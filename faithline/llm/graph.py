@@ -1,4 +1,4 @@
-"""Connected components by label propagation with shortcuts, every round stored in the shared folder."""
+"""Connected components by repeated contraction, every round stored in the shared folder."""
 
 from __future__ import annotations
 
@@ -11,23 +11,39 @@ from .common import dropped, written
 def components(edges: DataFrame) -> DataFrame:
     """edges (u long, v long) -> (id, label): for every node that has an edge, the smallest node it reaches.
 
-    A round gives each node the least label among its neighbours and then the label of its label, so chains
-    shrink by doubling. Labels and edges never leave the executors; only the count of changes does."""
-    both = written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")), "labels")
+    A round points each node at its smallest neighbour or itself, follows these pointers to their roots by doubling,
+    and replaces the edges by those between different roots. Nodes at least halve each round, a component's smallest
+    node is always a root, and no more is left to do when no edge is. Edges and labels stay on the executors."""
+    edges = written(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("v"), F.col("label").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
-        step = written(labels.join(near, labels["id"] == near["u"]).select(
-            "id", F.col("label").alias("was"), F.least("label", "l").alias("label")), "labels")
-        jump = step.select(F.col("id").alias("r"), F.col("label").alias("far"))
-        new = written(step.join(jump, step["label"] == jump["r"], "left").select(
-            "id", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        dropped(labels)
-        dropped(step)
-        changed = new.filter("label <> was").limit(1).count()
-        labels = new
-        if not changed:
-            dropped(both)
-            out = labels.select("id", "label")
-            out._stored_at = labels._stored_at
-            return out
+        ends = edges.select(F.col("u").alias("id"), F.col("v").alias("n")).union(edges.select(F.col("v").alias("id"), F.col("u").alias("n")))
+        roots = _rooted(written(ends.groupBy("id").agg(F.min("n").alias("n")).select("id", F.least("id", "n").alias("label")), "roots"))
+        if labels is None:
+            new = roots
+        else:
+            far = roots.select(F.col("id").alias("label"), F.col("label").alias("far"))
+            new = written(labels.join(far, "label", "left").select("id", F.coalesce("far", "label").alias("label")), "labels")
+        ru, rv = roots.select(F.col("id").alias("u"), F.col("label").alias("ru")), roots.select(F.col("id").alias("v"), F.col("label").alias("rv"))
+        rest = edges.join(ru, "u").join(rv, "v").filter("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
+        rest = written(rest, "edges")
+        dropped(edges)
+        for t in (labels, roots):
+            if t is not None and t is not new:
+                dropped(t)
+        edges, labels = rest, new
+        if not edges.limit(1).count():
+            dropped(edges)
+            return labels
+
+
+def _rooted(pointers: DataFrame) -> DataFrame:
+    """(id, label) with every label replaced by the root that it leads to."""
+    while True:
+        far = pointers.filter("id <> label").select(F.col("id").alias("label"), F.col("label").alias("far"))
+        out = written(pointers.join(far, "label", "left").select("id", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "roots")
+        dropped(pointers)
+        pointers = out.select("id", "label")
+        pointers._stored_at = out._stored_at
+        if not out.filter("moved").limit(1).count():
+            return pointers
