@@ -17,13 +17,14 @@ import base64
 import functools
 import hashlib
 import heapq
+import re
 
 import regex
 from pyspark.sql import DataFrame
 
 from .common import table
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -31,6 +32,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+#: In texts of these characters alone, ``_LATIN`` cuts as the usual pattern does, by plain character classes.
+_ODD = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]")
+_L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_LATIN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
+_USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class RankQueue:
     """Priority queue of positions by merge rank: 64-way bitmap tree over the ranks, a heap of positions in each
     bucket (equal ranks merge from the left). It is empty again when a pre-token is done, so one serves them all."""
@@ -43,77 +51,104 @@ class RankQueue:
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank >> 6
-            self.low[word] |= 1 << (rank & 63)
+        if bucket is not None:
+            heapq.heappush(bucket, position)
+            return
+        self.buckets[rank] = [position]
+        word = rank >> 6
+        if not self.low[word]:
             self.mid[word >> 6] |= 1 << (word & 63)
             self.top |= 1 << (word >> 6)
-        else:
-            heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, position) of the lowest rank, leftmost first; None if empty."""
-        if not self.top:
-            return None
-        m = (self.top & -self.top).bit_length() - 1
-        w = (m << 6) + (self.mid[m] & -self.mid[m]).bit_length() - 1
-        rank = (w << 6) + (self.low[w] & -self.low[w]).bit_length() - 1
+        self.low[word] |= 1 << (rank & 63)
+
+    def pop(self) -> tuple[int, int]:
+        """(rank, position) of the lowest rank, leftmost first; the queue must not be empty."""
+        top = self.top
+        m = (top & -top).bit_length() - 1
+        mid = self.mid[m]
+        w = (m << 6) + (mid & -mid).bit_length() - 1
+        low = self.low[w]
+        rank = (w << 6) + (low & -low).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[w] &= self.low[w] - 1
-            if not self.low[w]:
-                self.mid[m] &= self.mid[m] - 1
-                if not self.mid[m]:
-                    self.top &= self.top - 1
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heapq.heappop(bucket)
+        del self.buckets[rank]
+        self.low[w] = low = low & (low - 1)
+        if not low:
+            self.mid[m] = mid = mid & (mid - 1)
+            if not mid:
+                self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
+        self.single = [ranks.get(bytes([b])) for b in range(256)]
+        self.pairs: dict[int, int] = {}
         # the library's engine takes \s as the Unicode property White_Space
-        self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.usual = pattern == _USUAL
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
 
+    def find(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        return _LATIN.findall(text) if self.usual and not _ODD.search(text) else self.cut(text)
+
+    def pair(self, a: int, b: int) -> int:
+        """Rank of the token that two tokens make; -1 if none. Kept by pair, as there are few that occur."""
+        key = a << 24 | b
+        rank = self.pairs.get(key)
+        if rank is None:
+            if len(self.pairs) >= CACHE_ENTRIES:
+                self.pairs.clear()
+            rank = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+        return rank
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        part = [piece[i : i + 1] for i in range(n)]
+        queue, pairs, pair, n = self.queue, self.pairs, self.pair, len(piece)
+        push, pop, single = queue.push, queue.pop, self.single
+        part = [single[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         now = [-1] * n  # rank of the pair that starts at a position, as last queued
-
-        def offer(i: int) -> None:
-            j = after[i]
-            rank = ranks.get(part[i] + part[j]) if j < n else None
-            now[i] = -1 if rank is None else rank
-            if rank is not None:
-                queue.push(rank, i)
-
         for i in range(n - 1):
-            offer(i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
+            a, b = part[i], part[i + 1]
+            rank = pairs.get(a << 24 | b)
+            if rank is None:
+                rank = pair(a, b)
+            if rank >= 0:
+                now[i] = rank
+                push(rank, i)
+        while queue.top:
+            rank, i = pop()
             if now[i] != rank:
                 continue  # stale
             j = after[i]
-            part[i] += part[j]
+            part[i] = rank
             now[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
+                new = pair(rank, part[k])
+                now[i] = new
+                if new >= 0:
+                    push(new, i)
+            else:
+                now[i] = -1
+            h = before[i]
+            if h >= 0:
+                new = pair(part[h], rank)
+                now[h] = new
+                if new >= 0:
+                    push(new, h)
         out, i = [], 0
         while i < n:
-            out.append(ranks[part[i]])
+            out.append(part[i])
             i = after[i]
         return out
 
@@ -125,16 +160,21 @@ class Codec:
 
 
 class _Cache(dict):
-    """Pre-token -> make(pre-token); emptied when full."""
+    """Pre-token -> make(pre-token), in two generations of bounded size: what is still in use when the younger one is
+    full survives in the older one, so frequent pre-tokens are never merged again."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -143,6 +183,17 @@ def _codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
+_KEEPERS: dict[tuple[str, str], _Cache] = {}
+
+
+def _keeper(path: str, pattern: str, make) -> _Cache:
+    """The cache of this worker, which outlives its tasks."""
+    if (path, pattern) not in _KEEPERS:
+        _KEEPERS.clear()
+        _KEEPERS[path, pattern] = _Cache(make)
+    return _KEEPERS[path, pattern]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int> for every row."""
     import pyarrow as pa
@@ -179,18 +230,22 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def run(batches):
         codec = _codec(path, pattern)
-        ids_of = _Cache(lambda piece: codec.merge(piece.encode()))
-        said = _Cache(lambda piece: " ".join(map(str, ids_of[piece])))
-        back = _Cache(lambda piece: codec.decode(ids_of[piece]))
+
+        def both(piece):
+            ids = codec.merge(piece.encode())
+            return " ".join(map(str, ids)), codec.decode(ids)
+
+        kept = _keeper(path, pattern, both)
         for b in batches:
             n, ids, decoded = [], [], []
             for t in b.column(1):
                 pieces = codec.find(t.as_py() or "")
-                line = " ".join(map(said.__getitem__, pieces))
+                found = list(map(kept.__getitem__, pieces))
+                line = " ".join([x for x, _ in found])
                 n.append(line.count(" ") + 1 if line else 0)
                 ids.append(hashlib.sha256(line.encode()).hexdigest())
                 h = hashlib.sha256()
-                h.update(b"".join(map(back.__getitem__, pieces)))
+                h.update(b"".join([x for _, x in found]))
                 decoded.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
