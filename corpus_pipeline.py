@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faithline.llm import quality
+from faithline.llm import bpe, line_dedup, minhash, mixing, quality
 from faithline.llm.common import table, written
 
 
@@ -13,11 +13,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filtered(docs)
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier document has; documents of which nothing is left go."""
+    return line_dedup.filtered(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, on shingles of five words at a similarity of 0.8."""
+    return minhash.filtered(docs, minhash.Near(words=5, percent=80))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the temperature mixture passes its source; at least once, at most about twice."""
+    return mixing.mixed(docs, mixing.Mixture(repetition=2.0))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes of what is to be trained on."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("minhash_near_dedup", near_dedup),
+    ("source_mixing", source_mixing),
+    ("byte_bpe", byte_bpe),
 ]
 
-#: The byte-level BPE stage has no SQL form; tests/llm checks the whole run against a brute-force version.
+#: Line dedup within one edit and byte-level BPE have no SQL form; tests/llm checks the whole run by brute force.
 ORACLE_SQL = None
 
 

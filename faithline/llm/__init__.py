@@ -2,7 +2,7 @@
 
 QUERIES maps a query's name to a function of (spark, sf_dir); ORACLES has DuckDB SQL for those that SQL expresses."""
 
-from . import bpe, licenses, line_dedup, minhash, mixing, pii, quality, token_counts, topk
+from . import bpe, licenses, line_dedup, lm_score, minhash, mixing, pii, quality, token_counts, topk
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_top_k": topk.query,
     "op7_pii": pii.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_lm_score": lm_score.query,
     "op10_minhash_near_dedup": minhash.query,
 }
 
