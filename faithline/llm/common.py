@@ -70,6 +70,18 @@ def dropped(df: DataFrame) -> None:
         _OWN[:] = [x for x in _OWN if x[1] != path]
 
 
+#: A side of a join is broadcast only if it is stored in at most so many bytes; beyond that both sides are shuffled.
+BROADCAST_BYTES = 8 << 20
+
+
+def sized(stored: DataFrame) -> DataFrame:
+    """A stored side of a join, marked for broadcasting if its files are known to be small."""
+    spark = stored.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored._stored_at)
+    n = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return F.broadcast(stored) if n <= BROADCAST_BYTES else stored
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once inside an expression: higher-order functions then refer to it without
     computing it again for each element."""

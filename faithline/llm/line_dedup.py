@@ -6,9 +6,10 @@ case; lines under ``min_chars`` characters take no part and stay.
 
 1. Every line becomes a 128-bit hash and an order; equal lines form a class with its earliest place (a hash aggregate).
 2. Two lines within one edit share their first or second half, cut by the shorter one's length. Half keys find the
-   classes that can have a partner at all, without loss; only these fetch their text and emit variants.
+   classes that can have a partner at all, without loss; only these fetch their text. The same argument halves the rest
+   of the line again, LEVELS times, so what is left of a line is a segment that holds the edit, if there is one.
 3. Variants within the edit bound, as hashed keys: the line itself and the line without its i-th character, and for
-   substitutions the latter together with i. Lines that share (variant, i) are all within one edit of each other; a
+   substitutions the latter together with i, for i in such a segment. Lines that share (variant, i) are all within one edit of each other; a
    line that is another's variant is within one edit of it. So the earliest member of a key's group stands for all
    partners in it: groups are aggregated, not expanded to pairs.
 4. The edit distance of each line to its representative is verified; lines go, by their numbers, from their documents.
@@ -22,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, table, written
+from .common import dropped, sized, table, written
 
 MIN_CHARS = 30
+LEVELS = 4
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -51,23 +53,35 @@ def _earlier(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
         F.coalesce(F.bool_or((F.col("side") == s) & (F.col("own") == o)), F.lit(False)).alias(f"{'own' if o else 'long'}_{s}") for s in "ps" for o in (True, False)])
     wanted = written(wanted.join(classes.select("at", "doc_id", "row", "line_no"), "at"), "wanted")
     mine = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    found = mine.join(wanted, "row").filter(F.col("id").eqNullSafe(F.col("doc_id")))
+    found = mine.join(sized(wanted), "row").filter(F.col("id").eqNullSafe(F.col("doc_id")))
     found = found.withColumn("s", F.lower(F.btrim(F.get(F.split("text", "\n", -1), F.col("line_no")), F.lit(" \t\r"))))
     lines = written(found.select("at", "s", "own_p", "own_s", "long_p", "long_s").dropDuplicates(["at"]), "candidates")
 
+    # segments [lo, hi] of the shorter line's m characters; a line is as long (own) or one longer
     n = F.length("s")
-    without = lambda i: F.concat(F.substring(F.col("s"), F.lit(1), i), F.substring(F.col("s"), i + 2, n))
-    half_own, half_long = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    span = lambda yes, a, b: F.when(yes & (b > a), F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
-    zero = F.lit(0)
-    at_own = F.concat(span(F.col("own_s"), zero, half_own), span(F.col("own_p"), half_own, n))
-    at_long = F.concat(span(F.col("long_s"), zero, half_long + 1), span(F.col("long_p"), half_long, n))
-    either = F.col("own_p") | F.col("own_s")
-    variants = F.concat(
-        F.transform(at_own, lambda i: F.struct(F.lit("s").alias("kind"), F.xxhash64(without(i), i).alias("v1"), F.xxhash64(i, without(i)).alias("v2"))),
-        F.transform(at_long, lambda i: F.struct(F.lit("l").alias("kind"), F.xxhash64(without(i), F.lit(-1)).alias("v1"), F.xxhash64(F.lit(-1), without(i)).alias("v2"))),
-        F.when(either, F.array(F.struct(F.lit("o").alias("kind"), F.xxhash64("s", F.lit(-1)).alias("v1"), F.xxhash64(F.lit(-1), "s").alias("v2")))).otherwise(F.array().cast("array<struct<kind:string,v1:bigint,v2:bigint>>")))
-    emitted = lines.select("at", F.explode(variants).alias("v")).select("at", "v.*")
+    parts = []
+    for own in (True, False):
+        m = n if own else n - 1
+        half = F.floor(m / 2).cast("int")
+        for side, lo, hi in (("p", half, m), ("s", F.lit(0), half)):
+            parts.append(F.when(F.col(f"{'own' if own else 'long'}_{side}"), F.struct(F.lit(own).alias("own"), m.alias("m"), lo.alias("lo"), hi.alias("hi"))))
+    segments = lines.select("at", "s", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("at", "s", "p.*")
+    for _ in range(LEVELS):
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        segments = segments.select("at", "s", "own", "m", F.explode(F.array(
+            F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct(mid.alias("lo"), F.col("hi").alias("hi")))).alias("p")).select("at", "s", "own", "m", "p.*")
+        outside = F.xxhash64(F.substring(F.col("s"), F.lit(1), F.col("lo")), F.right(F.col("s"), F.col("m") - F.col("hi")), "m", "lo")
+        segments = written(segments.withColumn("key", outside), "segments")
+        alive = segments.groupBy("key").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_long")).filter("n_own > 1 or (n_own > 0 and n_long > 0)")
+        segments = segments.join(alive.select("key"), "key", "left_semi").drop("key")
+
+    without = lambda i: F.concat(F.substring(F.col("s"), F.lit(1), i), F.substring(F.col("s"), i + 2, F.length("s")))
+    empty = F.array().cast("array<struct<kind:string,v1:bigint,v2:bigint>>")
+    over = lambda kind, last, key: F.transform(F.sequence(F.col("lo"), last), lambda i: F.struct(F.lit(kind).alias("kind"), F.xxhash64(without(i), key(i)).alias("v1"), F.xxhash64(key(i), without(i)).alias("v2")))
+    itself = F.array(F.struct(F.lit("o").alias("kind"), F.xxhash64("s", F.lit(-1)).alias("v1"), F.xxhash64(F.lit(-1), "s").alias("v2")))
+    variants = F.when(F.col("own"), F.concat(F.when(F.col("hi") > F.col("lo"), over("s", F.col("hi") - 1, lambda i: i)).otherwise(empty), itself)).otherwise(
+        over("l", F.col("hi"), lambda i: F.lit(-1)))
+    emitted = written(segments.select("at", F.explode(variants).alias("v")).select("at", "v.*").distinct(), "variants")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("at"))).alias(f"least_{kind}")
     groups = emitted.groupBy("v1", "v2").agg(least("s"), least("o"), least("l"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     mate = F.when(F.col("kind") == "s", F.col("least_s")).when(F.col("kind") == "o", F.col("least_l")).otherwise(F.col("least_o"))
@@ -98,8 +112,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Every row of ``docs`` with its text less the dropped lines, and n_lines, n_dropped."""
-    gone = dropped_lines(docs, id_col, text_col, min_chars).distinct().groupBy("doc_id", "row").agg(F.collect_list("line_no").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__gone")
+    lines = dropped_lines(docs, id_col, text_col, min_chars).distinct().groupBy("doc_id", "row").agg(F.collect_list("line_no").alias("__gone"))
+    gone = sized(written(lines.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__gone"), "gone"))
     keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
     out = keyed.join(gone, (F.col("__key") == F.col("__row")) & docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
