@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, table, written
+from .common import dropped, sized, table, written
 from .graph import components
 
 HASHES, BITS, ROWS, SMALL, BLOCK = 256, 2, 5, 64, 2048
@@ -301,7 +301,7 @@ def _best(stars: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
 def filtered(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first document of every component, all columns."""
     gone = near_duplicates(docs, near, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    return docs.join(sized(written(gone, "near-copies")), docs[id_col].cast("long") == F.col("__id"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import let, sized, table, written
 from .quality import words_of
 
 ROUNDS = 24
@@ -112,7 +112,7 @@ def _realised(d: DataFrame, repeat: Column) -> DataFrame:
 def mixed(docs: DataFrame, mix: Mixture = Mixture(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mixture takes it."""
     copies = plan(docs, mix, id_col, text_col, source_col).groupBy("doc_id", "row").agg(F.max("copies").alias("__copies"))
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__copies")
+    copies = sized(written(copies.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__copies"), "copies"))
     keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
     out = keyed.join(copies, (F.col("__key") == F.col("__row")) & docs[id_col].eqNullSafe(F.col("__id")))
     again = F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("__copies"))).otherwise(F.array().cast("array<bigint>")))

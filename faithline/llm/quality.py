@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import let, sized, table, written
 
 _POS_BITS = 21
 
@@ -146,7 +146,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def filtered(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that pass, with all their columns. Only the rejected keys travel to the anti join."""
-    bad = judge(docs, rules, id_col, text_col, host_col).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    verdicts = judge(docs, rules, id_col, text_col, host_col).filter("not kept")
+    bad = sized(written(verdicts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "rejected"))
     return docs.join(bad, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left_anti")
 
 
