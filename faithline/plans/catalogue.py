@@ -1,6 +1,7 @@
 """All queries over the reference's own operators."""
 
-from . import dsl_queries
+from . import dsl_queries, eval_queries, text_queries
 
-QUERIES = {**dsl_queries.QUERIES}
-ORACLES = {**dsl_queries.ORACLES}
+_PARTS = (dsl_queries, text_queries, eval_queries)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
