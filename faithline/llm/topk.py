@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-BLOCK, QUERIES, STRETCHES = 8192, 256, 16
+BLOCK, QUERIES, STRETCHES = 8192, 256, 4
 
 
 def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -32,66 +32,64 @@ def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFr
 
 
 def _matrix(column, width: int):
+    """Integer vectors as rows, padded with zeros to one width."""
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.list_value_length(c).to_numpy(zero_copy_only=False)
+    flat = c.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), width), np.int64)
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat
     return out
 
 
 class SortedLists:
-    """A block's vectors with one ascending list per dimension."""
+    """A block's vectors with one sorted list per dimension. A list read down to a depth has given all entries at or
+    beyond the last value read; of the others that value is the better bound and the list's far end the worse one. For
+    all queries of a block at once, both bounds are then products with the so bounded vectors."""
 
-    def __init__(self, ids, vectors):
+    def __init__(self, ids, vectors, largest_query: int = 0):
         import numpy as np
 
-        self.np, self.ids, self.vectors = np, ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(vectors, self.order, axis=0)
-        self.place = np.empty(self.order.shape, np.int32)
-        np.put_along_axis(self.place, self.order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+        self.np, self.ids = np, ids
+        reach = int(np.abs(vectors).max(initial=0)) * largest_query * max(1, vectors.shape[1])
+        self.exact = np.float64 if reach < 1 << 53 else np.int64  # doubles hold these sums exactly
+        self.vectors = vectors.astype(self.exact)
+        self.lists = np.sort(self.vectors, axis=0)
         self.reads = 0
 
-    def best(self, query, own_id: int, k: int):
-        """(ids, scores) of the k best, best first, without the query's own id."""
-        np, n = self.np, len(self.ids)
-        dims = np.flatnonzero(query)
-        out = self.ids == own_id
-        k = min(k, int(n - out.sum()))
-        if k <= 0:
-            return [], []
-        if not len(dims):
-            kept = np.flatnonzero(~out)
-        else:
-            q = query[dims]
-            up = q > 0  # these lists are read from their large end
-            worst = q * np.where(up, self.values[0, dims], self.values[-1, dims])
-            known = np.full(n, worst.sum(), np.int64)  # lower bounds: all components unread
-            step = max(1, -(-n // STRETCHES))
-            place = self.place[:, dims]
-            depth = 0
-            while True:
-                depth, was = min(n, depth + step), depth
-                for d, c, rising, w in zip(dims.tolist(), q.tolist(), up.tolist(), worst.tolist(), strict=True):
-                    span = slice(n - depth, n - was) if rising else slice(was, depth)
-                    known[self.order[span, d]] += c * self.values[span, d] - w
-                self.reads += (depth - was) * len(dims)
-                if depth == n:
-                    upper = known
-                else:
-                    last = q * np.where(up, self.values[n - depth, dims], self.values[depth - 1, dims])
-                    unread = np.where(up[None, :], place < n - depth, place >= depth)
-                    upper = known + unread @ (last - worst).astype(np.float64)
-                lower = np.where(out, np.iinfo(np.int64).min, known)
-                floor = np.partition(lower, n - k)[n - k]
-                kept = np.flatnonzero((upper >= floor) & ~out)
-                if depth == n or len(kept) <= 8 * k:
-                    break
-        scores = self.vectors[kept] @ query
-        order = np.lexsort((self.ids[kept], -scores))[:k]
-        return self.ids[kept][order].tolist(), scores[order].tolist()
+    def best(self, queries, own_ids, k: int):
+        """For each query (ids, scores) of its k best, best first, without its own id."""
+        np, n, v = self.np, len(self.ids), self.vectors
+        queries = queries.astype(self.exact)
+        rising, falling = np.maximum(queries, 0), np.minimum(queries, 0)
+        out: list = [([], [])] * len(queries)
+        open_ = np.arange(len(queries))
+        least = np.iinfo(np.int64).min if self.exact is np.int64 else -np.inf
+        for stretch in range(1, STRETCHES + 1):
+            depth = -(-n * stretch // STRETCHES)
+            top, bottom = self.lists[n - depth], self.lists[depth - 1]
+            up, down = rising[open_], falling[open_]
+            self.reads += depth * int(np.count_nonzero(queries[open_]))
+            upper = up @ np.maximum(v, top).T + down @ np.minimum(v, bottom).T
+            lower = up @ np.where(v >= top, v, self.lists[0]).T + down @ np.where(v <= bottom, v, self.lists[-1]).T
+            mine = own_ids[open_][:, None] == self.ids[None, :]
+            lower[mine] = least
+            upper[mine] = least
+            kth = np.partition(lower, max(0, n - k), axis=1)[:, max(0, n - k)]
+            kept = (upper >= kth[:, None]) & ~mine
+            done = (kept.sum(axis=1) <= 8 * k) | (stretch == STRETCHES)
+            for i in np.flatnonzero(done):
+                rows = np.flatnonzero(kept[i])
+                scores = v[rows] @ queries[open_[i]]
+                order = np.lexsort((self.ids[rows], -scores))[:k]
+                out[open_[i]] = (self.ids[rows][order].tolist(), [int(x) for x in scores[order]])
+            open_ = open_[~done]
+            if not len(open_):
+                break
+        return out
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -111,9 +109,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_co
 
         out: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
-            lists = SortedLists(np.array(right.column("id").to_pylist(), np.int64), _matrix(right.column("v"), width))
-            for own_id, q in zip(left.column("id").to_pylist(), _matrix(left.column("v"), width), strict=True):
-                out += [(own_id, i, s) for i, s in zip(*lists.best(q, own_id, k), strict=True)]
+            own_ids, queries = left.column("id").to_numpy(), _matrix(left.column("v"), width)
+            lists = SortedLists(right.column("id").to_numpy(), _matrix(right.column("v"), width), int(np.abs(queries).max(initial=0)))
+            for own_id, found in zip(own_ids.tolist(), lists.best(queries, own_ids, k), strict=True):
+                out += [(own_id, i, s) for i, s in zip(*found, strict=True)]
         return pa.table({name: pa.array([x[i] for x in out], pa.int64()) for i, name in enumerate(("query_id", "vec_id", "score"))})
 
     found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(run, "query_id long, vec_id long, score long")
