@@ -40,8 +40,8 @@ GOLDEN = [
 def family(spark, tables):
     names = list(tables[0])
     rows = [(t, r, *[table[c][r] for c in names]) for t, table in enumerate(tables) for r in range(len(table[names[0]]))]
-    schema = ", ".join(["t int", "__row long", *[f"`{c}` string" for c in names]])
-    return Family(spark.createDataFrame(rows, schema), ("t",))
+    schema = ", ".join(["key int", "__row long", *[f"`{c}` string" for c in names]])
+    return Family(spark.createDataFrame(rows, schema), ("key",))
 
 
 @pytest.mark.parametrize("columns,program,final", GOLDEN, ids=[g[1][:40] for g in GOLDEN])
@@ -88,15 +88,15 @@ def test_compiler_against_interpreter(spark):
     f = family(spark, tables)
     f = Family(f.df.cache(), f.keys)
     for p in PROGRAMS:
-        got = {r.t: (r.final, r.executable) for r in run(p, f).collect()}
+        got = {r.key: (r.final, r.executable) for r in run(p, f).collect()}
         for t, table in enumerate(tables):
             assert got[t] == interpreter.execute(p, table), (p, table)
 
 
 def test_column_of_programs(spark):
     f = family(spark, [{"x": ["1", "2"]}, {"x": ["a", ""]}])
-    programs = spark.createDataFrame([(0, "eq{max{all_rows; x}; 2}=True"), (1, "only{all_rows}=False"), (1, "eq{max{all_rows; x}; 2}=True")], "t int, program string")
-    got = {(r.t, r.program): (r.final, r.executable) for r in interpreter.run_column(programs, f).collect()}
+    programs = spark.createDataFrame([(0, "eq{max{all_rows; x}; 2}=True"), (1, "only{all_rows}=False"), (1, "eq{max{all_rows; x}; 2}=True")], "key int, program string")
+    got = {(r.key, r.program): (r.final, r.executable) for r in interpreter.run_column(programs, f).collect()}
     assert got == {(0, "eq{max{all_rows; x}; 2}=True"): (True, True), (1, "only{all_rows}=False"): (True, True), (1, "eq{max{all_rows; x}; 2}=True"): (None, False)}
 
 
