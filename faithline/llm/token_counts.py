@@ -123,6 +123,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     new = encoded(texts, tokenizer_path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     counts = _cached(spark, cache, version)
+    if counts is None:  # an empty table
+        counts = new.limit(0)
     return keyed.join(counts, "digest", "left").select(
         F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
