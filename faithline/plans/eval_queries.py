@@ -42,12 +42,12 @@ def baseline(r: DataFrame) -> DataFrame:
 
 
 #: A hash that both engines compute, to pick one edit.
-ORDER = F.expr("(idx * 97 + edit_no * 31) % 1009")
+ORDER = "(idx * 97 + edit_no * 31) % 1009"
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = runs(spark, sf_dir)
-    return faithfulness.fact_table(r, edits(r), ORDER)
+    return faithfulness.fact_table(r, edits(r), F.expr(ORDER))
 
 
 _WITH = "WITH runs AS (" + RUNS.replace("$labels", "labels") + "), edits AS (" + EDITS.replace("$runs", "runs") + "), base AS (" + BASELINE.replace("$runs", "runs") + """),

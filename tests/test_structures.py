@@ -71,7 +71,7 @@ def test_faithful_and_stubborn(spark):
 
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     r = spark.sql(e.RUNS.replace("$labels", "{labels}"), labels=labels).filter("status = 'correct'")
-    facts = faithfulness.fact_table(r, e.edits(r), e.ORDER)
+    facts = faithfulness.fact_table(r, e.edits(r), F.expr(e.ORDER))
     got = {x.model: (x.i, x.s) for x in facts.groupBy("model").agg(F.avg(F.col("f_id").cast("int")).alias("i"), F.avg(F.col("f_strong").cast("int")).alias("s")).collect()}
     assert got["faithful"] == (1.0, 1.0) and got["stubborn"] == (1.0, 0.0) and 0 < got["noisy"][1] < 1
 
