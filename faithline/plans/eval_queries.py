@@ -65,8 +65,8 @@ def _add(name, query, sql):
     QUERIES[name], ORACLES[name] = query, _WITH + sql
 
 
-_hit = F.when(F.col("status") != "error", (F.col("y_before") == F.col("gold")).cast("int"))
-_add("eval_summarize", lambda s, d: metrics.summarize(runs(s, d).withColumn("x", _hit), "x", RUN).withColumn("std", F.round("std", 6)),
+_hit = lambda: F.when(F.col("status") != "error", (F.col("y_before") == F.col("gold")).cast("int"))
+_add("eval_summarize", lambda s, d: metrics.summarize(runs(s, d).withColumn("x", _hit()), "x", RUN).withColumn("std", F.round("std", 6)),
      f"SELECT {_G}, avg(x) AS mean, round(stddev_pop(x), 6) AS std, count(*) AS n_total, count(x) AS n_valid, count(*) - count(x) AS n_none FROM (SELECT *, CASE WHEN status <> 'error' THEN (y_before = gold)::INT END AS x FROM runs) GROUP BY {_G}")
 for _over, _sql in ((False, "count(*) FILTER (WHERE status <> 'error')"), (True, "count(*)")):
     _add("eval_counts_all" if _over else "eval_counts", lambda s, d, o=_over: metrics.counts(runs(s, d), RUN, over_all=o),
