@@ -9,8 +9,8 @@ from faithline.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules and their host's verdict."""
-    return quality.filtered(docs)
+    """Documents that pass the quality rules, the limits of gross failure and their host's verdict."""
+    return quality.filtered(docs, quality.STRICT)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Every document gets word statistics and a set of rule flags. Failures are summed by host (the ``source``
 column), each host's failure rate is shrunk towards the corpus by a beta prior fitted to all hosts by the
 method of moments, and the host's verdict goes back to its documents: on a host whose shrunken rate is over
-``max_rate`` a document has to pass every rule, elsewhere only the base rule.
+``max_rate``, or ``host_sds`` standard deviations of the prior above its mean, a document has to pass every rule,
+elsewhere only the base rule and no soft rule's limit by a factor of ``gross``.
 
 All built-in functions; the word arrays stay inside the row, so nothing of the texts is shuffled.
 Defined results: a null text has no words; a null host is a host of its own; repeated rows are rows of their
@@ -31,6 +32,12 @@ class Rules:
     min_word_chars: int = 2  # mean length of a word
     max_word_chars: int = 15
     max_rate: float = 0.5  # shrunken failure rate over which a host is strict
+    host_sds: float = 0  # a host is strict, too, that many standard deviations of the prior above its mean; 0: not by this
+    gross: int = 0  # a document fails by itself that many times beyond the limit of a soft rule; 0: never
+
+
+#: What the pipeline goes by. The query's SQL fixes Rules(), under which no host at realistic rates is strict.
+STRICT = Rules(host_sds=2, gross=3)
 
 
 def words_of(text: Column) -> Column:
@@ -101,7 +108,12 @@ def statistics(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
         (100 * F.col("n_symbols") > rules.max_symbol_pct * F.col("n_words"))
         | (100 * F.col("n_dup_lines") > rules.max_dup_line_pct * F.col("n_lines"))
         | (F.col("word_chars") < rules.min_word_chars * F.col("n_words")) | (F.col("word_chars") > rules.max_word_chars * F.col("n_words")))
-    return d.withColumns({"base_failed": base, "any_failed": base | soft})
+    g = rules.gross
+    gross = F.lit(False) if not g else (
+        (100 * F.col("n_symbols") > g * rules.max_symbol_pct * F.col("n_words"))
+        | (100 * F.col("n_dup_lines") > min(g * rules.max_dup_line_pct, (100 + rules.max_dup_line_pct) // 2) * F.col("n_lines"))
+        | (g * F.col("word_chars") < rules.min_word_chars * F.col("n_words")) | (F.col("word_chars") > g * rules.max_word_chars * F.col("n_words")))
+    return d.withColumns({"base_failed": base, "any_failed": base | soft, "gross_failed": gross})
 
 
 def host_rates(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -121,7 +133,10 @@ def host_rates(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     between = F.greatest(var - noise, F.lit(1e-6))
     prior = moments.select(m.alias("m"), F.greatest(m * (1 - m) / between - 1, F.lit(1.0)).alias("s"))
     rate = (F.col("n_failed") + F.col("m") * F.col("s")) / (F.col("n_docs") + F.col("s"))
-    return h.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > rules.max_rate).alias("strict"))
+    strict = rate > rules.max_rate
+    if rules.host_sds:
+        strict = strict | (rate > F.col("m") + rules.host_sds * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("s") + 1)))
+    return h.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"), strict.alias("strict"))
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -136,7 +151,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
     left = stats.withColumns({"key": key(F.col("host")), "salt": F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int")})
     right = hosts.select(key(F.col("host")).alias("key"), "salt", F.col("rate").alias("host_rate"), F.col("strict").alias("host_strict"))
     return left.join(right, ["key", "salt"], "left").drop("key", "salt").withColumn(
-        "kept", ~F.col("base_failed") & ~(F.col("host_strict") & F.col("any_failed")))
+        "kept", ~F.col("base_failed") & ~F.col("gross_failed") & ~(F.col("host_strict") & F.col("any_failed")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -106,6 +106,20 @@ def test_host_verdict_makes_strict(spark):
     assert kept == set(range(100)) | {1000}
 
 
+def test_strict_at_realistic_rates(spark):
+    """In the pipeline, hosts of 18 per cent failures keep their moderate soft failures, one of 45 per cent does not, gross failures go from any host."""
+    import corpus_pipeline
+
+    soft, gross, lines = BASE + " # " * 10, BASE + " # " * 60, "\n".join(f"{BASE} {i}" for i in [0, 1, *[2] * 8])
+    rows = [(1000 * h + i, soft if i < (45 if h == 19 else 18) else BASE, "en", f"s{h}", 1) for h in range(20) for i in range(100)]
+    rows += [(90_000, gross, "en", "s0", 1), (90_001, soft + "\n" + lines, "en", "s0", 1)]
+    docs = spark.createDataFrame(rows, DDL)
+    assert {r.host for r in quality.host_rates(quality.statistics(docs, quality.STRICT), quality.STRICT).filter("strict").collect()} == {"s19"}
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {19_000 + i for i in range(45)} - {90_000, 90_001}
+    assert quality.judge(docs).filter("kept").count() == quality.judge(docs).filter("not base_failed").count()  # the query, as its SQL has it
+
+
 def test_bpe(spark, odd, none):
     import public_tokenizers
     import tiktoken
