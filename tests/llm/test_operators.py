@@ -275,6 +275,46 @@ def test_lm_score(spark, odd, none):
     assert lm_score.scores(none).count() == 0 and lm_score.scores(odd).count() == len(ODD)
 
 
+def test_lm_score_sees_order(spark):
+    """Held-out texts score above the base and above their own words in another order; a twin in training is known."""
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    after = {w: rng.sample(names, 2) for w in names}
+
+    def walk():
+        w = [rng.choice(names)]
+        while len(w) < 60:
+            w.append(rng.choice(after[w[-1]]))
+        return w
+    rows, pairs = [(i, " ".join(walk())) for i in range(400)], []
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    for d in [d for d in range(1000, 1400) if held(d)][:30]:
+        w = walk()
+        pairs.append((d, d + 10_000))
+        rows += [(d, " ".join(w)), (d + 10_000, " ".join(rng.sample(w, len(w))))]
+    lone = [d for d in range(30_000, 30_100) if not held(d)][:3]
+    new = [" ".join("".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(40)) for _ in range(2)]
+    rows += [(lone[0], new[0]), (lone[1], new[1]), (lone[2], new[1])]
+    r = {x.doc_id: x for x in lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    in_order, shuffled = [sum(r[p[k]].score for p in pairs) for k in (0, 1)]
+    assert in_order > 0.7 * shuffled and in_order > 0.7 * sum(r[d].base_score for d, _ in pairs)
+    assert r[lone[1]].bits_per_byte < 0.5 * r[lone[0]].bits_per_byte
+
+
+def test_lm_score_pieces():
+    """A text of several pieces is every byte once, and its contexts go on over the cuts."""
+    t = b"the cat sat on the mat and "
+    long = lm_score._running((t * 5000).decode())
+    got = list(lm_score._pieces([b"x \xff", long, b"\xff"]))
+    assert sum(len(p) - k for i, ps, sk in got for j, p, k in zip(i, ps, sk) if j == 1) == len(long) and len(got) > 3
+    s = lm_score.Speller()
+    whole = s.bits([long], b"")[0]
+    parts = [s.bits(ps, b"", sk)[0] for _, ps, sk in lm_score._pieces([long])]
+    import numpy as np
+
+    assert (np.concatenate(parts, axis=1) == whole).all()
+
+
 def test_speller_learns():
     """The mixture of orders codes words of the training language in far fewer bits than other words."""
     import numpy as np
