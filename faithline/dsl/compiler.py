@@ -8,6 +8,7 @@ Errors are values: every node carries a condition under which it fails, and a pr
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -51,6 +52,8 @@ class Value:
     # hop over rows
     rows: Value | None = None
     name: str | None = None
+    # names this value in the keys of aggregates; an address could be another value's later on
+    uid: int = field(default_factory=itertools.count().__next__)
 
 
 def _any(*errors: Column | None) -> Column | None:
@@ -128,7 +131,7 @@ class Compiler:
         return norm_text(v.col.cast("string"))
 
     def count(self, rows: Value) -> Column:
-        return self.agg(("count", id(rows)), F.count_if(rows.where))
+        return self.agg(("count", rows.uid), F.count_if(rows.where))
 
     def distinct_over(self, t: Column) -> Column:
         """Rows whose text did not occur above them in their table, to count over a window."""
@@ -139,10 +142,10 @@ class Compiler:
 
     def first_cell(self, hop: Value) -> Column:
         c, w = hop.name, hop.rows.where
-        return self.agg(("cell", id(hop.rows), c), F.min_by(F.when(w, self.raw(c)), F.when(w, self.row)))
+        return self.agg(("cell", hop.rows.uid, c), F.min_by(F.when(w, self.raw(c)), F.when(w, self.row)))
 
     def cells(self, hop: Value) -> Column:
-        pairs = self.agg(("cells", id(hop.rows), hop.name), F.collect_list(F.when(hop.rows.where, F.struct(self.row.alias("r"), self.raw(hop.name).alias("v")))))
+        pairs = self.agg(("cells", hop.rows.uid, hop.name), F.collect_list(F.when(hop.rows.where, F.struct(self.row.alias("r"), self.raw(hop.name).alias("v")))))
         return F.transform(F.array_sort(pairs), lambda x: x["v"])
 
     @staticmethod
@@ -290,7 +293,7 @@ class Compiler:
             return Value("text", F.coalesce(base.pick(col), F.lit("")))
         self.lift()
         at = F.when(self.row == base.col, self.raw(col))
-        got = self.agg(("at", id(base), col), F.max(at))
+        got = self.agg(("at", base.uid, col), F.max(at))
         return Value("text", got, got.isNull())
 
     def _extreme(self, c: Value, col: str, largest: bool) -> Value:
@@ -299,7 +302,7 @@ class Compiler:
         counts = c.where & n.isNotNull()
         by = F.struct(n, -self.row) if largest else F.struct(n, self.row)
         choose = F.max_by if largest else F.min_by
-        key = ("extreme", id(c), col, largest)
+        key = ("extreme", c.uid, col, largest)
 
         def of(what: Column, tag: object) -> Column:
             best = self.agg((*key, tag), choose(what, F.when(counts & ~F.isnan(n), by)))
@@ -326,8 +329,8 @@ class Compiler:
         c = self.rowset(c)
         choose, key = (F.min_by, "top") if name == "top" else (F.max_by, "bottom")
         at = F.when(c.where, self.row)
-        row = self.agg((key, id(c)), (F.min if name == "top" else F.max)(at))
-        return Value("row", row, row.isNull(), pick=lambda f: self.agg((key, id(c), f), choose(self.raw(f), at)))
+        row = self.agg((key, c.uid), (F.min if name == "top" else F.max)(at))
+        return Value("row", row, row.isNull(), pick=lambda f: self.agg((key, c.uid, f), choose(self.raw(f), at)))
 
     do_bottom = do_top
 
@@ -343,8 +346,8 @@ class Compiler:
         if k == 0:
             return Value("bool", F.coalesce(self.do_top("top", c).col == d.col, F.lit(False)), d.error)
         self.lift()
-        ahead = self.agg(("ahead", id(c), id(d)), F.count_if(c.where & (self.row < d.col)))
-        within = self.agg(("member", id(c), id(d)), F.coalesce(F.bool_or(c.where & (self.row == d.col)), F.lit(False)))
+        ahead = self.agg(("ahead", c.uid, d.uid), F.count_if(c.where & (self.row < d.col)))
+        within = self.agg(("member", c.uid, d.uid), F.coalesce(F.bool_or(c.where & (self.row == d.col)), F.lit(False)))
         return Value("bool", within & (ahead == k), d.error)
 
     do_first = do_second = do_third = do_fourth = do_fifth = _nth
@@ -390,7 +393,7 @@ class Compiler:
         if col is None:
             return Value("number", F.lit(0.0), self.missing(c) if name == "sum" else F.lit(True))
         n = F.when(c.where, self.number(col))
-        got = self.agg((name, id(c), col), {"sum": F.sum, "avg": F.avg}[name](n))
+        got = self.agg((name, c.uid, col), {"sum": F.sum, "avg": F.avg}[name](n))
         return Value("number", F.coalesce(got, F.lit(0.0))) if name == "sum" else Value("number", got, got.isNull())
 
     do_avg = do_sum
@@ -400,7 +403,7 @@ class Compiler:
         if col is None:
             return Value("number", F.lit(None).cast("double"), F.lit(True))
         if col in self.numeric:
-            got = self.agg((name, id(c), col), (F.max if name == "max" else F.min)(F.when(c.where, self.number(col))))
+            got = self.agg((name, c.uid, col), (F.max if name == "max" else F.min)(F.when(c.where, self.number(col))))
             return Value("number", got, got.isNull())
         best = self._extreme(c, col, name == "max")
         return Value("number", parse_number(best.pick(col)), best.error)
@@ -413,8 +416,8 @@ class Compiler:
             return Value("number", F.lit(0.0), self.missing(c) if name == "uniq" else F.lit(True))
         t = F.when(c.where, self.text(col))
         if name == "uniq":
-            return Value("number", self.agg(("uniq", id(c), col), F.count_distinct(t), lambda: self.distinct_over(t)).cast("double"))
-        got = self.agg(("mode", id(c), col), F.mode(t, True))
+            return Value("number", self.agg(("uniq", c.uid, col), F.count_distinct(t), lambda: self.distinct_over(t)).cast("double"))
+        got = self.agg(("mode", c.uid, col), F.mode(t, True))
         return Value("text", got, got.isNull())
 
     do_most_freq = do_uniq
@@ -427,7 +430,7 @@ class Compiler:
             return Value("bool", F.lit(name == "not_within"), self.missing(c))
         v, error = self._plain(c, v)
         hit = self.same(self.number(col), self.text(col), self.to_number(v), self.to_text(v))
-        got = self.agg(("within", id(c), col, id(v)), F.coalesce(F.bool_or(c.where & hit), F.lit(False)))
+        got = self.agg(("within", c.uid, col, v.uid), F.coalesce(F.bool_or(c.where & hit), F.lit(False)))
         return Value("bool", ~got if name == "not_within" else got, error)
 
     do_not_within = do_any_eq = do_within
@@ -471,7 +474,7 @@ class Compiler:
         if op in ("eq", "not_eq"):
             v, error = self._plain(c, v)
             hit = self.same(self.number(col), self.text(col), self.to_number(v), self.to_text(v))
-            return Value("bool", self.agg((name, id(c), col, id(v)), F.coalesce(F.bool_and(F.when(c.where, hit if op == "eq" else ~hit)), F.lit(True))), error)
+            return Value("bool", self.agg((name, c.uid, col, v.uid), F.coalesce(F.bool_and(F.when(c.where, hit if op == "eq" else ~hit)), F.lit(True))), error)
         if v.kind in ("hop", "rows"):
             plain = self.scalar(v)
             v = Value("text", F.when(plain.error, F.lit(None)).otherwise(plain.col))
@@ -479,8 +482,8 @@ class Compiler:
             self.lift()
         n, m = self.number(col), self.to_number(v)
         bad = n.isNull() | m.isNull()
-        fails = self.agg((name, id(c), col, id(v), "no"), F.min(F.when(c.where & ~bad & ~F.coalesce(self.ordered(op, n, m), F.lit(False)), self.row)))
-        breaks = self.agg((name, id(c), col, id(v), "bad"), F.min(F.when(c.where & bad, self.row)))
+        fails = self.agg((name, c.uid, col, v.uid, "no"), F.min(F.when(c.where & ~bad & ~F.coalesce(self.ordered(op, n, m), F.lit(False)), self.row)))
+        breaks = self.agg((name, c.uid, col, v.uid, "bad"), F.min(F.when(c.where & bad, self.row)))
         return Value("bool", fails.isNull(), F.coalesce(breaks < fails, breaks.isNotNull()))
 
     def _all_of_list(self, op: str, c: Value, v: Value) -> Value:
