@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by a hierarchical-bitmap rank queue.
 
 Text is cut by the pre-token pattern; each pre-token's bytes form a linked list whose adjacent pairs queue under
-their merge rank. A bucket per rank holds the list positions; a bitmap of three levels over the ranks finds the
-lowest non-empty bucket by find-first-set. Popped entries whose pair has changed since are stale and skipped, so
+their merge rank. A bucket per rank holds the list positions; a two-level bitmap over the ranks finds the lowest
+non-empty bucket by find-first-set. Popped entries whose pair has changed since are stale and skipped, so
 nothing is ever searched for deletion. The work is O(n) queue steps for a pre-token of n bytes, however long.
 
-Equal pre-tokens are merged once per worker (a cache of bounded size). Runs as one map over Arrow batches: no
+Equal pre-tokens are mostly merged once per task (a cache of bounded bytes, freed with the task). Runs as one map over Arrow batches: no
 shuffle, and only the id and text columns are read.
 Defined results: a null text is the empty text (no ids; empty bytes); each row gives one row, repeated rows
 included; an empty table gives an empty result; other columns are ignored.
@@ -16,15 +16,18 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
+import itertools
 import re
+from heapq import heappop, heappush
 
 import regex
 from pyspark.sql import DataFrame
 
 from .common import table
 
-CACHE_ENTRIES = 500_000
+#: A task's cache: bytes of a generation as reckoned by an entry's size, and the longest pre-token that it keeps.
+CACHE_BYTES, CACHE_CHARS, ENTRY_BYTES = 36 << 20, 64, 120
+STRETCH = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,117 +42,75 @@ _LATIN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^\\s{_L}{_N}]+
 _USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class RankQueue:
-    """Priority queue of positions by merge rank: 64-way bitmap tree over the ranks, a heap of positions in each
-    bucket (equal ranks merge from the left). It is empty again when a pre-token is done, so one serves them all."""
-
-    def __init__(self, n_ranks: int):
-        self.low = [0] * (n_ranks // 64 + 1)
-        self.mid = [0] * (len(self.low) // 64 + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        if not self.low[word]:
-            self.mid[word >> 6] |= 1 << (word & 63)
-            self.top |= 1 << (word >> 6)
-        self.low[word] |= 1 << (rank & 63)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position) of the lowest rank, leftmost first; the queue must not be empty."""
-        top = self.top
-        m = (top & -top).bit_length() - 1
-        mid = self.mid[m]
-        w = (m << 6) + (mid & -mid).bit_length() - 1
-        low = self.low[w]
-        rank = (w << 6) + (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heapq.heappop(bucket)
-        del self.buckets[rank]
-        self.low[w] = low = low & (low - 1)
-        if not low:
-            self.mid[m] = mid = mid & (mid - 1)
-            if not mid:
-                self.top = top & (top - 1)
-        return rank, bucket[0]
-
-
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
-        self.single = [ranks.get(bytes([b])) for b in range(256)]
-        self.pairs: dict[int, int] = {}
         # the library's engine takes \s as the Unicode property White_Space
         self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.usual = pattern == _USUAL
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        # the lower level of the bitmap over the ranks; all zeros again whenever a pre-token is done
+        self.low = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
 
     def find(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
         return _LATIN.findall(text) if self.usual and not _ODD.search(text) else self.cut(text)
 
-    def pair(self, a: int, b: int) -> int:
-        """Rank of the token that two tokens make; -1 if none. Kept by pair, as there are few that occur."""
-        key = a << 24 | b
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) >= CACHE_ENTRIES:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return rank
-
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self.ranks.get(piece)
+        """Ids of one pre-token. The queue's steps stand in line here, as calls would cost more than they do."""
+        ranks = self.ranks.get
+        whole = ranks(piece)
         if whole is not None:
             return [whole]
-        queue, pairs, pair, n = self.queue, self.pairs, self.pair, len(piece)
-        push, pop, single = queue.push, queue.pop, self.single
-        part = [single[b] for b in piece]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        now = [-1] * n  # rank of the pair that starts at a position, as last queued
-        for i in range(n - 1):
-            a, b = part[i], part[i + 1]
-            rank = pairs.get(a << 24 | b)
-            if rank is None:
-                rank = pair(a, b)
-            if rank >= 0:
+        n, low, top = len(piece), self.low, 0
+        buckets: dict[int, list[int]] = {}
+        after, before = list(range(1, n + 2)), list(range(-1, n))  # of each part's first byte
+        now: list[int | None] = [None] * n  # rank of the pair that starts at a part, as last queued
+        new = [(i, r) for i in range(n - 1) if (r := ranks(piece[i : i + 2])) is not None]
+        while True:
+            for i, rank in new:
                 now[i] = rank
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
+                bucket = buckets.get(rank)
+                if bucket is not None:
+                    heappush(bucket, i)
+                else:
+                    buckets[rank] = [i]
+                    low[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+            new = []
+            if not top:
+                break
+            first = top & -top
+            word = first.bit_length() - 1
+            bit = low[word] & -low[word]
+            rank = (word << 8) + bit.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[word] ^= bit
+                if not low[word]:
+                    top ^= first
             if now[i] != rank:
                 continue  # stale
             j = after[i]
-            part[i] = rank
-            now[j] = -1
+            now[i] = now[j] = None
             after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                new = pair(rank, part[k])
-                now[i] = new
-                if new >= 0:
-                    push(new, i)
-            else:
-                now[i] = -1
+            before[k] = i
+            if k < n and (r := ranks(piece[i : after[k]])) is not None:
+                new.append((i, r))
             h = before[i]
             if h >= 0:
-                new = pair(part[h], rank)
-                now[h] = new
-                if new >= 0:
-                    push(new, h)
+                now[h] = None
+                if (r := ranks(piece[h:k])) is not None:
+                    new.append((h, r))
         out, i = [], 0
         while i < n:
-            out.append(part[i])
-            i = after[i]
+            j = after[i]
+            out.append(ranks(piece[i:j]))
+            i = j
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -160,21 +121,23 @@ class Codec:
 
 
 class _Cache(dict):
-    """Pre-token -> make(pre-token), in two generations of bounded size: what is still in use when the younger one is
-    full survives in the older one, so frequent pre-tokens are never merged again."""
+    """Pre-token -> make(pre-token), in two generations of CACHE_BYTES at most: what is still in use when the younger one
+    is full survives in the older one, so frequent pre-tokens are never merged again. Long pre-tokens are not kept."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.size = make, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= CACHE_CHARS:
+            if self.size >= CACHE_BYTES:
+                self.older, self.size = dict(self), 0
+                self.clear()
+            self.size += ENTRY_BYTES + 8 * len(key)
+            self[key] = value
         return value
 
 
@@ -183,24 +146,13 @@ def _codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
-_KEEPERS: dict[tuple[str, str], _Cache] = {}
-
-
-def _keeper(path: str, pattern: str, make) -> _Cache:
-    """The cache of this worker, which outlives its tasks."""
-    if (path, pattern) not in _KEEPERS:
-        _KEEPERS.clear()
-        _KEEPERS[path, pattern] = _Cache(make)
-    return _KEEPERS[path, pattern]
-
-
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int> for every row."""
     import pyarrow as pa
 
     def run(batches):
         codec = _codec(path, pattern)
-        cache = _Cache(lambda piece: codec.merge(piece.encode()))
+        cache = _Cache(lambda piece: tuple(codec.merge(piece.encode())))
         for b in batches:
             ids = [[i for p in codec.find(t or "") for i in cache[p]] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
@@ -224,30 +176,28 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: encode and decode each text in one pass. What a document's ids and
-    decoded bytes are made of is kept by pre-token, so a text costs two look-ups for each of its pre-tokens."""
+    """id, n_tokens, ids_sha256, decoded_sha256: encode and decode each text in one pass."""
     import pyarrow as pa
 
     def run(batches):
         codec = _codec(path, pattern)
-
-        def both(piece):
-            ids = codec.merge(piece.encode())
-            return " ".join(map(str, ids)), codec.decode(ids)
-
-        kept = _keeper(path, pattern, both)
+        kept = _Cache(lambda piece: tuple(codec.merge(piece.encode())))
+        said = [str(i) for i in range(max(codec.tokens, default=0) + 1)]
         for b in batches:
-            n, ids, decoded = [], [], []
+            n, ids_, decoded = [], [], []
             for t in b.column(1):
+                count, line, data, first = 0, hashlib.sha256(), hashlib.sha256(), True
                 pieces = codec.find(t.as_py() or "")
-                found = list(map(kept.__getitem__, pieces))
-                line = " ".join([x for x, _ in found])
-                n.append(line.count(" ") + 1 if line else 0)
-                ids.append(hashlib.sha256(line.encode()).hexdigest())
-                h = hashlib.sha256()
-                h.update(b"".join([x for _, x in found]))
-                decoded.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                for lo in range(0, len(pieces), STRETCH):
+                    ids = list(itertools.chain.from_iterable(map(kept.__getitem__, pieces[lo : lo + STRETCH])))
+                    count += len(ids)
+                    line.update((("" if first else " ") + " ".join(map(said.__getitem__, ids))).encode())
+                    data.update(codec.decode(ids))
+                    first = False
+                n.append(count)
+                ids_.append(line.hexdigest())
+                decoded.append(data.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     d = docs.select(id_col, text_col)
     return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -144,12 +144,30 @@ def test_bpe(spark, odd, none):
     assert codec.encode("ab" * 5000) == own.encode_ordinary("ab" * 5000)
 
 
-def test_rank_queue():
-    q, rng = bpe.RankQueue(50_000), random.Random(3)
-    items = [(rng.randrange(50_000), rng.randrange(1000)) for _ in range(2000)]
-    for x in items:
-        q.push(*x)
-    assert [q.pop() for _ in items] == sorted(items) and not q.top
+def test_bpe_queue_and_cache():
+    """Any ranks, very long pre-tokens and equal ranks against merging the leftmost lowest pair; a cache of bounded bytes."""
+    rng = random.Random(3)
+    ranks = {bytes([i]): i for i in range(256)}
+    while len(ranks) < 1500:
+        ranks.setdefault(rng.choice(list(ranks)[97:100] + list(ranks)[256:]) + rng.choice(list(ranks)[97:100] + list(ranks)[256:]), len(ranks))
+    codec = bpe.Codec(ranks, r"\S+|\s+")
+
+    def plain(piece):
+        parts = [bytes([b]) for b in piece]
+        while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            _, i = min(pairs)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[x] for x in parts]
+    for n in [*range(1, 40), 300, 1500]:
+        piece = bytes(rng.choice(b"abc") for _ in range(n))
+        assert codec.merge(piece) == plain(piece) and not any(codec.low)
+    made = []
+    cache = bpe._Cache(lambda p: made.append(p) or p)
+    few = 2 * bpe.CACHE_BYTES // (bpe.ENTRY_BYTES + 8)
+    for i in range(3 * few):
+        assert cache[f"{i:07}"] == f"{i:07}" and cache["often"] == "often"
+    assert made.count("often") == 1 and len(cache) + len(cache.older) <= few
+    assert cache["x" * 1000] == "x" * 1000 and "x" * 1000 not in cache
 
 
 def test_licenses(spark, odd, none):
