@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 
@@ -70,16 +71,24 @@ def dropped(df: DataFrame) -> None:
         _OWN[:] = [x for x in _OWN if x[1] != path]
 
 
-#: A side of a join is broadcast only if it is stored in at most so many bytes; beyond that both sides are shuffled.
-BROADCAST_BYTES = 8 << 20
+#: A side of a join is broadcast only if it has at most so many rows and so many stored bytes, whatever they compress to;
+#: beyond either, both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 2 << 20
 
 
 def sized(stored: DataFrame) -> DataFrame:
-    """A stored side of a join, marked for broadcasting if its files are known to be small."""
+    """A stored side of a join, marked for broadcasting if it is known to be small."""
     spark = stored.sparkSession
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored._stored_at)
     n = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return F.broadcast(stored) if n <= BROADCAST_BYTES else stored
+    return F.broadcast(stored) if n <= BROADCAST_BYTES and stored.count() <= BROADCAST_ROWS else stored
+
+
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """So many column names that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    free = (f"__{i}" for i in itertools.count())
+    return list(itertools.islice((c for c in free if c not in taken), n))
 
 
 def let(value: Column, body) -> Column:
