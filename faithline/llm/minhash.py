@@ -30,7 +30,7 @@ from .graph import components
 
 HASHES, BITS, ROWS, SMALL, BLOCK = 256, 2, 5, 64, 2048
 LANES = 0x5555555555555555
-WORD_CACHE = 1_000_000
+WORD_CACHE = 150_000
 
 
 @dataclass(frozen=True)
