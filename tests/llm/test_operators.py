@@ -79,6 +79,19 @@ def test_token_counter_like_library():
         assert c.count(t) == c.library([t])[0], t
 
 
+def test_token_counter_in_every_context():
+    """Every character of the quick way's range, beside letters, digits, symbols and apostrophes."""
+    import public_tokenizers
+
+    c = token_counts.counter(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [t for x in token_counts._LATIN for t in (f"ing{x}ing{x}1", f".{x}ing's1{x}'s", f"{x}{x} {x}re", f"the{x}'ll#{x}", f"'{x}s'S{x}")]
+    assert [c.count(t) for t in texts] == c.library(texts)
+    assert "Ⱥ" not in token_counts._PLAIN and "é" in token_counts._PLAIN
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(token_counts._LATIN) if rng.random() < 0.5 else rng.choice(["ing", "The", " ", "'s", "1"]) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    assert [c.count(t) for t in texts] == c.library(texts)
+
+
 def brute_quality(t):
     w = words(t)
     windows = Counter(zip(w, w[1:], w[2:]))
@@ -337,37 +350,84 @@ def test_lm_score_sees_order(spark):
     assert r[lone[1]].bits_per_byte < 0.5 * r[lone[0]].bits_per_byte
 
 
-def test_lm_score_pieces():
-    """A text of several pieces is every byte once, and its contexts go on over the cuts."""
-    t = b"the cat sat on the mat and "
-    long = lm_score._running((t * 5000).decode())
-    got = list(lm_score._pieces([b"x \xff", long, b"\xff"]))
-    assert sum(len(p) - k for i, ps, sk in got for j, p, k in zip(i, ps, sk) if j == 1) == len(long) and len(got) > 3
-    s = lm_score.Speller()
-    whole = s.bits([long], b"")[0]
-    parts = [s.bits(ps, b"", sk)[0] for _, ps, sk in lm_score._pieces([long])]
+def a_code(texts, least=3):
     import numpy as np
 
-    assert (np.concatenate(parts, axis=1) == whole).all()
+    c = Counter(w for t in texts for w in t.encode().lower().split())
+    top = [w for w, n in c.most_common() if n >= least]
+    of_bytes = np.bincount(np.frombuffer(b" ".join(c) + b" ", np.uint8), minlength=256).tolist()
+    return lm_score.Code(top, [c[w] for w in top], sum(n for n in c.values() if n < least), len(texts), of_bytes)
+
 
+def test_lm_score_pieces(monkeypatch):
+    """A text of several pieces is every symbol once, and its contexts go on over the cuts."""
+    import numpy as np
 
-def test_speller_learns():
-    """The mixture of orders codes words of the training language in far fewer bits than other words."""
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["the", "cat", "sat", "é" * 3, f"rare{rng.randrange(99)}", "x" * 300]) for _ in range(9000))
+    model = lm_score.Model(a_code(["the cat sat the cat sat the cat sat"]), 18)
+    short = list(lm_score._pieces(["a b", text, None]))
+    assert len(short) == 5 and sum(len(w) - before for i, w, before in short if i == 1) == 9001
+    parts = [model.symbols(b) for b in lm_score._batches([text])]
+    monkeypatch.setattr(lm_score, "PIECE_WORDS", 1 << 20)
+    whole = model.symbols(next(lm_score._batches([text])))
+    for i in range(2):
+        assert (np.concatenate([p[i] for p in parts]) == whole[i]).all()
+    assert (np.concatenate([p[2] for p in parts], axis=1) == whole[2]).all()
+
+
+def test_lm_code_tells_all_symbols_apart():
+    """Paths are prefix-free and complete, and decisions of one place have one slot."""
+    code = a_code(["a b c d e f g a a a a b b b c c d"], 1)
+    paths = ["".join(map(str, code.bit[code.start[s] : code.start[s] + code.length[s]])) for s in range(len(code.length))]
+    for tree in (paths[:256], paths[256:]):
+        assert sum(2.0 ** -len(p) for p in tree) == 1 and len(set(tree)) == len(tree)
+    assert code.length[code.ids[b"a"]] <= code.length[code.ids[b"g"]] and code.place.min() >= 1 and code.place.max() <= 7
+
+
+def test_lm_scores_by_brute_force():
+    """Mixing, gates and refinement of a few texts, a decision at a time."""
     import numpy as np
 
     rng = random.Random(1)
-    make = lambda s: "".join(rng.choice(s) for _ in range(3)).encode()
-    train, same, other = ([make(s) for _ in range(n)] for s, n in ((["ba", "do", "ri", "mu"], 3000), (["ba", "do", "ri", "mu"], 200), (["qx", "zv", "jk"], 200)))
-    s = lm_score.Speller()
-    counts = np.zeros((len(lm_score.ORDERS) << lm_score.TABLE_BITS, 2), np.uint32)
-    slots, y, _ = s.bits(train)
-    for k in slots:
-        np.add.at(counts, (k, y), 1)
-    s, seen = lm_score.Speller(counts), np.zeros((lm_score.GATES * lm_score.CELLS, 2))
-    for i in range(0, len(train), 200):
-        s.learn(train[i : i + 200], 2.0, seen)
-    a, b = lm_score.Speller(counts, s.weights, seen).log10(same).mean(), lm_score.Speller(counts, s.weights, seen).log10(other).mean()
-    assert -3.5 < a < 0 and b < 3 * a
+    make = lambda: " ".join(rng.choice(["ba", "do", "ri", "mu", "te", "la"]) + rng.choice(["ba", "do", "", "xyz"]) for _ in range(30))
+    texts = [make() for _ in range(60)]
+    code = a_code(texts, 20)
+    m = lm_score.Model(code, 16)
+    for b in lm_score._batches(texts):
+        m.learn(b, 1.0)
+    counts = {}
+    for b in lm_score._batches(texts):
+        for slots, y, _, _ in m.decisions(b):
+            for k in range(lm_score.CONTEXTS):
+                for s, v in zip(slots[k].tolist(), y.tolist()):
+                    counts.setdefault((k, s), [0, 0])[v] += 1
+    packed = (lm_score.quantized(m.counts[:, 0::2]) << 8 | lm_score.quantized(m.counts[:, 1::2])).astype(np.uint16)
+    model = lm_score.Model(code, 16, packed, m.weights, m.seen)
+    few = [texts[0], make(), None, "new words here"]
+    own = np.array([True, False, False, False])
+    got = model.log10(list(lm_score._pieces(few)), len(few), own)
+    value = lambda n: n if n <= lm_score.EXACT else 192 * 2 ** ((int(4 * math.log2(n / 192)) + 0.5) / 4)
+    want = [0.0] * len(few)
+    for slots, y, part, text in model.decisions(list(lm_score._pieces(few))):
+        for j in range(len(y)):
+            x = []
+            for k in range(lm_score.CONTEXTS):
+                n = [float(value(v)) for v in counts.get((k, int(slots[k][j])), [0, 0])]
+                if own[text[j]]:
+                    n[y[j]] = max(0.0, n[y[j]] - 1)
+                t = sum(n)
+                x.append(math.log((n[1] + lm_score.PRIOR) / (n[0] + lm_score.PRIOR)) * t / (t + 0.5))
+            gate = int(part[j]) | sum((v != 0) << k for k, v in enumerate(x))
+            z = 0.3 * m.weights[gate][-1] + sum(w * v for w, v in zip(m.weights[gate], x))
+            p = 1 / (1 + math.exp(-max(-12, min(12, z))))
+            n0, n1 = m.seen[model.cell(np.array([gate]), np.array([p]))[0]]
+            p = 0.5 * p + 0.5 * (n1 + 20 * p) / (n0 + n1 + 20)
+            want[text[j]] += math.log10(p if y[j] else 1 - p)
+    assert got == pytest.approx(want, rel=1e-3)
+    same, other = make(), "qx zv jk " * 10
+    a, b = (model.log10(list(lm_score._pieces([t])), 1, np.array([False]))[0] / len(t) for t in (same, other))
+    assert a > 0.5 * b
 
 
 def brute_components(rows, k, percent):
