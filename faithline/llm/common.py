@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder already
-    set on the context. Only where neither exists (tests on one machine) is a temporary folder made."""
+    set on the context. Where neither exists, a temporary folder is made on one machine; a cluster has to name one."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -51,13 +53,19 @@ def _clean() -> None:
             return
 
 
+def passing(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared one, deleted at the end of the program."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _OWN.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, label: str = "t") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it again. Unlike a local
     checkpoint the files outlive executors; unlike ``checkpoint()`` they are columnar and compressed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = passing(spark, label)
     df.write.parquet(path)
-    _OWN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -71,17 +79,10 @@ def dropped(df: DataFrame) -> None:
         _OWN[:] = [x for x in _OWN if x[1] != path]
 
 
-#: A side of a join is broadcast only if it has at most so many rows and so many stored bytes, whatever they compress to;
-#: beyond either, both sides are shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 2 << 20
-
-
-def sized(stored: DataFrame) -> DataFrame:
-    """A stored side of a join, marked for broadcasting if it is known to be small."""
-    spark = stored.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored._stored_at)
-    n = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return F.broadcast(stored) if n <= BROADCAST_BYTES and stored.count() <= BROADCAST_ROWS else stored
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: both sides are shuffled at every size, never broadcast, so that what a job
+    writes grows in proportion to its input. Adaptive execution still splits hot keys."""
+    return side.hint("merge")
 
 
 def fresh(df: DataFrame, n: int) -> list[str]:
