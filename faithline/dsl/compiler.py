@@ -22,17 +22,30 @@ from .values import norm_text, parse_number, strict_number
 
 @dataclass(frozen=True)
 class Family:
-    """A DataFrame of tables: ``keys`` name a table, ``row`` numbers its rows from 0, ``columns`` are its cells."""
+    """A DataFrame of tables: ``keys`` name a table, ``row`` numbers its rows from 0, ``columns`` are its cells. Where not
+    ``dense``, ``row`` is any column that orders a table's rows without ties; they are numbered only for programs that need numbers."""
 
     df: DataFrame
     keys: tuple[str, ...]
     row: str = "__row"
     columns: tuple[str, ...] | None = None
+    dense: bool = True
 
     def names(self) -> dict[str, str]:
         cells = self.columns or tuple(c for c in self.df.columns if c not in (*self.keys, self.row))
         return {c.strip().lower(): c for c in cells}
 
+    def numbered(self) -> Family:
+        """The family with row numbers, at the price of a window over every table."""
+        if self.dense:
+            return self
+        row = F.row_number().over(Window.partitionBy(*self.keys).orderBy(self.row)).cast("long") - 1
+        return Family(self.df.withColumn("__row", row), self.keys, "__row", tuple(self.names().values()))
+
+
+class NeedsNumbers(Exception):
+    """The program uses a row as a number, and the family's rows are only ordered."""
+
 
 class Fails(Exception):
     """The program fails whatever the data."""
@@ -121,14 +134,21 @@ class Compiler:
     def to_number(self, v: Value) -> Column:
         if isinstance(v.literal, str):
             return parse_number(F.lit(v.literal))
-        if v.kind in ("number", "row"):
+        if v.kind == "number":
             return v.col.cast("double")
+        if v.kind == "row":
+            return self.row_number(v).cast("double")
         if v.kind == "text":
             return parse_number(v.col)
         return F.lit(None).cast("double")
 
     def to_text(self, v: Value) -> Column:
-        return norm_text(v.col.cast("string"))
+        return norm_text((self.row_number(v) if v.kind == "row" else v.col).cast("string"))
+
+    def row_number(self, v: Value) -> Column:
+        if not self.family.dense:
+            raise NeedsNumbers
+        return v.col
 
     def count(self, rows: Value) -> Column:
         return self.agg(("count", rows.uid), F.count_if(rows.where))
@@ -198,7 +218,7 @@ class Compiler:
         if v.kind == "rows":
             return self.do_top("top", v)
         if v.kind == "bool":
-            return Value("row", v.col.cast("long"))
+            return Value("row", self.row_number(v).cast("long"))
         raise Fails("a row is asked for")
 
     # filters
@@ -261,7 +281,7 @@ class Compiler:
         if v.kind == "bool":
             return v.col
         if v.kind in ("number", "row"):
-            return F.coalesce(v.col != 0, F.lit(False))
+            return F.coalesce((v.col if v.kind == "number" else self.row_number(v)) != 0, F.lit(False))
         if v.kind == "text":
             return F.length(v.col) > 0
         if v.kind == "hop":
@@ -300,12 +320,11 @@ class Compiler:
         """First row of the largest or smallest number; a NaN is taken only if it is the first number."""
         n = self.number(col)
         counts = c.where & n.isNotNull()
-        by = F.struct(n, -self.row) if largest else F.struct(n, self.row)
-        choose = F.max_by if largest else F.min_by
+        by = F.struct(-n if largest else n, self.row)
         key = ("extreme", c.uid, col, largest)
 
         def of(what: Column, tag: object) -> Column:
-            best = self.agg((*key, tag), choose(what, F.when(counts & ~F.isnan(n), by)))
+            best = self.agg((*key, tag), F.min_by(what, F.when(counts & ~F.isnan(n), by)))
             if col in self.numeric:
                 return best
             first = self.agg((*key, tag, "first"), F.min_by(what, F.when(counts, self.row)))
@@ -320,7 +339,7 @@ class Compiler:
             raise Fails(f"{name} needs a field")
         col = self.column(field_name)
         if col is None:
-            return Value("row", F.lit(None).cast("long"), F.lit(True))
+            return Value("row", F.lit(None), F.lit(True))
         return self._extreme(c, col, name == "argmax")
 
     do_argmin = do_argmax
@@ -502,21 +521,32 @@ class Compiler:
 RESULT = ("final", "expr_value", "expected", "executable")
 
 
+def _grouped(family: Family, make: Callable[[Compiler], Value]) -> tuple[DataFrame, Value]:
+    """A program's aggregates by table, and its value over them."""
+    try:
+        c = Compiler(family)
+        v = make(c)
+    except NeedsNumbers:
+        return _grouped(family.numbered(), make)
+    aggs = [(F.first(F.col(n)) if n in c.fixed else a).alias(n) for n, a in c.aggs.items()]
+    return c.df.groupBy(*family.keys).agg(*(aggs or [F.count(F.lit(1)).alias("__n")])), v
+
+
 def run(program: str | Program, family: Family) -> DataFrame:
     """The family's keys with final, expr_value, expected and executable for every table."""
     none = F.lit(None).cast("boolean")
     keys = list(family.keys)
-    failed = lambda: family.df.select(*keys).distinct().select(*keys, none.alias("final"), none.alias("expr_value"), none.alias("expected"), F.lit(False).alias("executable"))
-    try:
-        p = parse_program(program) if isinstance(program, str) else program
-        c = Compiler(family)
+
+    def boolean(c: Compiler) -> Value:
         v = c.eval(p.expr)
         if v.kind != "bool":
-            return failed()
+            raise Fails("no truth value")
+        return v
+    try:
+        p = parse_program(program) if isinstance(program, str) else program
+        grouped, v = _grouped(family, boolean)
     except (ProgramError, Fails):
-        return failed()
-    aggs = [(F.first(F.col(n)) if n in c.fixed else a).alias(n) for n, a in c.aggs.items()]
-    grouped = c.df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("__n")]))
+        return family.df.select(*keys).distinct().select(*keys, none.alias("final"), none.alias("expr_value"), none.alias("expected"), F.lit(False).alias("executable"))
     ok = F.lit(True) if v.error is None else ~F.coalesce(v.error, F.lit(False))
     value = F.when(ok, F.coalesce(v.col, F.lit(False)))
     return grouped.select(*keys, (value == p.expected).alias("final"), value.alias("expr_value"), F.when(ok, F.lit(p.expected)).alias("expected"), ok.alias("executable"))
@@ -526,8 +556,6 @@ def evaluate(node_text: str, family: Family) -> DataFrame:
     """The family's keys with the value of a scalar expression, as text, number or boolean, and executable."""
     from .parser import parse_expr
 
-    c = Compiler(family)
-    v = c.scalar(c.eval(parse_expr(node_text)))
-    aggs = [(F.first(F.col(n)) if n in c.fixed else a).alias(n) for n, a in c.aggs.items()]
+    grouped, v = _grouped(family, lambda c: c.scalar(c.eval(parse_expr(node_text))))
     ok = F.lit(True) if v.error is None else ~F.coalesce(v.error, F.lit(False))
-    return c.df.groupBy(*family.keys).agg(*(aggs or [F.count(F.lit(1)).alias("__n")])).select(*family.keys, F.when(ok, v.col).alias("value"), ok.alias("executable"))
+    return grouped.select(*family.keys, F.when(ok, v.col).alias("value"), ok.alias("executable"))

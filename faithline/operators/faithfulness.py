@@ -88,3 +88,40 @@ def latest(dumps: DataFrame, by: list[str], order: str) -> DataFrame:
 def filtered_status(gold_size: Column, mediator_size: Column, status: Column, dataset: Column) -> Column:
     """Verdict samples that are incorrect with another number of questions become errors."""
     return F.when((dataset == "averitec") & (status == "incorrect") & (gold_size != mediator_size), "error").otherwise(status)
+
+
+def tool_facts(runs: DataFrame, edits: DataFrame, order: Column) -> DataFrame:
+    """The fact table with the answer to the tool call's own arguments (f_tool) in the place of the model's answer."""
+    say = lambda d, f, y: d.withColumn(y, F.col(f))
+    return fact_table(say(runs, "f_tool_before", "y_before"), say(edits, "f_tool_after", "y_after"), order)
+
+
+def tool_table(facts: DataFrame, digits: int = 2) -> DataFrame:
+    """By dataset, the mean over models of rounded f_strong without and with a tool, and of the former less the latter."""
+    d = prompt_pivot(facts, ["standard", "tool"]).select("dataset", F.round("standard", digits).alias("standard"), F.round("tool", digits).alias("tool"))
+    return d.groupBy("dataset").agg(F.avg("standard").alias("standard"), F.avg("tool").alias("tool"), F.avg(F.col("standard") - F.col("tool")).alias("delta"))
+
+
+#: Names of models and datasets as tables show them, in their order; the first model is not shown.
+MODEL_NAMES = {
+    "llama32-1B": "Llama-3.2 1B", "qwen3-1.7B": "Qwen-3 1.7B", "gemma2-2B": "Gemma-2 2B", "falcon3-3B": "Falcon-3 3B", "llama32-3B": "Llama-3.2 3B", "qwen3-4B": "Qwen-3 4B", "falcon3-7B": "Falcon-3 7B",
+    "qwen3-8B": "Qwen-3 8B", "llama31-8B": "Llama-3.1 8B", "qwen3-14B": "Qwen-3 14B", "qwen3-32B": "Qwen-3 32B", "llama31-70B": "Llama-3.1 70B", "qwen3-235B-a22B": "Qwen3-235B-A22B",
+}
+DATASET_NAMES = {"ricechem": "RiceChem", "averitec": "AVeriTeC", "tabfact": "TabFact"}
+HIDDEN_MODELS = ("llama32-1B",)
+
+
+def shown(df: DataFrame, column: str, names: dict[str, str], hidden: tuple[str, ...] = ()) -> DataFrame:
+    """df with names for keys in a column and a column <column>_order to sort by; hidden keys go, unknown ones stay as they are, last."""
+    dim = df.sparkSession.createDataFrame([(k, v, i) for i, (k, v) in enumerate(names.items())], f"`{column}` string, __name string, __order int")
+    out = df.filter(~F.coalesce(F.col(column).isin(*hidden), F.lit(False))) if hidden else df
+    out = out.join(F.broadcast(dim), column, "left")  # a name table fixed by the code
+    return out.withColumns({column: F.coalesce("__name", column), f"{column}_order": F.coalesce("__order", F.lit(len(names)))}).drop("__name", "__order")
+
+
+def in_slot(df: DataFrame, dataset: str, run_type: str, slot: str = "standard") -> DataFrame:
+    """df with one dataset's runs of a type in the place of its runs of the slot's type."""
+    if run_type == slot:
+        return df
+    mine = F.col("dataset") == dataset
+    return df.filter(~(mine & (F.col("run_type") == slot))).withColumn("run_type", F.when(mine & (F.col("run_type") == run_type), slot).otherwise(F.col("run_type")))

@@ -44,3 +44,33 @@ def macro_f1(df: DataFrame, by: list[str], predicted: str, gold: str) -> DataFra
     said = df.filter(F.col(predicted).isNotNull()).groupBy(*by, F.col(predicted).alias("label")).agg(F.count(F.lit(1)).alias("n_said"))
     f1 = 2 * F.col("tp") / (F.col("n_gold") + F.coalesce("n_said", F.lit(0)))
     return right.join(said, [*by, "label"], "left").groupBy(*by).agg(F.avg(f1).alias("macro_f1"))
+
+
+def with_gold(df: DataFrame, gold: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """df with the gold columns of its sample; an unknown sample has the defaults."""
+    out = df.join(gold.select(key, *defaults), key, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+
+
+#: What an unknown sample of a table task is taken to have.
+UNKNOWN_TABLE_SAMPLE = {"gold_query": "", "gold_target": True}
+
+
+def flips_are_decided(verdict: Column, mediator: Column) -> Column:
+    """Whether a flipped answer of a checklist decides the verdict: all hold, or there is a single question."""
+    return F.coalesce((verdict == "Supported") | (F.size(mediator) == 1), F.lit(False))
+
+
+def known_status(df: DataFrame, status: str = "status", unknown: str | None = None) -> DataFrame:
+    """Without samples of an unknown status; or with these as ``unknown`` (the table task counts them as errors)."""
+    known = F.coalesce(F.col(status).isin("correct", "incorrect", "error"), F.lit(False))
+    return df.filter(known) if unknown is None else df.withColumn(status, F.when(known, F.col(status)).otherwise(F.lit(unknown)))
+
+
+def run_meta(df: DataFrame, by: list[str], status: str = "status", digits: int = 3) -> DataFrame:
+    """What a run's dump says of it: numbers by status and rounded rates, 0 where there is nothing to divide by."""
+    n = lambda s: F.count_if(F.col(status) == s)
+    over = lambda x, y: F.round(x / F.greatest(y, F.lit(1)), digits)
+    total, done = F.count(F.lit(1)), n("correct") + n("incorrect")
+    return df.groupBy(*by).agg(total.alias("total_samples"), *[n(s).alias(f"n_{s}") for s in ("correct", "incorrect", "error")],
+                               over(n("correct"), done).alias("correct_rate"), over(n("incorrect"), done).alias("incorrect_rate"), over(n("error"), total).alias("error_rate"))

@@ -26,6 +26,7 @@ def program_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def columns_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of equal programs come from one walk of each batch."""
     @F.pandas_udf("columns array<string>, vals array<string>")
     def both(p: pd.Series) -> pd.DataFrame:
         found = {x: interpreter.columns_and_values(x) for x in p.unique()}
@@ -68,6 +69,8 @@ QUERIES = {
 _TEXTS = ("t AS (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, l_returnflag FROM lineitem), s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, q, l_returnflag) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, "
           "'line ' || l_linenumber::VARCHAR || ':' || chr(10) || '  q = ' || q::VARCHAR || chr(10) || '  flag = ''' || l_returnflag || '''' AS x FROM t)")
 ORACLES = {
+    "trace_applicable_levels": f"WITH {_TEXTS} SELECT l_orderkey, CASE WHEN max(n) > 1 THEN [0, 1, 2, 3, 4, 5, 6, 7, 8] ELSE [0, 1, 2, 3, 7, 8] END AS levels FROM s GROUP BY l_orderkey",
+    "trace_coerce": f"WITH {_TEXTS} SELECT l_orderkey, string_agg(CASE WHEN k = n THEN replace(x, 'q = ' || q::VARCHAR, 'q = [' || q::VARCHAR || ', ' || q::VARCHAR || ']') ELSE x END, chr(10) ORDER BY k) AS perturbed FROM s GROUP BY l_orderkey",
     "trace_serialize": f"WITH {_TEXTS} SELECT l_orderkey, string_agg(x, chr(10) ORDER BY k) AS text FROM s GROUP BY l_orderkey",
     "trace_drop": f"WITH {_TEXTS} SELECT l_orderkey, string_agg(x, chr(10) ORDER BY k) AS text FROM s WHERE k > 1 OR n = 1 GROUP BY l_orderkey",
     "trace_duplicate": f"WITH {_TEXTS} SELECT l_orderkey, string_agg(x, chr(10) ORDER BY k) AS text FROM (SELECT * FROM s UNION ALL SELECT * FROM s WHERE n > 1 AND k = n // 2 + 1) GROUP BY l_orderkey",

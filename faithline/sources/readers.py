@@ -43,14 +43,23 @@ def table_cells(tables: DataFrame, sep: str = "#", na_mode: str = "literal", ski
     return rows.select("table_id", "header", row.alias("__row"), cells.alias("cells"))
 
 
+def joined_queries(queries: DataFrame, tables: DataFrame) -> DataFrame:
+    """Queries with the text of their table, as table_html_csv; those without a table go."""
+    return queries.join(tables.select("table_id", F.col("text").alias("table_html_csv")), "table_id")
+
+
 def ricechem(spark: SparkSession, rubric_path: str, answers_path: str, task: int) -> DataFrame:
     """idx, task_idx, student_answer, rubric (checklist) and gold_score. Rows with missing rubric cells go, the first
-    data row of either file is skipped, and both sides must be there."""
-    read = lambda p: spark.read.csv(p, header=True, multiLine=True, escape='"').withColumn("__n", F.monotonically_increasing_id())
+    data row of each file is skipped, and both sides must be there. Files with quoted line breaks are never split, so within a
+    file the numbers of the rows ascend, whatever other files there are."""
+    def read(p: str) -> DataFrame:
+        d = spark.read.csv(p, header=True, multiLine=True, escape='"').withColumns({"__n": F.monotonically_increasing_id(), "__file": F.col("_metadata.file_path")})
+        first = d.groupBy("__file").agg(F.min("__n").alias("__first"))
+        return d.join(F.broadcast(first), "__file").withColumn("__n", F.col("__n") - F.col("__first")).drop("__first", "__file")  # a row for each file
     rubric, answers = read(rubric_path), read(answers_path)
     items = [c for c in rubric.columns if c not in ("SID", "Score", "__n")]
     rubric = rubric.dropna(subset=[*items, "Score"])
-    skip = lambda d: d.filter("__n > 0")  # noqa: E731  the first row of the first partition is number 0
+    skip = lambda d: d.filter("__n > 0")
     clean = F.replace(F.replace(one_line(F.col("Answer")), F.lit("Â"), F.lit("")), F.lit("â€™"), F.lit("'"))
     a = skip(answers).filter(F.length(F.trim("Answer")) > 0).select("SID", clean.alias("student_answer"))
     checklist = F.array(*[F.struct(F.lit(c).alias("item"), F.lit(i).alias("pos"), (F.lower(F.col(f"`{c}`").cast("string")).isin("true", "1", "1.0")).alias("answer")) for i, c in enumerate(items)])

@@ -1,4 +1,4 @@
-"""Result sinks. Tables for people are small; they alone are collected."""
+"""Result sinks. Tables for people are small; they alone are collected, whole."""
 
 from __future__ import annotations
 
@@ -11,14 +11,23 @@ def run_dump(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def run_folder(df: DataFrame, meta: dict[str, object], metrics: DataFrame, path: str) -> None:
+    """A run's dump as a folder: result/ has the samples as JSON lines, metrics/ the measures, meta/ one line about the run."""
+    run_dump(df, f"{path}/result")
+    run_dump(metrics, f"{path}/metrics")
+    keys = ", ".join(f"`{k}` string" for k in meta)
+    run_dump(df.sparkSession.createDataFrame([tuple(None if v is None else str(v) for v in meta.values())], keys), f"{path}/meta")
+
+
 def csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A table as CSV files with headers, one for each partition."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown(df: DataFrame, digits: int = 3, limit: int = 1000) -> str:
-    """A table in Markdown, for at most ``limit`` rows (more is no table to read)."""
+def markdown(df: DataFrame, digits: int = 3) -> str:
+    """A table in Markdown, every row of it."""
     show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    rows = [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in df.limit(limit).collect()]]
+    rows = [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in df.collect()]]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n"
 
 
@@ -27,10 +36,10 @@ def shade(delta: Column, most: float = 0.5) -> Column:
     return F.round(F.least(F.abs(delta) / most, F.lit(1.0)) * 100).cast("int")
 
 
-def latex(df: DataFrame, delta_columns: tuple[str, ...] = (), digits: int = 2, limit: int = 1000) -> str:
+def latex(df: DataFrame, delta_columns: tuple[str, ...] = (), digits: int = 2) -> str:
     shaded = df.withColumns({f"__{c}": shade(F.col(c)) for c in delta_columns})
     out = [r"\begin{tabular}{" + "l" * len(df.columns) + "}", " & ".join(c.replace("_", r"\_") for c in df.columns) + r" \\", r"\hline"]
-    for r in shaded.limit(limit).collect():
+    for r in shaded.collect():
         cells = []
         for c in df.columns:
             v = "" if r[c] is None else f"{r[c]:.{digits}f}" if isinstance(r[c], float) else str(r[c]).replace("_", r"\_")

@@ -128,3 +128,22 @@ def test_one_grouped_plan(spark):
     df = spark.range(1000).selectExpr("id % 10 AS t", "id AS __row", "CAST(id % 7 AS STRING) AS x")
     plan = run("and{greater{sum{filter_greater{all_rows; x; 2}; x}; 5}; within{all_rows; x; 3}}=True", Family(df, ("t",)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_registered_plans(spark):
+    """Over rows that are only ordered, a program without computed filter values is one grouped aggregate; where it takes a row for a
+    number, the rows are numbered first, and the results are the same."""
+    import os
+
+    from faithline.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    for name in ("dsl_filter_eq", "dsl_argmax", "dsl_before", "dsl_third", "dsl_sum"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and plan.count("Exchange") == 1, name
+    df = spark.createDataFrame([(t, 10 * r + t, str(r * 7 % 5)) for t in range(3) for r in range(t + 1)], "key int, at int, x string")
+    loose, numbered = Family(df, ("key",), "at", ("x",), dense=False), Family(df.selectExpr("key", "CAST((at - key) / 10 AS long) AS __row", "x"), ("key",), "__row", ("x",))
+    for p in ("eq{argmax{all_rows; x}; 1}=True", "or{top{all_rows}; only{all_rows}}=True", "second{all_rows; bottom{all_rows}}=True", "eq{hop{only{all_rows}; x}; 2}=True"):
+        assert sorted(run(p, loose).collect()) == sorted(run(p, numbered).collect()), p

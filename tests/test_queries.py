@@ -5,10 +5,10 @@ import os
 import pytest
 
 import __spark_entry__
-from faithline.plans import catalogue
+from faithline.plans import catalogue, task_queries
 
 SF = "/root/testdata/sf0.001"
-SOME = ["dsl_filter_eq", "dsl_greater", "dsl_most_freq", "dsl_last", "dsl_all_less", "dsl_missing_column", "dsl_nested_stratified", "txt_checklist", "txt_baseline_answer", "val_parse_number", "tool_verdict", "iv_local_edits", "eval_baseline", "an_faith_table", "an_symmetry", "trace_duplicate"]
+SOME = ["dsl_filter_eq", "dsl_greater", "dsl_most_freq", "dsl_last", "dsl_all_less", "dsl_missing_column", "dsl_nested_stratified", "txt_checklist", "txt_baseline_answer", "val_parse_number", "tool_verdict", "iv_local_edits", "eval_baseline", "an_faith_table", "an_symmetry", "trace_duplicate", "trace_coerce", "trace_applicable_levels", "dsl_third", "dsl_before", *task_queries.QUERIES]
 
 
 def plain(x):

@@ -114,3 +114,82 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/b.json").write_text(line("2", "error"))
     dumps.counted(spark, *args)
     assert spark.read.parquet(args[1]).first().n_total == 2
+
+
+def test_lines_of_checklists(spark):
+    t = F.col("t")
+    rubric = "Checklist:\nnames (all) parts (weight: 2) (True/False): True\n(x): false\nno answer here\n 'quoted' - TRUE  \nFinal grade: 1"
+    assert [(x.item, x.answer) for x in one(spark, text.checklist(t, "rubric"), t=rubric)] == [("names (all) parts", True), ("(x)", False), ("quoted", True)]
+    question = "Checklist:\n• Q: Is it (so) (True/False): Yes, it is\nQ : 'was it: once?' - no.\n- Q: nothing: Nobody\nfinal verdict: Supported"
+    assert [(x.item, x.answer) for x in one(spark, text.checklist(t, "question"), t=question)] == [("Is it (so)", True), ("was it: once?", False)]
+    assert one(spark, text.checklist(t, "rubric"), t="Checklist:\nnothing") is None
+
+
+def test_tracing():
+    """Programs are interpreted as Python would run them, a step for every line that is reached."""
+    import sys
+
+    def real(code, *args):
+        space, lines = {}, []
+        exec(code, space)  # noqa: S102  the test's own programs
+
+        def tracer(frame, event, _):
+            if event == "line" and frame.f_code.co_name == "f":
+                lines.append((frame.f_lineno, {k: repr(v) for k, v in frame.f_locals.items()}))
+            return tracer
+        sys.settrace(tracer)
+        try:
+            result = space["f"](*args)
+        finally:
+            sys.settrace(None)
+        return lines, result
+
+    programs = [
+        ("def f(a, b=2):\n    out = []\n    for x, y in enumerate(a):\n        if y % b == 0:\n            continue\n        out.append([x, y])\n    else:\n        out += [b]\n    return out", "[3, 4, 5]"),
+        ("def f(s):\n    d = {}\n    for c in s:\n        d[c] = d.get(c, 0) + 1\n    while len(d) > 1:\n        d.pop(max(d))\n        if 'b' not in d:\n            break\n    return sorted(d.items())", "'abcab'"),
+        ("def f(n):\n    a, b = 0, 1\n    while a < n:\n        a, b = b, a + b\n    return [x * 2 for x in range(b) if x % 3], {k: -k for k in (a, b)}", "9"),
+        ("def f(x):\n    x.sort()\n    x[0] *= 3\n    return ''.join(str(v) for v in x[::-1])", "[3, 1, 2]"),
+    ]
+    for code, args in programs:
+        steps, result = trace.record(code, args)
+        lines, want = real(code, *eval(f"({args},)"))  # noqa: S307
+        assert result == want and [s.line for s in steps] == [n for n, _ in lines]
+        assert [{k: repr(v) for k, v in s.locals.items()} for s in steps] == [v for _, v in lines]
+    assert trace.admission("def f(x):\n    return open(x)", "'a'")[0] == "trace" and trace.admission("def g(x):\n    return x", "1")[0] == "resolve"
+    assert trace.admission("def f():\n    while True:\n        pass", "")[0] == "trace" and trace.admission("def f(x):\n    return -x", "1.5")[2] == "-1.5"
+    assert trace.tool_steps('x ARGS: {"trace": [{"line": "3", "locals": {"a": "[1]"}}]} junk') == [trace.Step(3, {"a": [1]})]
+    assert trace.tool_steps('ARGS: {"trace": [{"line": "x", "locals": {}}]}') is None and trace.tool_steps('{"trace": "line 1:"}', True) == "line 1:"
+    assert [trace.same_answer(*p) for p in (("[1,2]", "[1, 2]"), ("a", "b"), ("1", None), (" x ", "x"))] == [1, 0, None, 1]
+
+
+def test_changes_of_values():
+    draws = trace._Draws("k")
+    same = {True: False, 2.0: -3.0, "ab": "ba", "": "CORRUPTED"}
+    assert {v: trace.mutated(v, draws) for v in same} == same and trace.mutated([], draws) == [0] and trace.mutated({"a": "xy", "b": 1}, draws) == {"a": "yx", "b": 1}
+    assert abs(trace.mutated(5, draws) - 5) in (1, 2, 3) and trace.mutated(("ab", True), draws) == ("ba", False) and trace.mutated(None, draws) is None
+    assert (trace.coerced(3), trace.coerced("abc"), trace.coerced([7, 8]), trace.coerced([]), trace.coerced(True), trace.coerced(1.5)) == ([3, 3], 3, "7", None, None, None)
+
+
+def test_generation_and_folders(spark, tmp_path):
+    from faithline.operators import generation
+
+    df = spark.createDataFrame([(i, f"part\n\nlast {i}" if i != 3 else None) for i in range(10)], "id int, p string")
+    got = {r.id: r.completion for r in generation.generated(df, "p", generation.echo, 3).collect()}
+    assert got == {i: f"last {i}" if i != 3 else None for i in range(10)}
+    assert generation.generated(df, "p", generation.mock).filter("id = 0").first().completion == "mock completion for part\n\nlast"
+    runs = df.withColumn("status", F.lit("correct"))
+    sinks.run_folder(runs, {"model": "m", "seed": 1}, metrics.run_meta(runs, ["status"]), str(tmp_path / "run"))
+    assert spark.read.json(str(tmp_path / "run/result")).count() == 10 and spark.read.json(str(tmp_path / "run/meta")).first().seed == "1"
+    assert spark.read.json(str(tmp_path / "run/metrics")).first().n_correct == 10
+    assert sinks.markdown(spark.range(1500).selectExpr("id")).count("\n") == 1502
+
+
+def test_ricechem_files(spark, tmp_path):
+    """The first data row of every file goes, whatever the number of files; line breaks in cells are no rows."""
+    (tmp_path / "rubric").mkdir()
+    (tmp_path / "answers").mkdir()
+    for n in (1, 2):
+        (tmp_path / f"rubric/r{n}.csv").write_text("SID,states law,units,Score\nx,x,x,x\n" + "".join(f"s{n}{i},TRUE,FALSE,{i}\n" for i in range(3)))
+        (tmp_path / f"answers/a{n}.csv").write_text("SID,Answer,Rubric\nx,x,x\n" + "".join(f's{n}{i},"line one\nline two {i}",r\n' for i in range(3)))
+    got = readers.ricechem(spark, str(tmp_path / "rubric"), str(tmp_path / "answers"), 4).orderBy("idx").collect()
+    assert [(r.idx, r.student_answer, r.gold_score, [x.answer for x in r.gold_rubric]) for r in got] == [(f"4@s{n}{i}", f"line one line two {i}", float(i), [True, False]) for n in (1, 2) for i in range(3)]
