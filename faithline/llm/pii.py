@@ -1,10 +1,10 @@
 """Personal data by weak supervision.
 
-Candidate spans come from base patterns (whose valid matches always stay) and from wider ones. Three labelers vote yes,
+Candidate spans come from base patterns (whose valid matches always stay) and from wider ones, secrets among them. Three labelers vote yes,
 no or nothing on every candidate: a strict format check, a gazetteer (mail domains, calling codes, issuer and address
-ranges) and the words around the span. For each kind, expectation-maximisation estimates how often the data are
+ranges, forms of keys) and the words around the span. For each kind, expectation-maximisation estimates how often the data are
 personal and how reliable each labeler is, from the counts of vote patterns over all candidates; the posteriors are the
-soft labels of a logistic span classifier over votes and shape, which decides on the wider candidates. Both fits see the
+soft labels of a logistic span classifier over votes and shape, which alone decides on the wider candidates. Both fits see the
 corpus only as counts by pattern, of which there is a fixed number.
 
 Spans are found in the row: matches are set off by a private character, a split at it gives them and the gaps between
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import let, table, written
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone")  # with base patterns
+ALL_KINDS = (*KINDS, "secret")
 MARK, SPARE = "", ""  # the second takes the first's place where a text holds it; no pattern matches either
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -39,14 +40,17 @@ WIDER = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "secret": r"(?<![A-Za-z])(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|(?:access|private|secret)[_-]?key)[\"']?[ \t]*[:=][ \t]*[\"']?[A-Za-z0-9+/_.~-]{8,}+=*[\"']?"
+              r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
 }
 #: Texts that can't match are not searched.
-GATE = {"email": r"[\[(]at[\])]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", "card": r"[0-9]{15}|[0-9]{4}[ -][0-9]{4}", "phone": r"[0-9]{3}[ .-][0-9]{4}"}
+GATE = {"email": r"[\[(]at[\])]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", "card": r"[0-9]{15}|[0-9]{4}[ -][0-9]{4}", "phone": r"[0-9]{3}[ .-][0-9]{4}",
+        "secret": r"(?i)(?:token|secret|passw(?:or)?d|pwd|key)[\"']?[ \t]*[:=]|AKIA|gh[pousr]_|eyJ|-----BEGIN"}
 #: Fixed values of the gazetteer and context labelers.
 TLDS = "com|net|org|edu|gov|io|info|biz|co|de|fr|es|it|uk|us|eu|nl|ch|at|be|pl|ru|cn|jp|br|in|au|ca"
 CALLING = "1|7|20|27|3[0-69]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
-NEAR = {"email": "mail|contact|write to", "ip": r"\bip\b|host|server|address|login", "card": "card|visa|credit|debit|payment", "phone": "phone|tel|call|mobile|fax"}
-AGAINST = {"email": "git clone|scp ", "ip": "version|release|section|build", "card": "isbn|serial|order|build|sha", "phone": "isbn|order|serial|version"}
+NEAR = {"email": "mail|contact|write to", "ip": r"\bip\b|host|server|address|login", "card": "card|visa|credit|debit|payment", "phone": "phone|tel|call|mobile|fax", "secret": "export|config|login|credential|auth|header"}
+AGAINST = {"email": "git clone|scp ", "ip": "version|release|section|build", "card": "isbn|serial|order|build|sha", "phone": "isbn|order|serial|version", "secret": "example|placeholder|changeme|your[_ -]"}
 AROUND = 32
 
 
@@ -87,11 +91,12 @@ def _valid(kind: str, v: Column) -> Column:
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row, kind, base (a base pattern's match), ok (its checks pass), start, stop, value, before, after."""
     text = F.replace(F.col(text_col), F.lit(MARK), F.lit(SPARE))
-    d = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), text.alias("t")).filter(F.col("t").rlike("[0-9]|@|" + GATE["email"]))
+    d = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), text.alias("t")).filter(F.col("t").rlike("[0-9]|@|" + GATE["email"]) | F.col("t").rlike(GATE["secret"]))
     found = []
-    for rank, kind in enumerate(KINDS):
+    for rank, kind in enumerate(ALL_KINDS):
         gate = {"email": F.col("t").contains("@"), "phone": F.col("t").contains("+")}.get(kind, F.lit(True))
-        found.append(F.struct(F.lit(rank).alias("kind"), F.lit(True).alias("base"), F.when(gate, _spans(F.col("t"), BASE[kind])).alias("s")))
+        if kind in BASE:
+            found.append(F.struct(F.lit(rank).alias("kind"), F.lit(True).alias("base"), F.when(gate, _spans(F.col("t"), BASE[kind])).alias("s")))
         found.append(F.struct(F.lit(rank).alias("kind"), F.lit(False).alias("base"), F.when(F.col("t").rlike(GATE[kind]), _spans(F.col("t"), WIDER[kind])).alias("s")))
     d = d.select("doc_id", "row", F.explode(F.array(*found)).alias("f")).filter("f.s is not null").select("doc_id", "row", "f.kind", "f.base", F.explode("f.s").alias("s"))
     d = d.select("doc_id", "row", "kind", "base", "s.*").dropDuplicates(["row", "kind", "base", "i"])
@@ -107,21 +112,23 @@ def votes(spans: DataFrame) -> DataFrame:
     v, digits = F.col("value"), _digits(F.col("value"))
     n = F.length(digits)
     yes = lambda c: F.when(c, 1).otherwise(-1)
-    of = lambda by: reduce(lambda a, k: a.when(F.col("kind") == k[0], by[k[1]]), enumerate(KINDS), F.when(F.lit(False), 0)).cast("int")
+    of = lambda by: reduce(lambda a, k: a.when(F.col("kind") == k[0], by[k[1]]), enumerate(ALL_KINDS), F.when(F.lit(False), 0)).cast("int")
     strict = {
         "email": yes(v.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(@|[\[(]at[\])]) ?.*[A-Za-z]{2,}$") & ~v.contains("..")),
         "ip": yes(F.when(v.contains(":"), F.lit(True)).otherwise(_valid("ip", v))),
         "card": yes(n.between(13, 19) & F.when(n.between(13, 19), _luhn(digits)).otherwise(F.lit(False))),
         "phone": yes(n.between(10, 15)),
+        "secret": yes(v.rlike(r"[A-Za-z0-9+/_.~-]{16,}|-----BEGIN") & v.rlike("[0-9]|-----BEGIN")),
     }
     known = {
         "email": yes(F.lower(v).rlike(rf"(\.|dot[\])]) ?({TLDS})$")),
         "ip": F.when(v.contains(":"), 0).otherwise(yes(~v.rlike(r"^(0|127|22[4-9]|2[3-5][0-9])\."))),
         "card": yes(digits.rlike("^(3[4-7]|4|5[1-5]|2[2-7]|6)")),
         "phone": F.when(v.startswith("+"), yes(digits.rlike(f"^({CALLING})"))).otherwise(yes(digits.rlike("^[2-9]"))),
+        "secret": yes(v.rlike(r"(?<![0-9a-fA-F])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})(?![0-9a-fA-F])|AKIA|gh[pousr]_|eyJ|-----BEGIN")),
     }
     words = F.lower(F.concat_ws(" ", "before", "after"))
-    context = {k: F.when(words.rlike(NEAR[k]), 1).when(words.rlike(AGAINST[k]), -1).otherwise(0) for k in KINDS}
+    context = {k: F.when(words.rlike(NEAR[k]), 1).when(words.rlike(AGAINST[k]), -1).otherwise(0) for k in ALL_KINDS}
     shape = F.when(F.col("base"), 1).otherwise(0) + F.when(v.rlike("[ ().-]"), 2).otherwise(0) + F.when(n > 12, 4).otherwise(0)
     return spans.withColumns({"v_format": of(strict), "v_gazetteer": of(known), "v_context": of(context), "shape": shape})
 
@@ -173,7 +180,7 @@ def fit(voted: DataFrame) -> dict[int, list[float]]:
     """kind -> classifier weights; the driver sees at most 27 vote patterns by 8 shapes for each kind."""
     counts = voted.groupBy("kind", *LABELERS, "shape").count().collect()
     out = {}
-    for kind in range(len(KINDS)):
+    for kind in range(len(ALL_KINDS)):
         mine = [((r.v_format, r.v_gazetteer, r.v_context), r["shape"], float(r["count"])) for r in sorted(counts) if r.kind == kind]
         merged: dict[tuple[int, ...], float] = {}
         for v, _, c in mine:
@@ -193,7 +200,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         logit = logit.when(F.col("kind") == kind, reduce(lambda a, b: a + b, [F.lit(x) * y for x, y in zip(w, f, strict=True)]))
     logit = F.coalesce(logit, F.lit(-1.0))
     base = spans.filter("base and ok").select("doc_id", "row", "kind", "base", "start", "stop", "value")
-    wider = spans.filter(~F.col("base") & (F.col("v_format") == 1)).withColumn("p", 1 / (1 + F.exp(-logit))).filter(F.col("p") >= threshold)
+    wider = spans.filter(~F.col("base")).withColumn("p", 1 / (1 + F.exp(-logit))).filter(F.col("p") >= threshold)
     # a wider span gives way to any base span that it touches
     taken = base.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("taken"))
     wider = wider.join(taken, "row", "left").filter(~F.coalesce(F.exists("taken", lambda t: (t["start"] < F.col("stop")) & (F.col("start") < t["stop"])), F.lit(False)))
@@ -201,18 +208,19 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, base counts by kind, base_sha256, spans, for every row."""
-    name = reduce(lambda a, k: a.when(F.col("kind") == k[0], k[1]), enumerate(KINDS), F.when(F.lit(False), ""))
+    """id, base counts by kind, base_sha256, spans, and the numbers of secrets and of all spans, for every row."""
+    name = reduce(lambda a, k: a.when(F.col("kind") == k[0], k[1]), enumerate(ALL_KINDS), F.when(F.lit(False), ""))
     said = F.concat_ws(":", name, F.col("start").cast("string"), F.col("stop").cast("string"))
     item = F.struct("start", "kind", "stop", said.alias("said"))
     line = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["said"]), ",")
     by_doc = personal_spans(docs, id_col, text_col).groupBy("row").agg(
         *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{n}") for k, n in enumerate(KINDS)],
-        line(F.collect_list(F.when(F.col("base"), item))).alias("base_spans"), line(F.collect_list(item)).alias("spans"))
+        line(F.collect_list(F.when(F.col("base"), item))).alias("base_spans"), line(F.collect_list(item)).alias("spans"),
+        F.count_if(F.col("kind") == ALL_KINDS.index("secret")).alias("n_secret"), F.count(F.lit(1)).alias("n_spans"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"))
     none = lambda c, d: F.coalesce(F.col(c), F.lit(d)).alias(c)
     return rows.join(by_doc, "row", "left").select(
-        F.col("doc_id").alias(id_col), *[none(f"n_{k}", 0) for k in KINDS], F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"), none("spans", ""))
+        F.col("doc_id").alias(id_col), *[none(f"n_{k}", 0) for k in KINDS], F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"), none("spans", ""), none("n_secret", 0), none("n_spans", 0))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
