@@ -1,12 +1,13 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every whole text is cut into passages (lines, and sentences within lines); those with a licensing word are compared with
-the templates. A passage is a sparse vector of term counts times inverse document frequency, where the frequencies come
-from all passages of the corpus; a term of no template weighs as one that no passage holds, so the only table that
-is broadcast is the templates' own vocabulary, fixed by this file. The best template of a text at ``min_cosine`` or more
-is its own license. A licence file (by its name, or because licence passages make up half of its text) also licenses
-its directory: files without a license of their own take that of the nearest ancestor directory that has one, found by
-joining each distinct directory's ancestors to the licensed directories.
+Every whole text is cut into passages of three forms: lines; paragraphs (lines up to a blank one, comment marks off, joined), so
+that headers and licence texts count as they are wrapped; and sentences of paragraphs. Those with a licensing word are compared
+with the templates, which are notices, and paragraphs of licence texts. A passage is a sparse vector of term counts times inverse
+document frequency, where the frequencies come from all these passages of the corpus; a term of no template weighs as one that no
+passage holds, so the only table that is broadcast is the templates' own vocabulary, fixed by this file. The best template of a
+text at ``min_cosine`` or more is its own license. A licence file (by its name, or because licence passages of one form make up
+half of its text) also licenses its directory: files without a license of their own take that of the nearest ancestor directory
+that has one, found by joining each distinct directory's ancestors to the licensed directories.
 
 All built-in functions. Defined results: a null or empty text has no license of its own; a null path has no directory
 and inherits nothing; ties between templates go to the smaller name, between licence files of a directory to the higher
@@ -46,8 +47,22 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means, as released into the public domain."),
 )
-TRIGGER = r"(?i)licen[cs]|copyright|\bspdx|hereby granted|redistribution and use|public domain|rights reserved|creative commons"
+TRIGGER = r"(?i)licen[cs]|copyright|\bspdx|hereby granted|redistribution and use|public domain|rights reserved|creative commons|neither the name of|free software"
+#: Marks of comments at the beginnings of lines, and what ends a paragraph.
+MARKS, PARAGRAPH = r"[ \t]*(?:#+|//+|/?\*+/?|;+|--+|>+)?[ \t]*", r"\n(?:[ \t]*(?:#+|//+|/?\*+/?|;+|--+|>+)?[ \t]*\n)+"
+SENTENCE = r"(?<=[.!?])[ \t]+"
 FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)[^/]*$"
 
 
@@ -66,9 +81,12 @@ def own_licenses(docs: DataFrame, id_col: str, text_col: str, min_cosine: float)
     spark = docs.sparkSession
     templates = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(TEMPLATES)], "template int, license string, text string")
     flagged = docs.filter(F.col(text_col).rlike(TRIGGER)).select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    cut = F.filter(F.split("text", r"\n|(?<=[.!?])[ \t]+"), lambda p: p.rlike(TRIGGER))
-    pieces = flagged.select("row", F.length("text").alias("chars"), F.posexplode(cut).alias("piece", "passage"))
-    pieces = written(pieces.select("row", "piece", "chars", F.length("passage").alias("n"), terms(F.col("passage")).alias("terms")).dropDuplicates(["row", "piece"]), "passages")
+    paragraphs = F.filter(F.split("text", PARAGRAPH), lambda p: p.rlike(TRIGGER))
+    joined = F.transform(paragraphs, lambda p: F.regexp_replace(F.regexp_replace(p, "^" + MARKS, ""), r"\n" + MARKS, " "))
+    forms = (F.flatten(F.transform(paragraphs, lambda p: F.split(p, "\n"))), joined, F.flatten(F.transform(joined, lambda p: F.split(p, SENTENCE))))
+    tagged = lambda i, c: F.transform(F.filter(c, lambda p: p.rlike(TRIGGER)), lambda p: F.struct(F.lit(i).alias("form"), p.alias("passage")))
+    pieces = flagged.select("row", F.length("text").alias("chars"), F.posexplode(F.concat(*[tagged(i, c) for i, c in enumerate(forms)])).alias("piece", "p")).select("row", "chars", "piece", "p.*")
+    pieces = written(pieces.select("row", "piece", "form", "chars", F.length("passage").alias("n"), terms(F.col("passage")).alias("terms")).dropDuplicates(["row", "piece"]), "passages")
     known = templates.select("template", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     vocabulary = known.select("term").distinct()
     n = pieces.count()
@@ -84,9 +102,9 @@ def own_licenses(docs: DataFrame, id_col: str, text_col: str, min_cosine: float)
     scored = dots.join(norms, ["row", "piece"]).join(F.broadcast(sizes), "template").join(F.broadcast(templates.drop("text")), "template")
     scored = scored.withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 9)).filter(F.col("cosine") >= min_cosine)
     best = scored.groupBy("row", "piece").agg(F.max("cosine").alias("cosine"), F.min(F.struct(-F.col("cosine"), "license")).alias("b"))
-    best = best.join(pieces.select("row", "piece", "n", "chars"), ["row", "piece"])
-    return best.groupBy("row").agg(F.min(F.struct(-F.col("cosine"), F.col("b.license").alias("license"))).alias("b"), F.max("cosine").alias("cosine"), (F.sum("n") / F.max("chars")).alias("share")).select(
-        "row", F.col("b.license").alias("license"), "cosine", "share")
+    best = best.join(pieces.select("row", "piece", "form", "n", "chars"), ["row", "piece"])
+    each = best.groupBy("row", "form").agg(F.min(F.struct(-F.col("cosine"), F.col("b.license").alias("license"))).alias("b"), (F.sum("n") / F.max("chars")).alias("share"))
+    return each.groupBy("row").agg(F.min("b").alias("b"), F.max("share").alias("share")).select("row", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("cosine"), "share")
 
 
 def folder(path: Column) -> Column:
