@@ -1,7 +1,7 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 Vectors are integers; a query's score for a vector is the sum of one contribution per dimension. Candidates are dealt
-into blocks, queries into blocks of their own, and each pair of blocks is one task. A block keeps, for every dimension, the
+into blocks, queries into blocks of the same size, and each pair of blocks is one task, so a vector is copied once for 8,192 queries. A block keeps, for every dimension, the
 list of its vectors sorted by that component. For a query the lists are read sequentially from their better end, a
 stretch of each in turn. Every vector then has a lower score bound (what was read, plus the worst component left) and an
 upper one (what was read, plus the last component read of each list it has not appeared in). Reading stops when no vector
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-BLOCK, QUERIES, STRETCHES = 8192, 256, 4
+#: Vectors of a block, queries of a block (they are gone over AT_ONCE at a time, which bounds memory), and stretches of reading.
+BLOCK, QUERIES, AT_ONCE, STRETCHES = 8192, 8192, 256, 4
 
 
 def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -111,8 +112,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_co
         if left.num_rows and right.num_rows:
             own_ids, queries = left.column("id").to_numpy(), _matrix(left.column("v"), width)
             lists = SortedLists(right.column("id").to_numpy(), _matrix(right.column("v"), width), int(np.abs(queries).max(initial=0)))
-            for own_id, found in zip(own_ids.tolist(), lists.best(queries, own_ids, k), strict=True):
-                out += [(own_id, i, s) for i, s in zip(*found, strict=True)]
+            for lo in range(0, len(own_ids), AT_ONCE):
+                part = slice(lo, lo + AT_ONCE)
+                for own_id, found in zip(own_ids[part].tolist(), lists.best(queries[part], own_ids[part], k), strict=True):
+                    out += [(own_id, i, s) for i, s in zip(*found, strict=True)]
         return pa.table({name: pa.array([x[i] for x in out], pa.int64()) for i, name in enumerate(("query_id", "vec_id", "score"))})
 
     found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(run, "query_id long, vec_id long, score long")
