@@ -18,9 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, sized, table, written
-
-_POS_BITS = 21
+from .common import fresh, let, shuffled, table, written
 
 
 @dataclass(frozen=True)
@@ -60,33 +58,22 @@ def repeat_words(words: Column) -> Column:
     """Words in 3-word windows found twice or more in the array, first occurrences included.
 
     A window is its 64-bit hash. Most arrays have no equal windows, which a hash set finds out at once; in the
-    others, hash and position share a long whose primitive sort brings equal windows together (arrays too long
-    for the position bits sort pairs instead)."""
+    others, sorting (hash, position) brings equal windows together, and their words are compared."""
     n = F.size(words)
     windows = F.when(n >= 3, F.transform(
         F.slice(words, 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     ).otherwise(F.array().cast("array<bigint>"))
 
-    def by_long(h: Column) -> Column:
-        packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, _POS_BITS).bitwiseOR(i.cast("long"))))
-        mask = F.lit((1 << _POS_BITS) - 1)
-
-        def spots(p: Column) -> Column:
-            same = lambda a, b: (F.shiftright(F.get(p, a), _POS_BITS) == F.shiftright(F.get(p, b), _POS_BITS))
-            flagged = F.filter(p, lambda x, i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
-            return F.sort_array(F.transform(flagged, lambda x: x.bitwiseAND(mask)))
-        return let(let(packed, spots), _covered)
-
-    def by_pair(h: Column) -> Column:
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
+    def same(a: Column, b: Column) -> Column:
+        """Whether two (hash, position) pairs, the second one perhaps null, are equal windows."""
+        return F.when(a["h"] == b["h"], F.forall(F.array(*map(F.lit, range(3))), lambda k: F.get(words, a["i"] + k) == F.get(words, b["i"] + k))).otherwise(F.lit(False))
 
-        def spots(p: Column) -> Column:
-            flagged = F.filter(p, lambda x, i: F.coalesce(F.get(p, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(p, i + 1)["h"] == x["h"], F.lit(False)))
-            return F.sort_array(F.transform(flagged, lambda x: x["i"]))
-        return let(let(pairs, spots), _covered)
+    def spots(p: Column) -> Column:
+        flagged = F.filter(p, lambda x, i: same(x, F.get(p, i - 1)) | same(x, F.get(p, i + 1)))
+        return F.sort_array(F.transform(flagged, lambda x: x["i"]))
 
-    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0))
-               .when(F.size(h) < (1 << _POS_BITS), by_long(h)).otherwise(by_pair(h)))
+    pairs = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(let(pairs(h), spots), _covered)))
 
 
 def statistics(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -161,9 +148,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def filtered(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that pass, with all their columns. Only the rejected keys travel to the anti join."""
+    of, host, key = fresh(docs, 3)
     verdicts = judge(docs, rules, id_col, text_col, host_col).filter("not kept")
-    bad = sized(written(verdicts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "rejected"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left_anti")
+    bad = verdicts.select(F.col("doc_id").alias(of), F.col("host").alias(host), F.col("text_key").alias(key)).distinct()
+    same = docs[id_col].eqNullSafe(F.col(of)) & docs[host_col].eqNullSafe(F.col(host)) & (F.xxhash64(docs[text_col]) == F.col(key))
+    return docs.join(shuffled(written(bad, "rejected")), same, "left_anti")
 
 
 ORACLE = r"""
