@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, sized, table, written
+from .common import fresh, let, shuffled, table, written
 from .quality import words_of
 
 ROUNDS = 24
@@ -33,6 +33,7 @@ class Mixture:
     entropy: float | None = None  # share of log(number of sources)
     budget: int | None = None  # tokens
     block_tokens: int = 200_000
+    block_docs: int = 100_000  # so that a source of blank texts is dealt out too
     seed: int = 17
 
 
@@ -91,7 +92,7 @@ def plan(docs: DataFrame, mix: Mixture = Mixture(), id_col: str = "doc_id", text
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
     salts = 32
     table_ = weights(counts, mix).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = table_.select(key(F.col("source")).alias("key"), "salt", "weight", "repeat", F.greatest(F.ceil(F.col("tokens") / mix.block_tokens), F.lit(1)).alias("n_blocks"))
+    right = table_.select(key(F.col("source")).alias("key"), "salt", "weight", "repeat", F.greatest(F.ceil(F.col("tokens") / mix.block_tokens), F.ceil(F.col("n_docs") / mix.block_docs), F.lit(1)).alias("n_blocks"))
     shuffled = F.xxhash64(F.lit(mix.seed), "doc_id", "row")
     left = counts.withColumns({"key": key(F.col("source")), "h": shuffled, "salt": F.pmod(shuffled, F.lit(salts)).cast("int")})
     d = left.join(right, ["key", "salt"]).withColumn("block", F.pmod(F.xxhash64("h", F.lit("block")), F.col("n_blocks")))
@@ -111,12 +112,13 @@ def _realised(d: DataFrame, repeat: Column) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mixture = Mixture(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mixture takes it."""
-    copies = plan(docs, mix, id_col, text_col, source_col).groupBy("doc_id", "row").agg(F.max("copies").alias("__copies"))
-    copies = sized(written(copies.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__copies"), "copies"))
-    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
-    out = keyed.join(copies, (F.col("__key") == F.col("__row")) & docs[id_col].eqNullSafe(F.col("__id")))
-    again = F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("__copies"))).otherwise(F.array().cast("array<bigint>")))
-    return out.select(*docs.columns, again.alias("__copy")).select(*docs.columns)
+    of, row, n, key, again = fresh(docs, 5)
+    copies = plan(docs, mix, id_col, text_col, source_col).groupBy("doc_id", "row").agg(F.max("copies").alias("copies"))
+    copies = written(copies.select(F.col("doc_id").alias(of), F.col("row").alias(row), F.col("copies").alias(n)), "copies")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    out = keyed.join(shuffled(copies), (F.col(key) == F.col(row)) & docs[id_col].eqNullSafe(F.col(of)))
+    times = F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(1).cast("long"), F.col(n))).otherwise(F.array().cast("array<bigint>")))
+    return out.select(*docs.columns, times.alias(again)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
