@@ -15,7 +15,8 @@
 The bands miss a pair at the threshold with a chance under 1e-6, the bit estimate with about 3e-7 (five standard errors).
 Defined results: null or blank texts have no shingles and link with nothing; with fewer words than a shingle the whole
 sequence is one shingle; rows that share an id are one document (each row is returned); rows with a null id take part
-as exact copies only; an empty table gives an empty result; other columns are ignored."""
+as exact copies only, and of copies that all have none the one with the least hash is kept; an empty table gives an empty
+result; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -25,10 +26,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, sized, table, written
+from .common import dropped, fresh, shuffled, table, written
 from .graph import components
 
-HASHES, BITS, ROWS, SMALL, BLOCK = 256, 2, 5, 64, 2048
+HASHES, BITS, ROWS, SMALL, BLOCK, SHINGLES = 256, 2, 5, 64, 2048, 4_000_000
 LANES = 0x5555555555555555
 WORD_CACHE = 150_000
 
@@ -117,7 +118,7 @@ class Sketcher:
 
 
 def sketches(docs: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, h (128-bit hash of the set; null if empty), bands, sig."""
+    """doc_id, row (hash of id and text), n_shingles, h (128-bit hash of the set; null if empty), bands, sig."""
     import pyarrow as pa
 
     def run(batches):
@@ -138,10 +139,10 @@ def sketches(docs: DataFrame, near: Near, id_col: str, text_col: str) -> DataFra
                     h.append(None)
                     bands.append(None)
                     sig.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "h", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "row", "n_shingles", "h", "bands", "sig"])
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_shingles long, h binary, bands array<long>, sig array<long>")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row"))
+    return d.mapInArrow(run, "doc_id long, row long, n_shingles long, h binary, bands array<long>, sig array<long>")
 
 
 def unequal(a: Column, b: Column) -> Column:
@@ -193,12 +194,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
 
 def _blocks(groups: DataFrame, nodes: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     """(sg, id, label) -> links between components within each super-group: every member outside the group's largest
-    component meets all members, in blocks of about BLOCK by BLOCK."""
+    component meets all members, in blocks of about BLOCK by BLOCK members, fewer of them where their sets are large (on
+    average SHINGLES hashes a side)."""
     import pyarrow as pa
 
-    sizes = groups.groupBy("sg", "label").count()
-    main = sizes.groupBy("sg").agg(F.max_by("label", "count").alias("main"), F.sum("count").alias("m"), (F.sum("count") - F.max("count")).alias("r"))
-    main = main.filter("r > 0").select("sg", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_all"), F.ceil(F.col("r") / BLOCK).cast("int").alias("n_rest"))
+    sizes = groups.join(nodes.select("id", "n"), "id").groupBy("sg", "label").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n"))
+    largest = F.max(F.struct("count", "n"))
+    main = sizes.groupBy("sg").agg(F.max_by("label", "count").alias("main"), F.sum("count").alias("m"), F.sum("n").alias("n"), (F.sum("count") - F.max("count")).alias("r"), (F.sum("n") - largest["n"]).alias("nr"))
+    parts = lambda members, hashes: F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(hashes) / SHINGLES)).cast("int")
+    main = main.filter("r > 0").select("sg", "main", parts("m", "n").alias("n_all"), parts("r", "nr").alias("n_rest"))
     rows = groups.join(main, "sg").join(nodes.select("id", "sig"), "id").join(texts, "id")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     everyone = rows.select("sg", block("n_all").alias("ab"), F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("rb"), F.lit(False).alias("rest"), "id", "label", "sig", "text")
@@ -249,8 +253,13 @@ def _blocks(groups: DataFrame, nodes: DataFrame, texts: DataFrame, near: Near) -
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (is that document)."""
+    return _judged(docs, near, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, near: Near, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, kept."""
     keyed = written(sketches(docs, near, id_col, text_col), "sketches")
-    classes = written(keyed.filter("h is not null").groupBy("h").agg(F.min("doc_id").alias("id")), "classes")
+    classes = written(keyed.filter("h is not null").groupBy("h").agg(F.min("doc_id").alias("id"), F.min("row").alias("first_row")), "classes")
     first = classes.select(F.col("h").alias("h0"), "id")
     nodes = written(keyed.join(first, (keyed["h"] == first["h0"]) & (keyed["doc_id"] == first["id"])).select(
         "id", F.col("n_shingles").alias("n"), "bands", "sig"), "nodes")
@@ -281,12 +290,13 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     if more.limit(1).count():
         labels = components(links.union(more))
 
-    final = written(classes.join(labels, "id", "left").select("h", F.coalesce("label", "id").alias("component")), "final")
+    final = written(classes.join(labels, "id", "left").select("h", F.coalesce("label", "id").alias("component"), "first_row"), "final")
     for t in (mates, buckets, nodes, left, large):
         dropped(t)
-    out = keyed.select("doc_id", "n_shingles", "h").join(final, "h", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = keyed.select("doc_id", "row", "n_shingles", "h").join(final, "h", "left")
+    out = out.select("doc_id", "row", "n_shingles", "first_row", F.coalesce("component", "doc_id").alias("component_id"))
+    first = F.col("doc_id").isNotNull() | F.col("first_row").isNull() | (F.col("row") == F.col("first_row"))
+    return out.select("doc_id", "row", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & first).alias("kept"))
 
 
 def _best(stars: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
@@ -300,8 +310,10 @@ def _best(stars: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
 
 def filtered(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first document of every component, all columns."""
-    gone = near_duplicates(docs, near, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(sized(written(gone, "near-copies")), docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    of, row = fresh(docs, 2)
+    gone = _judged(docs, near, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(of), F.col("row").alias(row)).distinct()
+    key = docs[id_col].cast("long")
+    return docs.join(shuffled(written(gone, "near-copies")), key.eqNullSafe(F.col(of)) & (F.xxhash64(key, docs[text_col]) == F.col(row)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
