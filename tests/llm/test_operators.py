@@ -50,6 +50,37 @@ def test_mixing(spark, odd, none):
     assert out.columns == docs.columns and 2150 < out.count() < 2250
 
 
+def test_mixing_by_brute_force(spark):
+    """Weights by the exponent in closed form, and every block's copies by going through it in its order."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 60)), "en", rng.choice(["big"] * 12 + ["mid"] * 4 + ["small", None]), 1) for i in range(3000)]
+    mix = mixing.Mixture(repetition=2.5, block_tokens=3000)
+    got = mixing.plan(spark.createDataFrame(rows, DDL), mix).collect()
+    tokens = Counter()
+    for _, t, _, s, _ in rows:
+        tokens[s] += len(words(t))
+    a = 1 - math.log(2.5) / math.log(max(tokens.values()) / min(tokens.values()))
+    z = sum(n**a for n in tokens.values())
+    repeat = {s: (n / max(tokens.values())) ** (a - 1) for s, n in tokens.items()}
+    assert max(repeat.values()) == pytest.approx(2.5)
+    blocks = {}
+    for r in got:
+        assert r.weight == pytest.approx(tokens[r.source] ** a / z, rel=1e-5) and r.n_tokens == len(words(rows[r.doc_id][1]))
+        blocks.setdefault((r.source, r.block), []).append(r)
+    for (s, _), rs in blocks.items():
+        rs.sort(key=lambda r: r.pos)
+        assert [r.pos for r in rs] == list(range(1, len(rs) + 1))
+        so_far, limit = 0, (repeat[s] % 1) * sum(r.n_tokens for r in rs)
+        for r in rs:
+            so_far += r.n_tokens
+            if abs(so_far - r.n_tokens / 2 - limit) > 0.01:
+                assert r.copies == int(repeat[s] + 1e-6) + (r.n_tokens > 0 and so_far - r.n_tokens / 2 < limit), (s, r)
+    for s, r in repeat.items():
+        assert sum(x.copies * x.n_tokens for x in got if x.source == s) == pytest.approx(r * tokens[s], rel=0.05)
+    blank = spark.createDataFrame([(i, " ", "en", "none", 1) for i in range(50)], DDL)
+    assert mixing.plan(blank, mixing.Mixture(block_docs=10)).select("block").distinct().count() > 1
+
+
 def test_token_counts(spark, odd, none, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -188,9 +219,63 @@ def test_licenses(spark, odd, none):
             (6, None, "All rights reserved."), (7, "a/b/k.py", "x. Licensed under CC BY-NC 4.0.\n" + "code " * 50), (8, "top.py", "a licensed driver told us about copyright and many other unrelated things"), (2, "a/LICENSE", "Released under the MIT License.")]
     got = sorted((r.doc_id, r.license, r.licensed_by) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).fillna("-").collect())
     assert got == [(1, "MIT", "a"), (2, "MIT", "text"), (2, "MIT", "text"), (3, "GPL-3.0", "a/b/c"), (4, "-", "-"), (5, "GPL-3.0", "text"), (6, "Proprietary", "text"), (7, "CC-BY-NC-4.0", "text"), (8, "-", "-")]
+    wrapped = {
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n\nint x;",
+        "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# code follows\nprint(1)",
+        "LGPL-3.0": "// This library is free software; you can redistribute it and/or\n// modify it under the terms of the GNU Lesser General Public\n// License as published by the Free Software Foundation; either\n// version 3 of the License, or (at your option) any later version.",
+        "ISC": "Copyright (c) someone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED AS IS",
+        "Apache-2.0": "   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0\n",
+        "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Redistributions of source code must keep the notice.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nand so on",
+    }
+    docs = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(wrapped.values())], "doc_id long, path string, text string")
+    assert [r.license for r in licenses.scan(docs, F.col("path")).orderBy("doc_id").collect()] == list(wrapped)
     assert licenses.scan(odd, F.lit("p/q")).count() == len(ODD) and licenses.scan(none, F.lit("p/q")).count() == 0
 
 
+def test_licenses_by_brute_force(spark):
+    """Passages, frequencies and cosines of small texts in plain Python."""
+    trigger, space = re.compile(licenses.TRIGGER), re.compile(r"[^\W_]+")
+    terms = lambda t: space.findall(t.lower())
+    rng = random.Random(7)
+    names = [t for _, t in licenses.TEMPLATES]
+    texts = {}
+    for i in range(60):
+        w = rng.choice(names).split()
+        for _ in range(rng.randint(0, 6)):
+            w.insert(rng.randrange(len(w)), rng.choice(["house", "license", "copyright", "tree"]))
+        t = " ".join(w)
+        if rng.random() < 0.5:
+            t = t.replace(" ", "\n# ", rng.randint(1, 9))
+        texts[i] = rng.choice(["some words here. ", "line one\n\n", ""]) + t + rng.choice(["", "\n\nno more of the license", ". The end."])
+
+    def passages(t):
+        out = []
+        for p in (x for x in re.split(licenses.PARAGRAPH, t) if trigger.search(x)):
+            joined = re.sub(r"\n" + licenses.MARKS, " ", re.sub("^" + licenses.MARKS, "", p))
+            out += [*p.split("\n"), joined, *re.split(licenses.SENTENCE, joined)]
+        return [terms(x) for x in out if trigger.search(x)]
+    found = {i: passages(t) for i, t in texts.items()}
+    df, n = Counter(), sum(map(len, found.values()))
+    for ps in found.values():
+        for p in ps:
+            df.update(set(p))
+    known = {x for t in names for x in terms(t)}
+    weight = lambda p: {x: c * (math.log((1 + n) / (1 + (df[x] if x in known else 0))) + 1) for x, c in Counter(p).items()}
+
+    def cosine(a, b):
+        norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+        return round(sum(a[x] * b.get(x, 0) for x in a) / (norm(a) * norm(b)), 9) if a and b else 0
+    templates = [(name, weight(terms(t))) for name, t in licenses.TEMPLATES]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), F.lit(None).cast("string")).collect()}
+    for i, ps in found.items():
+        scored = [(cosine(weight(p), t), name) for p in ps for name, t in templates]
+        best = max((c for c, _ in scored if c >= 0.75), default=None)
+        assert (rows[i].cosine is None) == (best is None) and (best is None or rows[i].cosine == pytest.approx(best, abs=1e-8)), texts[i]
+        if best is not None:
+            assert rows[i].license in {name for c, name in scored if abs(c - best) < 1e-8}
+
+
 def test_top_k(spark):
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(500)]
@@ -208,6 +293,23 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_sorted_lists_stop_early():
+    """Where few components matter, the bounds end the reading long before the lists end; the results are those of all products."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = np.floor(rng.standard_cauchy((3000, 12)) * 50)
+    q = np.zeros((20, 12))
+    q[np.arange(20), rng.integers(0, 12, 20)] = 900
+    q[np.arange(20), rng.integers(0, 12, 20)] += 3
+    lists = topk.SortedLists(np.arange(3000), v, 1000)
+    found = lists.best(q, np.full(20, -1), 5)
+    for x, (ids, scores) in zip(q, found):
+        want = sorted((-int(s), i) for i, s in enumerate(v @ x))[:5]
+        assert [(-s, i) for i, s in zip(ids, scores)] == want
+    assert lists.reads < 0.2 * np.count_nonzero(q) * 3000
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -236,6 +338,9 @@ def test_pii(spark, odd, none):
         assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[3] == n for x in base) for n in KINDS] and set(said) <= set(r.spans.split(",")) | {""}
     assert next(r for r in got if r.doc_id == 9004).spans.count("card") == 2
+    keys = [(i, f'un la token = "{hashlib.sha1(bytes([i])).hexdigest()}" de') for i in range(30)] + [(100 + i, f"el token = uno{'a' * i} y la key: nada") for i in range(30)]
+    found = {r.doc_id: (r.spans, r.n_secret, r.n_spans) for r in pii.find(spark.createDataFrame(keys, "doc_id long, text string")).collect()}
+    assert all(found[i] == ("secret:6:56", 1, 1) for i in range(30)) and not any(found[100 + i][1] for i in range(30))
     assert pii.find(odd).count() == len(ODD) and pii.find(none).count() == 0
 
 
@@ -421,7 +526,8 @@ def test_lm_scores_by_brute_force():
             gate = int(part[j]) | sum((v != 0) << k for k, v in enumerate(x))
             z = 0.3 * m.weights[gate][-1] + sum(w * v for w, v in zip(m.weights[gate], x))
             p = 1 / (1 + math.exp(-max(-12, min(12, z))))
-            n0, n1 = m.seen[model.cell(np.array([gate]), np.array([p]))[0]]
+            z = max(-12, min(12, z))
+            n0, n1 = m.seen[((gate >> 6 << 3) | gate & 7) * lm_score.CELLS + max(0, min(lm_score.CELLS - 1, round((z + 8) * 2)))]
             p = 0.5 * p + 0.5 * (n1 + 20 * p) / (n0 + n1 + 20)
             want[text[j]] += math.log10(p if y[j] else 1 - p)
     assert got == pytest.approx(want, rel=1e-3)
@@ -483,6 +589,26 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names and an empty table, stage by stage."""
+    import corpus_pipeline
+
+    ids = {"quality_rules": [None, 4, 4, 5, 6], "line_dedup": [1, 2, 3, 4, 4, 7, 8, 9], "minhash_near_dedup": [1, 2, 3, 4, 4, 7, 8, 9]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, "")
+        got = sorted((r.doc_id for r in out.collect()), key=lambda x: (x is not None, x))
+        if name in ids:
+            assert got == ids[name], name
+        else:
+            assert set(got) == {r[0] for r in ODD} and len(got) >= len(ODD), name
+        assert stage(spark, none, "").count() == 0
+        if name != "byte_bpe":
+            assert out.columns == odd.columns, name
+    nulls = spark.createDataFrame([(None, BASE, None, None, None)] * 2 + [(None, BASE + " end", None, None, None), (None, None, None, None, None)], DDL)
+    assert corpus_pipeline.near_dedup(spark, nulls, "").count() == 4 and corpus_pipeline.quality_rules(spark, nulls, "").count() == 3
+    assert corpus_pipeline.line_dedup_stage(spark, nulls, "").count() == 4
+
+
 def test_pipeline(spark, tmp_path):
     """Stage by stage against brute force: who is rejected, which lines go, who stays of a group, and the ids of the rest."""
     import corpus_pipeline
