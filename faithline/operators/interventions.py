@@ -37,3 +37,20 @@ def sampled(edits: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
 
     order = F.xxhash64(F.lit(seed), *keys, "edit_no")
     return edits.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "edit_no"))).filter(F.col("__k") <= n).drop("__k")
+
+
+def edit_prompts(edits: DataFrame, samples: DataFrame, keys: list[str], base: str, structure: Column, prefix: str) -> DataFrame:
+    """Edits with the prompt that shows a model its own task with the edited structure. An edit keeps its key (sample, kind, number), so
+    completions are never matched by position."""
+    from ..functions.prompts import with_structure
+
+    return edits.join(samples.select(*keys, base), keys).withColumn("prompt", with_structure(F.col(base), structure, prefix)).drop(base)
+
+
+def collected(samples: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples with their edits as structure_intervention: a list for each kind, in the order of the edits; empty where there are none."""
+    names = [c for c in edits.columns if c not in (*keys, "kind")]
+    entry = F.struct("edit_no", *[c for c in names if c != "edit_no"])
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry))).alias(kind)
+    lists = edits.groupBy(*keys).agg(F.struct(of(LOCAL), of(CORRECTION)).alias("structure_intervention"))
+    return samples.join(lists, keys, "left")

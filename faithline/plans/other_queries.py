@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..dsl import interpreter
 from ..functions import structures, trace
 from . import families
-from .dsl_queries import CATALOGUE
+from .dsl_queries import CATALOGUE, oracle
 
 _EV = [p for kind, p, _, _ in CATALOGUE.values() if kind == "ev"]
 
@@ -68,7 +68,14 @@ QUERIES = {
 }
 _TEXTS = ("t AS (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, l_returnflag FROM lineitem), s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, q, l_returnflag) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, "
           "'line ' || l_linenumber::VARCHAR || ':' || chr(10) || '  q = ' || q::VARCHAR || chr(10) || '  flag = ''' || l_returnflag || '''' AS x FROM t)")
+_NAMES = [name for name, (kind, _, _, _) in CATALOGUE.items() if kind == "ev"]
+_PICKS = f"picks AS (SELECT DISTINCT user_id, k, (user_id * 3 + k) % {len(_EV)} AS i FROM events, (VALUES (0), (1), (2)) AS t(k))"
+_TEXT = lambda p: "'" + p.replace("'", "''") + "'"
 ORACLES = {
+    "dsl_program_parse": f"WITH {_PICKS} SELECT DISTINCT [{', '.join(map(_TEXT, _EV))}][i + 1] AS program FROM picks",
+    "dsl_program_batch": f"WITH {_PICKS}, said AS (" + " UNION ALL ".join(f"SELECT {i} AS i, user_id, {_TEXT(p)} AS program, final, executable FROM ({oracle(n)}) AS o{i}" for i, (n, p) in enumerate(zip(_NAMES, _EV, strict=True)))
+                         + ") SELECT user_id, program, final, executable FROM picks JOIN said USING (user_id, i)",
+    "trace_simulate": f"WITH {_TEXTS} SELECT l_orderkey, q::VARCHAR AS answer FROM s WHERE k = n",
     "trace_applicable_levels": f"WITH {_TEXTS} SELECT l_orderkey, CASE WHEN max(n) > 1 THEN [0, 1, 2, 3, 4, 5, 6, 7, 8] ELSE [0, 1, 2, 3, 7, 8] END AS levels FROM s GROUP BY l_orderkey",
     "trace_coerce": f"WITH {_TEXTS} SELECT l_orderkey, string_agg(CASE WHEN k = n THEN replace(x, 'q = ' || q::VARCHAR, 'q = [' || q::VARCHAR || ', ' || q::VARCHAR || ']') ELSE x END, chr(10) ORDER BY k) AS perturbed FROM s GROUP BY l_orderkey",
     "trace_serialize": f"WITH {_TEXTS} SELECT l_orderkey, string_agg(x, chr(10) ORDER BY k) AS text FROM s GROUP BY l_orderkey",

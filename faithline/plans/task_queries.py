@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..dsl import text_tables
 from ..functions import prompts, structures, text, tools, trace
-from ..operators import faithfulness, generation, metrics
+from ..operators import faithfulness, generation, interventions, metrics
 from ..operators.faithfulness import RUN
 from . import eval_queries as runs_
+from .other_queries import traces
 from .text_queries import CK, checklists
 
 QUERIES, ORACLES = {}, {}
@@ -114,6 +115,25 @@ ORACLES |= {
     "trace_tool_answer": "SELECT o_orderkey, CASE WHEN o_orderkey // 5 % 4 < 2 THEN (o_orderkey % 50)::VARCHAR END AS answer, CASE WHEN o_orderkey // 5 % 4 < 2 THEN 1 END::INTEGER AS answer_match FROM orders WHERE o_orderkey % 5 = 1",
 }
 
+QUERIES["iv_trace_edits"] = lambda s, d: trace.local_edits(traces(s, d), "text", "l_orderkey").select("l_orderkey", "level", "name")
+ORACLES["iv_trace_edits"] = ("WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, l_returnflag FROM lineitem), n AS (SELECT l_orderkey, count(*) AS n FROM t GROUP BY l_orderkey), "
+                             "l(level, name) AS (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in trace.LEVELS.items() if 1 <= k <= 6) + ") SELECT l_orderkey, level, name FROM n JOIN l ON n.n > 1 OR level <= 3")
+
+
+def _edit_prompts(spark, sf_dir):
+    d = checklists(spark, sf_dir).withColumns({"status": structures.classify(F.lit(True), F.col("mediator"), F.col("gold")), "base": F.concat(F.lit("Order "), F.col("idx").cast("string"))})
+    made = interventions.edit_prompts(interventions.checklist_edits(d, ["idx"]), d, ["idx"], "base", _BITS(F.col("mediator")), prompts.answer_prefix("averitec"))
+    got = interventions.collected(d.select("idx", "status"), made.select("idx", "kind", "edit_no", "prompt"), ["idx"])
+    lines = lambda kind: F.array_join(F.transform(F.col("structure_intervention")[kind], lambda x: x["prompt"]), "|")
+    return got.select("idx", F.coalesce(lines(interventions.LOCAL), F.lit("")).alias("flips"), F.coalesce(lines(interventions.CORRECTION), F.lit("")).alias("fixes"))
+
+
+QUERIES["iv_prompts"] = _edit_prompts
+_SHOW = "'Order ' || e.idx::VARCHAR || chr(10) || chr(10) || string_agg(CASE WHEN m.pos = e.pos THEN 1 - m.a ELSE m.a END::VARCHAR, '' ORDER BY m.pos) || chr(10) || 'Final Verdict:'"
+ORACLES["iv_prompts"] = (f"WITH {CK}, f AS (SELECT e.idx, e.pos, {_SHOW} AS p FROM m AS e JOIN m ON e.idx = m.idx WHERE e.idx % 10 < 6 GROUP BY e.idx, e.pos), g AS (SELECT idx, string_agg(p, '|' ORDER BY pos) AS p FROM f GROUP BY idx), "
+                         f"c AS (SELECT e.idx, {_SHOW.replace('m.pos = e.pos', 'false')} AS p FROM (SELECT DISTINCT idx FROM m WHERE idx % 10 BETWEEN 6 AND 8) AS e JOIN m ON e.idx = m.idx GROUP BY e.idx) "
+                         "SELECT i.idx, coalesce(g.p, '') AS flips, coalesce(c.p, '') AS fixes FROM (SELECT DISTINCT idx FROM m) AS i LEFT JOIN g ON g.idx = i.idx LEFT JOIN c ON c.idx = i.idx")
+
 # what completions come to
 
 _BITS = lambda c: F.array_join(F.transform(c, lambda x: F.when(x["answer"], "1").otherwise("0")), "")

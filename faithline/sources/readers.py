@@ -11,7 +11,8 @@ def one_line(text: Column) -> Column:
 
 
 def tabfact_queries(spark: SparkSession, path: str) -> DataFrame:
-    """One row an entry of a JSON object of lists by table: idx, table_id, statement, gold_query, local_edits."""
+    """One row an entry of a JSON object of lists by table: idx, table_id, statement, gold_query, local_edits. Each file is one value of
+    one task, so of 2 GB at most; larger collections come as several files."""
     entry = "struct<main_question:string,main_program:string,table_name:string,local_edits:array<string>>"
     whole = spark.read.text(path, wholetext=True)
     rows = whole.select(F.explode(F.from_json("value", f"map<string,array<{entry}>>")).alias("table_id", "entries")).select("table_id", F.explode("entries").alias("e"))
@@ -52,10 +53,7 @@ def ricechem(spark: SparkSession, rubric_path: str, answers_path: str, task: int
     """idx, task_idx, student_answer, rubric (checklist) and gold_score. Rows with missing rubric cells go, the first
     data row of each file is skipped, and both sides must be there. Files with quoted line breaks are never split, so within a
     file the numbers of the rows ascend, whatever other files there are."""
-    def read(p: str) -> DataFrame:
-        d = spark.read.csv(p, header=True, multiLine=True, escape='"').withColumns({"__n": F.monotonically_increasing_id(), "__file": F.col("_metadata.file_path")})
-        first = d.groupBy("__file").agg(F.min("__n").alias("__first"))
-        return d.join(F.broadcast(first), "__file").withColumn("__n", F.col("__n") - F.col("__first")).drop("__first", "__file")  # a row for each file
+    read = lambda p: _numbered(spark.read.csv(p, header=True, multiLine=True, escape='"'))
     rubric, answers = read(rubric_path), read(answers_path)
     items = [c for c in rubric.columns if c not in ("SID", "Score", "__n")]
     rubric = rubric.dropna(subset=[*items, "Score"])
@@ -67,12 +65,19 @@ def ricechem(spark: SparkSession, rubric_path: str, answers_path: str, task: int
     return a.join(r, "SID").select(F.concat(F.lit(f"{task}@"), "SID").alias("idx"), F.lit(task).alias("task_idx"), "student_answer", "gold_rubric", "gold_score")
 
 
+def _numbered(d: DataFrame) -> DataFrame:
+    """Rows with __n, their number in their file, for files that are read whole by one task each."""
+    d = d.withColumns({"__n": F.monotonically_increasing_id(), "__file": F.col("_metadata.file_path")})
+    first = d.groupBy("__file").agg(F.min("__n").alias("__first"))
+    return d.join(F.broadcast(first), "__file").withColumn("__n", F.col("__n") - F.col("__first")).drop("__first", "__file")  # a row for each file
+
+
 def averitec(spark: SparkSession, path: str, excluded: DataFrame | None = None, explanations: bool = True) -> DataFrame:
     """idx (original position), claim, gold_rubric, explanations, gold_target: first answers that are yes or no, claims
-    that are Supported, or Refuted by exactly one question; few-shot claims excluded."""
+    that are Supported, or Refuted by exactly one question; few-shot claims excluded. The array's entries are read one by one."""
     q = "struct<question:string,answers:array<struct<answer:string,boolean_explanation:string>>>"
-    whole = spark.read.text(path, wholetext=True)
-    d = whole.select(F.posexplode(F.from_json("value", f"array<struct<claim:string,label:string,questions:array<{q}>>>")).alias("pos", "c"))
+    d = _numbered(spark.read.schema(f"claim string, label string, questions array<{q}>").option("multiLine", True).json(path))
+    d = d.select(F.col("__n").alias("pos"), F.struct("claim", "label", "questions").alias("c"))
     first = F.transform("c.questions", lambda x: F.struct(x["question"].alias("item"), F.lower(F.trim(F.get(x["answers"], F.lit(0))["answer"])).alias("a"), F.get(x["answers"], F.lit(0))["boolean_explanation"].alias("text")))
     usable = F.filter(first, lambda x: x["a"].isin("yes", "no"))
     d = d.select(F.col("pos").cast("string").alias("idx"), F.trim("c.claim").alias("claim"), F.col("c.label").alias("gold_target"), usable.alias("u"))
