@@ -2,8 +2,8 @@
 
 Vectors are integers; a query's score for a vector is the sum of one contribution per dimension. Candidates are dealt
 into blocks, queries into blocks of the same size, and each pair of blocks is one task, so a vector is copied once for 8,192 queries. A block keeps, for every dimension, the
-list of its vectors sorted by that component. For a query the lists are read sequentially from their better end, a
-stretch of each in turn. Every vector then has a lower score bound (what was read, plus the worst component left) and an
+list of its vectors sorted by that component. For a query the lists are read sequentially from their better end, to growing
+depths. Every vector then has a lower score bound (what was read, plus the worst component left) and an
 upper one (what was read, plus the last component read of each list it has not appeared in). Reading stops when no vector
 outside the kept set can reach the k-th lower bound; final scores of that set are then resolved exactly.
 A block's k best of each query, ties to the smaller id, are merged by rank.
@@ -15,13 +15,16 @@ count as padded with zeros; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Vectors of a block, queries of a block (they are gone over AT_ONCE at a time, which bounds memory), and stretches of reading.
-BLOCK, QUERIES, AT_ONCE, STRETCHES = 8192, 8192, 256, 4
+#: Vectors of a block, queries of a block (they are gone over AT_ONCE at a time, which bounds memory), and the shares
+#: of the lists at which reading pauses.
+BLOCK, QUERIES, AT_ONCE, DEPTHS = 8192, 8192, 256, (1 / 16, 1 / 4, 1)
 
 
 def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -69,11 +72,13 @@ class SortedLists:
         out: list = [([], [])] * len(queries)
         open_ = np.arange(len(queries))
         least = np.iinfo(np.int64).min if self.exact is np.int64 else -np.inf
-        for stretch in range(1, STRETCHES + 1):
-            depth = -(-n * stretch // STRETCHES)
+        before = 0
+        for share in DEPTHS:
+            depth = max(1, math.ceil(n * share))
             top, bottom = self.lists[n - depth], self.lists[depth - 1]
             up, down = rising[open_], falling[open_]
-            self.reads += depth * int(np.count_nonzero(queries[open_]))
+            self.reads += (depth - before) * int(np.count_nonzero(queries[open_]))
+            before = depth
             upper = up @ np.maximum(v, top).T + down @ np.minimum(v, bottom).T
             lower = up @ np.where(v >= top, v, self.lists[0]).T + down @ np.where(v <= bottom, v, self.lists[-1]).T
             mine = own_ids[open_][:, None] == self.ids[None, :]
@@ -81,7 +86,7 @@ class SortedLists:
             upper[mine] = least
             kth = np.partition(lower, max(0, n - k), axis=1)[:, max(0, n - k)]
             kept = (upper >= kth[:, None]) & ~mine
-            done = (kept.sum(axis=1) <= 8 * k) | (stretch == STRETCHES)
+            done = (kept.sum(axis=1) <= 8 * k) | (depth == n)
             for i in np.flatnonzero(done):
                 rows = np.flatnonzero(kept[i])
                 scores = v[rows] @ queries[open_[i]]
