@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, let, sized, table, written
+from .common import dropped, fresh, let, shuffled, table, written
 
 MIN_CHARS = 30
 SEGMENT = 8
@@ -77,10 +77,10 @@ def _wanted(classes: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The wanted classes with the text s of their first line."""
     flags = ["own_p", "own_s", "long_p", "long_s"]
-    first = lines.select("doc_id", "row", "line_no", "h1", "h2", "at").join(sized(wanted), ["h1", "h2", "at"]).dropDuplicates(["h1", "h2"])
+    first = lines.select("doc_id", "row", "line_no", "h1", "h2", "at").join(shuffled(wanted), ["h1", "h2", "at"]).dropDuplicates(["h1", "h2"])
     by_text = written(first.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line_no", "at", "h1", "h2", *flags)).alias("asked")), "asked")
     mine = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null").withColumn("row", _row(F.col("id"), F.col("text")))
-    found = mine.join(sized(by_text), "row").filter(F.col("id").eqNullSafe(F.col("doc_id")))
+    found = mine.join(shuffled(by_text), "row").filter(F.col("id").eqNullSafe(F.col("doc_id")))
     pick = let(_split(F.col("text")), lambda parts: F.transform("asked", lambda a: F.struct(a.alias("a"), F.get(parts, a["line_no"]).alias("line"))))
     found = found.select(F.explode(pick).alias("f")).select("f.a.*", _compared(F.col("f.line")).alias("s"))
     out = written(found.select("at", "h1", "h2", "s", *flags).dropDuplicates(["h1", "h2"]), "candidates")
@@ -171,7 +171,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = _near(candidates).withColumn("near", F.lit(True))
     verdict = classes.select("h1", "h2", F.col("at").alias("first"), "c").join(near, ["h1", "h2"], "left").filter("near or c > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     verdict = written(verdict, "line-verdicts")
-    gone = lines.select("doc_id", "row", "line_no", "at", "h1", "h2").join(sized(verdict), ["h1", "h2"]).filter("near or at > first")
+    gone = lines.select("doc_id", "row", "line_no", "at", "h1", "h2").join(shuffled(verdict), ["h1", "h2"]).filter("near or at > first")
     gone = written(gone.select("doc_id", "row", "line_no"), "line-drops")
     for t in (lines, classes, wanted, candidates, verdict):
         dropped(t)
@@ -182,7 +182,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every row of ``docs`` with its text less the dropped lines, and n_lines, n_dropped (in place of columns so named)."""
     lines = dropped_lines(docs, id_col, text_col, min_chars).distinct().groupBy("doc_id", "row").agg(F.collect_list("line_no").alias("gone"))
     key, of, row, gone = fresh(docs, 4)
-    drops = sized(written(lines.select(F.col("doc_id").alias(of), F.col("row").alias(row), F.col("gone").alias(gone)), "gone"))
+    drops = shuffled(written(lines.select(F.col("doc_id").alias(of), F.col("row").alias(row), F.col("gone").alias(gone)), "gone"))
     keyed = docs.withColumn(key, _row(F.col(id_col).cast("long"), F.col(text_col)))
     out = keyed.join(drops, (F.col(key) == F.col(row)) & docs[id_col].cast("long").eqNullSafe(F.col(of)), "left")
     text = let(_split(F.col(text_col)), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)), lambda i: F.get(parts, i)), "\n"))
