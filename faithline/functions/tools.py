@@ -59,22 +59,20 @@ def called_checklist(completion: Column, gold: Column, mode: str, style: str, sh
     if mode == "none":
         return F.lit(None).cast("array<struct<item:string,pos:int,answer:boolean>>")
     if mode == "structured":
-        answers = text.bool_list(completion, short=short)
-        return F.when(valid_bools(answers), text.bools_to_checklist(answers, gold))
-    checklist = text.tool_checklist(completion, style, short=short)
-    return F.when(valid_checklist(checklist), checklist)
+        return text.let(text.bool_list(completion, short=short), lambda a: F.when(valid_bools(a), text.bools_to_checklist(a, gold)))
+    return text.let(text.tool_checklist(completion, style, short=short), lambda c: F.when(valid_checklist(c), c))
 
 
 def graded(completion: Column, gold: Column, weights: Column, mode: str = "none", short: bool = False) -> tuple[Column, Column]:
     """(score, checklist of the tool call) that a completion of a grading task comes to."""
     call = called_checklist(completion, gold, mode, "rubric", short)
-    return (text.final_grade(completion, short) if mode == "none" else structures.rubric_score(call, weights)), call
+    return (text.final_grade(completion, short) if mode == "none" else text.let(call, lambda c: structures.rubric_score(c, weights))), call
 
 
 def judged(completion: Column, gold: Column, gold_verdict: Column, mode: str = "none", short: bool = False) -> tuple[Column, Column]:
     """(verdict, checklist of the tool call) that a completion of a claim task comes to."""
     call = called_checklist(completion, gold, mode, "question", short)
-    return (text.final_verdict(completion, short) if mode == "none" else structures.verdict(call, gold, gold_verdict)), call
+    return (text.final_verdict(completion, short) if mode == "none" else text.let(call, lambda c: structures.verdict(c, gold, gold_verdict))), call
 
 
 def queried(completion: Column, mode: str = "none", short: bool = False) -> tuple[Column, Column]:
