@@ -140,7 +140,7 @@ def test_registered_plans(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
         pytest.skip("no test tables here")
-    for name in ("dsl_filter_eq", "dsl_argmax", "dsl_before", "dsl_third", "dsl_sum"):
+    for name in ("dsl_filter_eq", "dsl_argmax", "dsl_before", "dsl_last", "dsl_sum"):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and plan.count("Exchange") == 1, name
     df = spark.createDataFrame([(t, 10 * r + t, str(r * 7 % 5)) for t in range(3) for r in range(t + 1)], "key int, at int, x string")
