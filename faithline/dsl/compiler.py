@@ -1,29 +1,50 @@
-"""Programs as one grouped plan over a family of tables.
+"""Programs as grouped plans over a family of tables.
 
-A family is a DataFrame with key columns, a row number and cell columns; a program runs on the table of every key. Row sets
-become boolean columns, and everything that looks at a row set becomes an aggregate under that condition, so a program is
-one ``groupBy(keys).agg(...)`` and a projection, with partial aggregation and no list of rows. Where a filter compares with
-a value computed from the table itself, the aggregates it needs so far become window columns over the keys first.
-Errors are values: every node carries a condition under which it fails, and a program is executable if none holds."""
+A family is a DataFrame with key columns, a column that orders a table's rows and cells; a program runs on the table of every key. Row sets
+become boolean columns, and everything that looks at one becomes an aggregate under that condition, so a program is
+one ``groupBy(keys).agg(...)`` and a projection, with partial aggregation, no list of rows and no order but minima and maxima.
+
+Where rows are compared with a value that their own table gives (a filter by an average, the second row of a set, a row's number), the plan has phases:
+the value is aggregated, joined back to the rows (``phases.joined_back``, salted where a table is hot) and looked at by the next phase's aggregates. All values
+of a phase come from one aggregation, and equal expressions are one. Errors are values: every node carries a condition under which it fails, and a program is
+executable if none holds."""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .parser import Call, Literal, Node, Program, ProgramError, parse_program
+from .parser import Call, Literal, Node, Program, ProgramError, parse_expr, parse_program
+from .phases import joined_back
 from .registry import ARITY
-from .values import norm_text, parse_number, strict_number
+from .values import norm_text, number_of, parse_number, strict_number, strip, text_of
+
+_NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
+
+
+@dataclass
+class Field:
+    """A column of a family's tables: its cells, as Columns of the rows."""
+
+    key: object  # names the column in the keys of aggregates
+    raw: Column  # text, never null
+    numeric: Column | None = None  # the cells as numbers, where some are stored so
+    known: Column | None = None  # whether the row's table has the column; None: every table has it
+    plain: bool = False  # cells are numbers, no texts
+    # given by the compiler
+    number: Column | None = None
+    text: Column | None = None
+
 
 @dataclass(frozen=True)
 class Family:
-    """A DataFrame of tables: ``keys`` name a table, ``row`` numbers its rows from 0, ``columns`` are its cells. Where not
-    ``dense``, ``row`` is any column that orders a table's rows without ties; they are numbered only for programs that need numbers."""
+    """A DataFrame of tables: ``keys`` name a table, ``row`` orders its rows without ties, ``columns`` are its cells. Where ``dense``,
+    ``row`` numbers a table's rows from 0."""
 
     df: DataFrame
     keys: tuple[str, ...]
@@ -35,16 +56,49 @@ class Family:
         cells = self.columns or tuple(c for c in self.df.columns if c not in (*self.keys, self.row))
         return {c.strip().lower(): c for c in cells}
 
-    def numbered(self) -> Family:
-        """The family with row numbers, at the price of a window over every table."""
-        if self.dense:
-            return self
-        row = F.row_number().over(Window.partitionBy(*self.keys).orderBy(self.row)).cast("long") - 1
-        return Family(self.df.withColumn("__row", row), self.keys, "__row", tuple(self.names().values()))
+    def stored(self) -> list[str]:
+        """The columns that cells come from."""
+        return list(self.names().values())
+
+    def over(self, df: DataFrame, keys: tuple[str, ...]) -> Family:
+        """The same cells in another DataFrame, where tables may have more keys."""
+        return Family(df, keys, self.row, tuple(self.names().values()), self.dense)
+
+    def field(self, name: str | Column) -> Field:
+        """The column of a name: one that is known when the plan is made, or one that each row may have another of."""
+        types = dict(self.df.dtypes)
+        if isinstance(name, str):
+            key = name.strip().lower()
+            c = self.names().get(key)
+            if c is None:
+                return Field(key, F.lit(""), known=F.lit(False))
+            plain = types[c].startswith(_NUMERIC)
+            return Field(key, F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).cast("double") if plain else None, plain=plain)
+        wanted, every = F.lower(strip(name)), self.names()
+        raw = F.coalesce(*[F.when(wanted == k, F.col(c).cast("string")) for k, c in every.items()], F.lit(""))
+        numbers = [F.when(wanted == k, F.col(c).cast("double")) for k, c in every.items() if types[c].startswith(_NUMERIC)]
+        return Field(str(name), raw, F.coalesce(*numbers) if numbers else None, wanted.isin(*every))
+
+
+@dataclass(frozen=True)
+class Ragged(Family):
+    """Tables that need not have the same columns: a row holds its table's ``names`` (normal form) and its ``cells``, and a column is looked up
+    in each row. Of equal names the last one counts."""
+
+    header: str = "__names"
+    cells: str = "__cells"
+
+    def stored(self) -> list[str]:
+        return [self.header, self.cells]
 
+    def over(self, df: DataFrame, keys: tuple[str, ...]) -> Ragged:
+        return Ragged(df, keys, self.row, None, self.dense, self.header, self.cells)
 
-class NeedsNumbers(Exception):
-    """The program uses a row as a number, and the family's rows are only ordered."""
+    def field(self, name: str | Column) -> Field:
+        key, wanted = (name.strip().lower(), F.lit(name.strip().lower())) if isinstance(name, str) else (str(name), F.lower(strip(name)))
+        before_last = F.array_position(F.reverse(self.header), wanted)
+        raw = F.coalesce(F.get(self.cells, F.when(before_last > 0, F.size(self.header) - before_last).cast("int")), F.lit(""))
+        return Field(key, raw, known=before_last > 0)
 
 
 class Fails(Exception):
@@ -54,17 +108,23 @@ class Fails(Exception):
 @dataclass
 class Value:
     kind: str  # rows, row, text, number, bool, or hop: cells of a row set, a scalar if that has one row
-    col: Column | None = None  # of a row number or scalar, by group
+    col: Column | None = None  # of a scalar, or a row's place in the family's order, by table
     error: Column | None = None
     literal: object = None
-    # rows
+    needs: frozenset[str] = frozenset()  # the aggregates that col and error are made of; none: it holds for rows and tables alike
+    # a text's number and normal form, where they are there already
+    number: Column | None = None
+    text: Column | None = None
+    # rows: the condition, the phase whose rows have all that it takes, and how many columns of rows are made one from another for it
     where: Column | None = None
-    hint: str | None = None
+    phase: int = 0
+    depth: int = 0
+    hint: Field | None = None
     # row: the cell of this row
-    pick: Callable[[str], Column] | None = None
+    pick: Callable[[Field], Column] | None = None
     # hop over rows
     rows: Value | None = None
-    name: str | None = None
+    column: Field | None = None
     # names this value in the keys of aggregates; an address could be another value's later on
     uid: int = field(default_factory=itertools.count().__next__)
 
@@ -74,64 +134,118 @@ def _any(*errors: Column | None) -> Column | None:
     return reduce(lambda a, b: a | b, found) if found else None
 
 
-@dataclass
 class Compiler:
-    family: Family
-    aggs: dict[str, Column] = field(default_factory=dict)
-    windowed: dict[str, Callable[[], Column]] = field(default_factory=dict)
-    seen: dict[object, str] = field(default_factory=dict)
-    fixed: set[str] = field(default_factory=set)  # aggregates that are row columns already
-
-    def __post_init__(self):
-        self.df, self.columns = self.family.df, self.family.names()
-        types = dict(self.df.dtypes)
-        self.numeric = {c for c in self.columns.values() if types[c] in ("double", "float", "int", "bigint", "smallint", "tinyint") or types[c].startswith("decimal")}
-        self.row = F.col(self.family.row)
-
-    # aggregates and windows
-
-    def agg(self, key: object, column: Column, windowed: Callable[[], Column] | None = None) -> Column:
-        """windowed: the same for use over a window, where that takes another form."""
+    """The aggregates of programs over a family. ``literal`` gives the Value of a literal that is no word of the language;
+    ``constants`` are columns that hold for a whole table."""
+
+    def __init__(self, family: Family, literal: Callable[[str], Value] | None = None, constants: Iterable[str] = ()):
+        self.family, self.constants = family, tuple(constants)
+        self.literal = literal or (lambda raw: Value("text", F.lit(raw), literal=raw))
+        self.row = F.col(family.row)
+        self.base = F.lit(True)  # the rows that all_rows has
+        self.aggs: dict[str, tuple[Column, int]] = {}
+        self.seen: dict[object, str] = {}
+        self.back: dict[str, tuple[Column, int, frozenset[str]]] = {}  # values that are joined back: (value, phase that gives it, its aggregates)
+        self.made: dict[object, tuple[str, Column, int, int]] = {}  # columns of the rows: (name, Column, phase, depth)
+        self.kept: dict[object, str] = {}
+        self.of_tables: dict[str, tuple[Column, frozenset[str], int]] = {}  # columns of the tables made from aggregates: (Column, what it needs, depth)
+        self.touched: set[str] = set()
+        self.values: dict[object, Value] = {}
+        self.fields: dict[object, Field] = {}
+
+    def scope(self, name: object, base: Column) -> None:
+        """From here on a program whose tables are told by ``base``."""
+        self.base, self.values = base, {}
+
+    # aggregates and phases
+
+    def agg(self, key: object, column: Column, phase: int) -> Column:
         name = self.seen.get(key)
         if name is None:
             name = self.seen[key] = f"__a{len(self.seen)}"
-            self.aggs[name] = column
-            self.windowed[name] = windowed or (lambda: column)
+            self.aggs[name] = (column, phase)
+        self.touched.add(name)
         return F.col(name)
 
-    def lift(self) -> None:
-        """Make every aggregate so far a column of the rows."""
-        w = Window.partitionBy(*self.family.keys)
-        new = {n: self.windowed[n]().over(w) for n in self.aggs if n not in self.fixed}
-        if new:
-            self.df = self.df.withColumns(new)
-            self.fixed |= set(new)
-
-    # cells
-
-    def column(self, name: str) -> str | None:
-        return self.columns.get(name.strip().lower())
-
-    def number(self, c: str) -> Column:
-        return F.col(c).cast("double") if c in self.numeric else parse_number(F.col(c))
-
-    def text(self, c: str) -> Column:
-        return norm_text(F.col(c).cast("string"))
+    def of_rows(self, key: object, column: Column, phase: int, depth: int) -> Column:
+        """A column of the rows of a phase that is worked out once and used in several places; ``depth`` orders columns made from others."""
+        if key not in self.made:
+            self.made[key] = (f"__c{len(self.made)}", column, phase, depth)
+        return F.col(self.made[key][0])
+
+    def phase_of(self, needs: Iterable[str]) -> int:
+        return max((self.aggs[n][1] for n in needs if n in self.aggs), default=0)
+
+    def once(self, key: object, v: Value, make: Callable[[], Column]) -> Column:
+        """A Column made of a table's value that is worked out once and used in several places."""
+        if key not in self.kept:
+            outer, self.touched = self.touched, set(v.needs)
+            col, needs = make(), frozenset(self.touched)
+            self.touched = outer
+            if not needs:
+                return col
+            name = self.kept[key] = f"__t{len(self.kept)}"
+            self.of_tables[name] = (col, needs, 1 + max((self.of_tables[n][2] for n in needs if n in self.of_tables), default=0))
+        name = self.kept[key]
+        self.touched |= {name} | self.of_tables[name][1]
+        return F.col(name)
 
-    def raw(self, c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    def at_rows(self, v: Value, make: Callable[[], Column]) -> tuple[Column, int]:
+        """A Column made of a table's value, for its rows, and the phase whose rows have it."""
+        outer, self.touched = self.touched, set(v.needs)
+        col = make()
+        needs = frozenset(self.touched)
+        self.touched = outer | needs
+        if not needs:
+            return col, 0
+        name = f"__v{len(self.back)}"
+        phase = self.phase_of(needs)
+        self.back[name] = (col, phase, needs)
+        return F.col(name), phase + 1
+
+    def grouped(self, needs: Iterable[str]) -> DataFrame:
+        """The tables' keys with the aggregates of these names."""
+        df, keys, wanted = self.family.df, self.family.keys, set(needs)
+        fixed = [F.first(c).alias(c) for c in self.constants]
+
+        def with_columns(df: DataFrame, phase: int) -> DataFrame:
+            mine = [m for m in self.made.values() if m[2] == phase]
+            for depth in sorted({m[3] for m in mine}):
+                df = df.withColumns({m[0]: m[1] for m in mine if m[3] == depth})
+            return df
+
+        def made_of(tables: DataFrame, names: Iterable[str]) -> DataFrame:
+            mine = {n: self.of_tables[n] for n in names if n in self.of_tables}
+            for depth in sorted({m[2] for m in mine.values()}):
+                tables = tables.withColumns({n: m[0] for n, m in mine.items() if m[2] == depth})
+            return tables
+        df = with_columns(df, 0)
+        for phase in sorted({b[1] for b in self.back.values()}):
+            here = {n: v for n, v in self.back.items() if v[1] == phase}
+            names = sorted(frozenset().union(*(v[2] for v in here.values())))
+            tables = made_of(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *fixed, *[self.aggs[n][0].alias(n) for n in names if n in self.aggs]), names)
+            tables = tables.select(*keys, "__n", *[col.alias(n) for n, (col, _, _) in here.items()])
+            df = with_columns(joined_back(df, tables, keys, self.family.row), phase + 1)
+        aggs = [self.aggs[n][0].alias(n) for n in sorted(wanted) if n in self.aggs]
+        return made_of(df.groupBy(*keys).agg(*fixed, *(aggs or [F.count(F.lit(1)).alias("__n")])), wanted)
 
     # scalars
 
     def scalar(self, v: Value) -> Value:
         """A hop as the scalar it is if its row set has one row."""
         if v.kind == "hop":
-            return Value("text", self.first_cell(v), _any(v.error, self.count(v.rows) != 1))
+            outer, self.touched = self.touched, set(v.needs)
+            out = Value("text", self.first_cell(v), _any(v.error, self.count(v.rows) != 1))
+            out.needs = frozenset(self.touched)
+            self.touched = outer | out.needs
+            return out
         if v.kind == "rows":
             return Value("text", F.lit(None).cast("string"), F.lit(True))
         return v
 
     def to_number(self, v: Value) -> Column:
+        if v.number is not None:
+            return v.number
         if isinstance(v.literal, str):
             return parse_number(F.lit(v.literal))
         if v.kind == "number":
@@ -139,34 +253,29 @@ class Compiler:
         if v.kind == "row":
             return self.row_number(v).cast("double")
         if v.kind == "text":
-            return parse_number(v.col)
+            return self.once(("number of", v.uid), v, lambda: parse_number(v.col))
         return F.lit(None).cast("double")
 
     def to_text(self, v: Value) -> Column:
-        return norm_text((self.row_number(v) if v.kind == "row" else v.col).cast("string"))
+        if v.text is not None:
+            return v.text
+        return self.once(("text of", v.uid), v, lambda: norm_text((self.row_number(v) if v.kind == "row" else v.col).cast("string")))
 
     def row_number(self, v: Value) -> Column:
-        if not self.family.dense:
-            raise NeedsNumbers
-        return v.col
+        """A row's number in its table: how many rows are before it."""
+        if v.number is not None:
+            return v.number
+        if self.family.dense:
+            return v.col
+        place, phase = self.at_rows(v, lambda: v.col)
+        return self.agg(("number", v.uid), F.sum(F.when(place.isNotNull(), (self.row < place).cast("long"))), phase)
 
     def count(self, rows: Value) -> Column:
-        return self.agg(("count", rows.uid), F.count_if(rows.where))
-
-    def distinct_over(self, t: Column) -> Column:
-        """Rows whose text did not occur above them in their table, to count over a window."""
-        w = Window.partitionBy(*self.family.keys, t).orderBy(self.family.row)
-        name = f"__first{len(self.df.columns)}"
-        self.df = self.df.withColumn(name, t.isNotNull() & (F.row_number().over(w) == 1))
-        return F.count_if(F.col(name))
+        return self.agg(("count", rows.uid), F.count_if(rows.where), rows.phase)
 
     def first_cell(self, hop: Value) -> Column:
-        c, w = hop.name, hop.rows.where
-        return self.agg(("cell", hop.rows.uid, c), F.min_by(F.when(w, self.raw(c)), F.when(w, self.row)))
-
-    def cells(self, hop: Value) -> Column:
-        pairs = self.agg(("cells", hop.rows.uid, hop.name), F.collect_list(F.when(hop.rows.where, F.struct(self.row.alias("r"), self.raw(hop.name).alias("v")))))
-        return F.transform(F.array_sort(pairs), lambda x: x["v"])
+        w = hop.rows.where
+        return self.agg(("cell", hop.rows.uid, hop.column.key), F.min_by(F.when(w, hop.column.raw), F.when(w, self.row)), hop.rows.phase)
 
     @staticmethod
     def same(na: Column, ta: Column, nb: Column, tb: Column) -> Column:
@@ -180,15 +289,28 @@ class Compiler:
     # evaluation
 
     def eval(self, node: Node) -> Value:
-        if isinstance(node, Literal):
-            raw = node.text.strip()
-            if raw == "all_rows":
-                return Value("rows", where=F.lit(True))
-            if raw.lower() in ("true", "false"):
-                return Value("bool", F.lit(raw.lower() == "true"), literal=raw.lower() == "true")
-            if len(raw) >= 2 and raw[0] == raw[-1] == '"':
-                raw = raw[1:-1]
-            return Value("text", F.lit(raw), literal=raw)
+        """A node's value; equal nodes are one value, and so are their aggregates."""
+        v = self.values.get(node)
+        if v is None:
+            outer, self.touched = self.touched, set()
+            v = self._literal(node) if isinstance(node, Literal) else self._call(node)
+            v.needs = frozenset(self.touched)
+            self.touched = outer
+            self.values[node] = v
+        self.touched |= v.needs
+        return v
+
+    def _literal(self, node: Literal) -> Value:
+        raw = node.text.strip()
+        if raw == "all_rows":
+            return Value("rows", where=self.base)
+        if raw.lower() in ("true", "false"):
+            return Value("bool", F.lit(raw.lower() == "true"), literal=raw.lower() == "true")
+        if len(raw) >= 2 and raw[0] == raw[-1] == '"':
+            raw = raw[1:-1]
+        return self.literal(raw)
+
+    def _call(self, node: Call) -> Value:
         if node.name not in ARITY:
             raise Fails(f"unknown operator {node.name}")
         args = [self.eval(a) for a in node.args]
@@ -205,55 +327,83 @@ class Compiler:
             raise Fails("a row set is asked for")
         return v
 
-    def field_of(self, v: Value) -> str:
-        return str(v.literal) if v.literal is not None else "\0"
-
-    def missing(self, rows: Value) -> Column:
+    def field_of(self, v: Value) -> Field:
+        """The column that a value names."""
+        if v.kind in ("rows", "hop"):
+            raise Fails("a column's name is asked for")
+        name, phase = (str(v.literal), 0) if v.literal is not None else self.at_rows(v, lambda: v.col.cast("string"))
+        return self.cells(name, phase)
+
+    def cells(self, name: str | Column, phase: int = 0) -> Field:
+        key = name.strip().lower() if isinstance(name, str) else str(name)
+        if key not in self.fields:
+            f = self.family.field(name)
+            f.raw = self.of_rows((key, "raw"), f.raw, phase, 0)
+            f.known = f.known if f.known is None else self.of_rows((key, "known"), f.known, phase, 0)
+            bare = self.of_rows((key, "bare"), strip(f.raw), phase, 1)
+            parsed = f.numeric if f.plain else number_of(bare) if f.numeric is None else F.coalesce(f.numeric, number_of(bare))
+            f.number = self.of_rows((key, "number"), parsed, phase, 2)
+            f.text = self.of_rows((key, "text"), text_of(bare), phase, 2)
+            self.fields[key] = f
+        return self.fields[key]
+
+    def unknown(self, c: Value, f: Field) -> Column | None:
         """An unknown column fails as soon as a row is visited."""
-        return self.count(rows) > 0
+        if f.known is None:
+            return None
+        return (self.count(c) > 0) & ~F.coalesce(self.agg(("known", f.key), F.bool_or(f.known), 0), F.lit(False))
 
     def row_of(self, v: Value) -> Value:
         if v.kind == "row":
             return v
         if v.kind == "rows":
             return self.do_top("top", v)
-        if v.kind == "bool":
-            return Value("row", self.row_number(v).cast("long"))
+        if v.kind == "bool":  # the row of number 0 or 1
+            if self.family.dense:
+                return Value("row", v.col.cast("long"), needs=v.needs)
+            first = Value("row", self.agg("first row", F.min(self.row), 0), needs=frozenset([self.seen["first row"]]))
+            at, phase = self.at_rows(first, lambda: first.col)
+            second = self.agg("second row", F.min(F.when(self.row > at, self.row)), phase)
+            return Value("row", F.when(v.col, second).otherwise(first.col), number=v.col.cast("long"), needs=v.needs | first.needs | {self.seen["second row"]})
         raise Fails("a row is asked for")
 
     # filters
 
-    def do_filter(self, name: str, c: Value, f: Value, v: Value) -> Value:
-        c, field_name, op = self.rowset(c), self.field_of(f), name.removeprefix("filter_")
-        col = self.column(field_name)
-        if col is None:
-            return Value("rows", where=F.lit(False), hint=field_name, error=self.missing(c))
+    def compared(self, c: Value, v: Value, texts: bool) -> tuple[Column, Column | None, Column | None, int]:
+        """(number, text, error, phase) of a value that cells of a row set are compared with. That it is no scalar fails, in
+        comparisons of texts, with the first row; in others it is no number."""
         error = None
         if v.kind in ("hop", "rows"):
-            plain = self.scalar(v)
-            error = plain.error & self.missing(c) if op in ("eq", "not_eq") else v.error
-            v = plain if op in ("eq", "not_eq") else Value("text", F.when(plain.error, F.lit(None)).otherwise(plain.col))
-        if v.literal is None:
-            self.lift()
-        n, m = self.number(col), self.to_number(v)
+            v = self.scalar(v)
+            if texts:
+                error = v.error & (self.count(c) > 0)
+            else:
+                v = Value("text", F.when(v.error, F.lit(None)).otherwise(v.col), needs=v.needs)
+        m, phase = self.at_rows(v, lambda: self.to_number(v))
+        t, later = self.at_rows(v, lambda: self.to_text(v)) if texts else (None, 0)
+        return m, t, error, max(phase, later)
+
+    def do_filter(self, name: str, c: Value, f: Value, v: Value) -> Value:
+        c, f, op = self.rowset(c), self.field_of(f), name.removeprefix("filter_")
+        m, t, error, phase = self.compared(c, v, op in ("eq", "not_eq"))
         if op in ("eq", "not_eq"):
-            hit = self.same(n, self.text(col), m, self.to_text(v))
+            hit = self.same(f.number, f.text, m, t)
             hit = hit if op == "eq" else ~hit
         else:
-            hit = self.ordered(op, n, m)
-        return Value("rows", where=c.where & F.coalesce(hit, F.lit(False)), hint=field_name, error=error)
+            hit = self.ordered(op, f.number, m)
+        known = F.lit(True) if f.known is None else f.known
+        out = Value("rows", hint=f, error=_any(error, self.unknown(c, f)), phase=max(c.phase, phase), depth=max(c.depth, 2) + 1)
+        out.where = self.of_rows(("where", out.uid), c.where & known & F.coalesce(hit, F.lit(False)), out.phase, out.depth)
+        return out
 
     # comparisons, logic, arithmetic
 
     def do_eq(self, name: str, a: Value, b: Value) -> Value:
         a, b = self.scalar(a), self.scalar(b)
         hit = self.same(self.to_number(a), self.to_text(a), self.to_number(b), self.to_text(b))
-        return Value("bool", hit, _any(a.error, b.error))
+        return Value("bool", hit if name == "eq" else ~hit, _any(a.error, b.error))
 
-    def do_not_eq(self, name: str, a: Value, b: Value) -> Value:
-        out = self.do_eq(name, a, b)
-        out.col = ~out.col
-        return out
+    do_not_eq = do_eq
 
     def _both(self, a: Value, b: Value) -> tuple[Column, Column, Column]:
         a, b = self.scalar(a), self.scalar(b)
@@ -300,47 +450,42 @@ class Compiler:
     # navigation
 
     def do_hop(self, name: str, base: Value, f: Value) -> Value:
-        col = self.column(self.field_of(f))
+        f = self.field_of(f)
         if base.kind == "rows":
-            if col is None:
-                return Value("text", F.lit(""), self.missing(base))
-            return Value("hop", rows=base, name=col)
+            return Value("hop", rows=base, column=f, error=self.unknown(base, f))
+        every = self.eval(Literal("all_rows"))
         if base.kind == "bool":
             base = self.row_of(base)
-        if base.kind != "row" or col is None:
+        if base.kind != "row":
             raise Fails("hop takes a row or row set, and a column")
         if base.pick is not None:
-            return Value("text", F.coalesce(base.pick(col), F.lit("")))
-        self.lift()
-        at = F.when(self.row == base.col, self.raw(col))
-        got = self.agg(("at", base.uid, col), F.max(at))
-        return Value("text", got, got.isNull())
+            return Value("text", F.coalesce(base.pick(f), F.lit("")), self.unknown(every, f))
+        at, phase = self.at_rows(base, lambda: base.col)
+        got = self.agg(("at", base.uid, f.key), F.max(F.when(self.row == at, f.raw)), phase)
+        return Value("text", got, _any(got.isNull(), self.unknown(every, f)))
 
-    def _extreme(self, c: Value, col: str, largest: bool) -> Value:
+    def _extreme(self, c: Value, f: Field, largest: bool) -> Value:
         """First row of the largest or smallest number; a NaN is taken only if it is the first number."""
-        n = self.number(col)
+        n = f.number
         counts = c.where & n.isNotNull()
         by = F.struct(-n if largest else n, self.row)
-        key = ("extreme", c.uid, col, largest)
+        key = ("extreme", c.uid, f.key, largest)
 
         def of(what: Column, tag: object) -> Column:
-            best = self.agg((*key, tag), F.min_by(what, F.when(counts & ~F.isnan(n), by)))
-            if col in self.numeric:
+            best = self.agg((*key, tag), F.min_by(what, F.when(counts & ~F.isnan(n), by)), c.phase)
+            if f.plain:
                 return best
-            first = self.agg((*key, tag, "first"), F.min_by(what, F.when(counts, self.row)))
-            return F.when(self.agg((*key, "nan"), F.min_by(F.isnan(n), F.when(counts, self.row))), first).otherwise(best)
+            first = self.agg((*key, tag, "first"), F.min_by(what, F.when(counts, self.row)), c.phase)
+            return F.when(self.agg((*key, "nan"), F.min_by(F.isnan(n), F.when(counts, self.row)), c.phase), first).otherwise(best)
         row = of(self.row, "row")
-        return Value("row", row, row.isNull(), pick=lambda f: of(self.raw(f), f))
+        return Value("row", row, _any(row.isNull(), self.unknown(c, f)), pick=lambda g: of(g.raw, g.key))
 
     def do_argmax(self, name: str, c: Value, f: Value | None = None) -> Value:
         c = self.rowset(c)
-        field_name = c.hint if f is None else self.field_of(f)
-        if field_name is None:
+        f = c.hint if f is None else self.field_of(f)
+        if f is None:
             raise Fails(f"{name} needs a field")
-        col = self.column(field_name)
-        if col is None:
-            return Value("row", F.lit(None), F.lit(True))
-        return self._extreme(c, col, name == "argmax")
+        return self._extreme(c, f, name == "argmax")
 
     do_argmin = do_argmax
 
@@ -348,26 +493,30 @@ class Compiler:
         c = self.rowset(c)
         choose, key = (F.min_by, "top") if name == "top" else (F.max_by, "bottom")
         at = F.when(c.where, self.row)
-        row = self.agg((key, c.uid), (F.min if name == "top" else F.max)(at))
-        return Value("row", row, row.isNull(), pick=lambda f: self.agg((key, c.uid, f), choose(self.raw(f), at)))
+        row = self.agg((key, c.uid), (F.min if name == "top" else F.max)(at), c.phase)
+        return Value("row", row, row.isNull(), pick=lambda f: self.agg((key, c.uid, f.key), choose(f.raw, at), c.phase))
 
     do_bottom = do_top
 
     def do_before(self, name: str, a: Value, b: Value) -> Value:
+        numbers = a.kind == "bool" or b.kind == "bool"  # rows that may not be there have no place
         a, b = self.row_of(a), self.row_of(b)
-        return Value("bool", a.col < b.col if name == "before" else a.col > b.col, _any(a.error, b.error))
+        x, y = (self.row_number(a), self.row_number(b)) if numbers else (a.col, b.col)
+        return Value("bool", x < y if name == "before" else x > y, _any(a.error, b.error))
 
     do_after = do_before
 
     def _nth(self, name: str, c: Value, d: Value) -> Value:
+        """Is a row the one with so many of the set before it? It is known by its place, so its rank is a count."""
         k = ("first", "second", "third", "fourth", "fifth").index(name)
         c, d = self.rowset(c), self.row_of(d)
         if k == 0:
             return Value("bool", F.coalesce(self.do_top("top", c).col == d.col, F.lit(False)), d.error)
-        self.lift()
-        ahead = self.agg(("ahead", c.uid, d.uid), F.count_if(c.where & (self.row < d.col)))
-        within = self.agg(("member", c.uid, d.uid), F.coalesce(F.bool_or(c.where & (self.row == d.col)), F.lit(False)))
-        return Value("bool", within & (ahead == k), d.error)
+        at, phase = self.at_rows(d, lambda: d.col)
+        phase = max(phase, c.phase)
+        ahead = self.agg(("ahead", c.uid, d.uid), F.count_if(c.where & (self.row < at)), phase)
+        member = self.agg(("member", c.uid, d.uid), F.bool_or(c.where & (self.row == at)), phase)
+        return Value("bool", F.coalesce(member, F.lit(False)) & (ahead == k), d.error)
 
     do_first = do_second = do_third = do_fourth = do_fifth = _nth
 
@@ -376,15 +525,9 @@ class Compiler:
         return Value("bool", F.coalesce(self.do_top("bottom", c).col == d.col, F.lit(False)), d.error)
 
     def do_rank(self, name: str, c: Value, f: Value) -> Value:
-        c, col = self.rowset(c), self.column(self.field_of(f))
-        top = self.do_top("top", c)
-        if col is None:
-            return Value("text", F.lit(""), F.lit(True))
-        rank = self.column("rank")
-        if rank is None:
-            return Value("text", F.coalesce(top.pick(col), F.lit("")), top.error)
-        best = self._extreme(c, rank, False)
-        return Value("text", F.coalesce(F.when(best.col.isNotNull(), best.pick(col)).otherwise(top.pick(col)), F.lit("")), top.error)
+        c, f = self.rowset(c), self.field_of(f)
+        top, best = self.do_top("top", c), self._extreme(c, self.cells("rank"), False)
+        return Value("text", F.coalesce(F.when(best.col.isNotNull(), best.pick(f)).otherwise(top.pick(f)), F.lit("")), _any(top.error, self.unknown(c, f)))
 
     # aggregates
 
@@ -394,76 +537,56 @@ class Compiler:
 
     do_half = do_count
 
-    def _list(self, v: Value) -> tuple[Column, Column]:
-        """(cells, error): a hop is a list unless its row set has exactly one row."""
+    def listed(self, v: Value) -> tuple[Value, Field, Column]:
+        """(row set, column, error) of a list: a hop, unless its row set has exactly one row."""
         if v.kind != "hop":
             raise Fails("a list is asked for")
-        return self.cells(v), _any(v.error, self.count(v.rows) == 1)
+        return v.rows, v.column, _any(v.error, self.count(v.rows) == 1)
 
     def do_sum(self, name: str, c: Value, f: Value | None = None) -> Value:
+        error = None
         if f is None:
-            cells, error = self._list(c)
-            x = F.filter(F.transform(cells, lambda v: strict_number(F.replace(v, F.lit(","), F.lit("")))), lambda v: v.isNotNull())
-            total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-            if name == "avg":
-                return Value("number", F.try_divide(total, F.size(x)), _any(error, F.size(x) == 0))
-            return Value("number", total, error)
-        c, col = self.rowset(c), self.column(self.field_of(f))
-        if col is None:
-            return Value("number", F.lit(0.0), self.missing(c) if name == "sum" else F.lit(True))
-        n = F.when(c.where, self.number(col))
-        got = self.agg((name, c.uid, col), {"sum": F.sum, "avg": F.avg}[name](n))
-        return Value("number", F.coalesce(got, F.lit(0.0))) if name == "sum" else Value("number", got, got.isNull())
+            c, f, error = self.listed(c)
+            n, key = strict_number(F.replace(f.raw, F.lit(","), F.lit(""))), f"{name} of a list"
+        else:
+            c, f = self.rowset(c), self.field_of(f)
+            n, key, error = f.number, name, self.unknown(c, f)
+        got = self.agg((key, c.uid, f.key), {"sum": F.sum, "avg": F.avg}[name](F.when(c.where, n)), c.phase)
+        return Value("number", F.coalesce(got, F.lit(0.0)), error) if name == "sum" else Value("number", got, _any(error, got.isNull()))
 
     do_avg = do_sum
 
     def do_max(self, name: str, c: Value, f: Value) -> Value:
-        c, col = self.rowset(c), self.column(self.field_of(f))
-        if col is None:
-            return Value("number", F.lit(None).cast("double"), F.lit(True))
-        if col in self.numeric:
-            got = self.agg((name, c.uid, col), (F.max if name == "max" else F.min)(F.when(c.where, self.number(col))))
+        c, f = self.rowset(c), self.field_of(f)
+        if f.plain:
+            got = self.agg((name, c.uid, f.key), (F.max if name == "max" else F.min)(F.when(c.where, f.number)), c.phase)
             return Value("number", got, got.isNull())
-        best = self._extreme(c, col, name == "max")
-        return Value("number", parse_number(best.pick(col)), best.error)
+        best = self._extreme(c, f, name == "max")
+        return Value("number", self.once((name, c.uid, f.key), best, lambda: parse_number(best.pick(f))), best.error)
 
     do_min = do_max
 
     def do_uniq(self, name: str, c: Value, f: Value) -> Value:
-        c, col = self.rowset(c), self.column(self.field_of(f))
-        if col is None:
-            return Value("number", F.lit(0.0), self.missing(c) if name == "uniq" else F.lit(True))
-        t = F.when(c.where, self.text(col))
+        c, f = self.rowset(c), self.field_of(f)
+        t, error = F.when(c.where, f.text), self.unknown(c, f)
         if name == "uniq":
-            return Value("number", self.agg(("uniq", c.uid, col), F.count_distinct(t), lambda: self.distinct_over(t)).cast("double"))
-        got = self.agg(("mode", c.uid, col), F.mode(t, True))
-        return Value("text", got, got.isNull())
+            return Value("number", self.agg(("uniq", c.uid, f.key), F.count_distinct(t), c.phase).cast("double"), error)
+        got = self.agg(("mode", c.uid, f.key), F.mode(t, True), c.phase)
+        return Value("text", got, _any(error, got.isNull()))
 
     do_most_freq = do_uniq
 
     # membership and quantifiers
 
     def do_within(self, name: str, c: Value, f: Value, v: Value) -> Value:
-        c, col = self.rowset(c), self.column(self.field_of(f))
-        if col is None:
-            return Value("bool", F.lit(name == "not_within"), self.missing(c))
-        v, error = self._plain(c, v)
-        hit = self.same(self.number(col), self.text(col), self.to_number(v), self.to_text(v))
-        got = self.agg(("within", c.uid, col, v.uid), F.coalesce(F.bool_or(c.where & hit), F.lit(False)))
-        return Value("bool", ~got if name == "not_within" else got, error)
+        c, f = self.rowset(c), self.field_of(f)
+        m, t, error, phase = self.compared(c, v, True)
+        hit = F.bool_or(c.where & self.same(f.number, f.text, m, t))
+        got = F.coalesce(self.agg(("within", c.uid, f.key, v.uid), hit, max(phase, c.phase)), F.lit(False))
+        return Value("bool", ~got if name == "not_within" else got, _any(error, self.unknown(c, f)))
 
     do_not_within = do_any_eq = do_within
 
-    def _plain(self, c: Value, v: Value) -> tuple[Value, Column | None]:
-        """A value to compare cells with; that it is no scalar fails with the first row."""
-        error = None
-        if v.kind in ("hop", "rows"):
-            v = self.scalar(v)
-            error = v.error & self.missing(c)
-        if v.literal is None:
-            self.lift()
-        return v, error
-
     def do_any(self, name: str, v: Value) -> Value:
         if v.kind == "rows":
             got = self.count(v) > 0
@@ -484,78 +607,58 @@ class Compiler:
         return Value("bool", self.count(self.rowset(c)) == 1)
 
     def do_all(self, name: str, c: Value, f: Value, v: Value | None = None) -> Value:
+        """Every cell of a row set, or of a list, against a value. Comparisons of numbers stop at the first row that decides: one that fails the test,
+        or one that cannot be compared, which is an error; so the first of either is all that is kept."""
         op = name.removeprefix("all_")
         if v is None:
-            return self._all_of_list(op, c, f)
-        c, col = self.rowset(c), self.column(self.field_of(f))
-        if col is None:
-            return Value("bool", F.lit(True), self.missing(c))
+            v = f
+            c, f, error = self.listed(c)
+        else:
+            c, f = self.rowset(c), self.field_of(f)
+            error = self.unknown(c, f)
+        m, t, wrong, phase = self.compared(c, v, op in ("eq", "not_eq"))
+        phase, key, error = max(phase, c.phase), (name, c.uid, f.key, v.uid), _any(error, wrong)
         if op in ("eq", "not_eq"):
-            v, error = self._plain(c, v)
-            hit = self.same(self.number(col), self.text(col), self.to_number(v), self.to_text(v))
-            return Value("bool", self.agg((name, c.uid, col, v.uid), F.coalesce(F.bool_and(F.when(c.where, hit if op == "eq" else ~hit)), F.lit(True))), error)
-        if v.kind in ("hop", "rows"):
-            plain = self.scalar(v)
-            v = Value("text", F.when(plain.error, F.lit(None)).otherwise(plain.col))
-        if v.literal is None:
-            self.lift()
-        n, m = self.number(col), self.to_number(v)
-        bad = n.isNull() | m.isNull()
-        fails = self.agg((name, c.uid, col, v.uid, "no"), F.min(F.when(c.where & ~bad & ~F.coalesce(self.ordered(op, n, m), F.lit(False)), self.row)))
-        breaks = self.agg((name, c.uid, col, v.uid, "bad"), F.min(F.when(c.where & bad, self.row)))
-        return Value("bool", fails.isNull(), F.coalesce(breaks < fails, breaks.isNotNull()))
-
-    def _all_of_list(self, op: str, c: Value, v: Value) -> Value:
-        cells, error = self._list(c)
-        plain = self.scalar(v)
-        m = self.to_number(plain)
-        if op == "eq":
-            t = self.to_text(plain)
-            got = F.forall(cells, lambda x: self.same(parse_number(x), norm_text(x), m, t))
-            return Value("bool", got, _any(error, plain.error & (F.size(cells) > 0) if plain.error is not None else None))
-        state = F.transform(cells, lambda x: F.when(parse_number(x).isNull() | m.isNull(), 2).when(self.ordered(op, parse_number(x), m), 0).otherwise(1))
-        first = F.get(F.filter(state, lambda s: s > 0), F.lit(0))
-        return Value("bool", first.isNull(), _any(error, F.coalesce(first == 2, F.lit(False))))
-
-
-RESULT = ("final", "expr_value", "expected", "executable")
-
-
-def _grouped(family: Family, make: Callable[[Compiler], Value]) -> tuple[DataFrame, Value]:
-    """A program's aggregates by table, and its value over them."""
-    try:
-        c = Compiler(family)
-        v = make(c)
-    except NeedsNumbers:
-        return _grouped(family.numbered(), make)
-    aggs = [(F.first(F.col(n)) if n in c.fixed else a).alias(n) for n, a in c.aggs.items()]
-    return c.df.groupBy(*family.keys).agg(*(aggs or [F.count(F.lit(1)).alias("__n")])), v
+            hit = self.same(f.number, f.text, m, t)
+            got = self.agg(key, F.bool_and(F.when(c.where, hit if op == "eq" else ~hit)), phase)
+            return Value("bool", F.coalesce(got, F.lit(True)), error)
+        bad = f.number.isNull() | m.isNull()
+        fails = self.agg((*key, "no"), F.min(F.when(c.where & ~bad & ~F.coalesce(self.ordered(op, f.number, m), F.lit(False)), self.row)), phase)
+        breaks = self.agg((*key, "bad"), F.min(F.when(c.where & bad, self.row)), phase)
+        return Value("bool", fails.isNull(), _any(error, F.coalesce(breaks < fails, breaks.isNotNull())))
+
+
+def truth_of(c: Compiler, p: Program) -> Value:
+    """A program's value; one that is no truth value fails."""
+    v = c.eval(p.expr)
+    if v.kind != "bool":
+        raise Fails("no truth value")
+    return v
+
+
+def runs(v: Value) -> Column:
+    return F.lit(True) if v.error is None else ~F.coalesce(v.error, F.lit(False))
 
 
 def run(program: str | Program, family: Family) -> DataFrame:
     """The family's keys with final, expr_value, expected and executable for every table."""
-    none = F.lit(None).cast("boolean")
-    keys = list(family.keys)
-
-    def boolean(c: Compiler) -> Value:
-        v = c.eval(p.expr)
-        if v.kind != "bool":
-            raise Fails("no truth value")
-        return v
+    none, keys = F.lit(None).cast("boolean"), list(family.keys)
     try:
         p = parse_program(program) if isinstance(program, str) else program
-        grouped, v = _grouped(family, boolean)
+        c = Compiler(family)
+        v = truth_of(c, p)
     except (ProgramError, Fails):
         return family.df.select(*keys).distinct().select(*keys, none.alias("final"), none.alias("expr_value"), none.alias("expected"), F.lit(False).alias("executable"))
-    ok = F.lit(True) if v.error is None else ~F.coalesce(v.error, F.lit(False))
+    ok = runs(v)
     value = F.when(ok, F.coalesce(v.col, F.lit(False)))
-    return grouped.select(*keys, (value == p.expected).alias("final"), value.alias("expr_value"), F.when(ok, F.lit(p.expected)).alias("expected"), ok.alias("executable"))
+    return c.grouped(v.needs).select(*keys, (value == p.expected).alias("final"), value.alias("expr_value"), F.when(ok, F.lit(p.expected)).alias("expected"), ok.alias("executable"))
 
 
 def evaluate(node_text: str, family: Family) -> DataFrame:
     """The family's keys with the value of a scalar expression, as text, number or boolean, and executable."""
-    from .parser import parse_expr
-
-    grouped, v = _grouped(family, lambda c: c.scalar(c.eval(parse_expr(node_text))))
-    ok = F.lit(True) if v.error is None else ~F.coalesce(v.error, F.lit(False))
-    return grouped.select(*family.keys, F.when(ok, v.col).alias("value"), ok.alias("executable"))
+    c = Compiler(family)
+    v = c.scalar(c.eval(parse_expr(node_text)))
+    if v.kind == "row":
+        v = Value("number", c.row_number(v), v.error)
+    ok = runs(v)
+    return c.grouped(c.touched).select(*family.keys, F.when(ok, v.col).alias("value"), ok.alias("executable"))

@@ -1,62 +1,63 @@
 """Programs over tables that are texts: a header line and a line for each row, cells divided by '#'.
 
-Programs and tables are rows; a program meets its table by a join on the table's id, so a table with very many programs is
-dealt like any skewed join, and each batch parses a table once for the programs that follow each other."""
+``rows`` makes one family of tables of any headers: a line is a row that holds its cells beside its table's column names, and columns are looked up by
+name where a program asks for them. Programs meet their tables in ``batch``; nothing here leaves the JVM.
 
-from __future__ import annotations
+As the dataset's own reader has it: a field in double quotes may hold the separator, doubled quotes stand for one; blank lines and rows with more fields than the
+header are left out, missing fields are empty; of equal names later ones get a number. A field that says that there is no value (or says nothing) is
+the text ``nan`` if ``blanks`` says so; by default it stays as it is. Line breaks within quotes are not looked for. Where one id has several texts,
+the least of them counts."""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .interpreter import columns_and_values, execute
-from .parser import ProgramError
+from . import batch
+from .compiler import Ragged
+from .values import strip
 
-_SUFFIX = re.compile(r"=(True|False)$")
+# What a reader of CSV takes for no value.
+NO_VALUE = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def cells(text: str | None, sep: str = "#") -> dict[str, list[str]] | None:
-    """Columns of a table text, rows with too many cells left out, short ones filled up; None if there is no row."""
-    lines = [x for x in re.split(r"\r\n|\n|\r", text or "") if x.strip()]
-    if len(lines) < 2:
-        return None
-    header = lines[0].split(sep)
-    rows = [r + [""] * (len(header) - len(r)) for r in (x.split(sep) for x in lines[1:]) if len(r) <= len(header)]
-    return {name: [r[i] for r in rows] for i, name in enumerate(header)} if rows else None
+def fields(line: Column, sep: str = "#") -> Column:
+    """The fields of a line."""
+    mark = rf"\Q{sep}\E"
+    parts = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{mark}("(?:[^"]++|"")*+"(?:(?!{mark}).)*+|(?:(?!{mark}).)*+)'), 1)
+    whole = lambda x: F.regexp_replace(F.regexp_replace(x, r'^"((?:[^"]++|"")*+)"', "$1"), '""', '"')
+    return F.transform(parts, lambda x: F.when(x.startswith('"'), whole(x)).otherwise(x))
 
 
-def verdict(program: str | None, table: dict[str, list[str]] | None) -> bool | None:
-    """What a program says of a table: None if it has no =True or =False at its end, if there is no table, or if it fails."""
-    if not program or not _SUFFIX.search(program) or table is None:
-        return None
-    return execute(program, table)[0]
+def _told_apart(names: Column) -> Column:
+    """Column names: blank ones by their place, repeated ones numbered."""
+    named = F.transform(names, lambda x, i: F.when(x == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(x))
+    def numbered(x: Column, i: Column, every: Column) -> Column:
+        before = F.size(F.filter(every, lambda y, j: (y == x) & (j < i)))
+        return F.when(before > 0, F.concat(x, F.lit("."), before.cast("string"))).otherwise(x)
+    return F.transform(F.array(named), lambda every: F.transform(every, lambda x, i: numbered(x, i, every)))[0]
 
 
-def verdicts(programs: DataFrame, tables: DataFrame, program: str = "program", table: str = "table_id", text: str = "text", out: str = "verdict") -> DataFrame:
-    """The rows of ``programs`` with the verdict of each on its table, null for an unknown table too."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import BooleanType, StructField, StructType
+def rows(tables: DataFrame, table: str = "table_id", text: str = "text", sep: str = "#", blanks: bool = False) -> Ragged:
+    """Tables of (id, text) as one family, keyed by the id."""
+    one = tables.groupBy(F.col(table).alias(table)).agg(F.min(text).alias("__text"))
+    lines = one.select(table, F.filter(F.split("__text", r"\r\n|\n|\r"), lambda x: strip(x) != "").alias("__lines"))
+    head = lines.select(table, _told_apart(fields(F.get("__lines", F.lit(0)), sep)).alias("__head"), "__lines")
+    names = F.transform("__head", lambda x: F.lower(strip(x)))
+    each = head.filter(F.size("__lines") > 1).select(table, names.alias("__names"), F.posexplode(F.slice("__lines", F.lit(2), F.size("__lines") - 1)).alias("__row", "__line"))
+    cells = each.select(table, "__row", "__names", fields(F.col("__line"), sep).alias("__found")).filter(F.size("__found") <= F.size("__names"))
+    full = F.concat("__found", F.array_repeat(F.lit(""), F.size("__names") - F.size("__found")))
+    full = F.transform(full, lambda x: F.when(x.isin(*NO_VALUE), "nan").otherwise(x)) if blanks else full
+    return Ragged(cells.select(table, "__row", "__names", full.alias("__cells")), (table,), dense=False)
 
-    names = programs.columns
-    schema = StructType([*programs.schema.fields, StructField(out, BooleanType())])
-    arrow = to_arrow_schema(schema)
 
-    def run(batches):
-        last: tuple[str | None, dict | None] = (None, None)
-        for b in batches:
-            got = []
-            for t, p in zip(b.column("__text"), b.column(program).to_pylist(), strict=True):
-                t = t.as_py()
-                if t != last[0]:
-                    last = (t, cells(t))
-                got.append(verdict(p, last[1]))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(got, pa.bool_())], schema=arrow)
-
-    right = tables.select(F.col(table).alias("__table"), F.col(text).alias("__text")).dropDuplicates(["__table"])
-    return programs.join(right, F.col(table) == F.col("__table"), "left").select(*names, "__text").mapInArrow(run, schema)
+def verdicts(programs: DataFrame, tables: DataFrame, program: str = "program", table: str = "table_id", text: str = "text", out: str = "verdict", blanks: bool = False) -> DataFrame:
+    """The rows of ``programs`` with the verdict of each on its table: null without =True or =False at its end, for a table that is
+    unknown or has no row, and for a program that fails there."""
+    asked = programs.select(table, program).distinct().filter(F.col(program).rlike("=(True|False)$"))
+    family = rows(tables.select(F.col(table).alias(table), F.col(text).alias("__of")), table, "__of", blanks=blanks)
+    got = batch.run_programs(asked, family, program).select(F.col(table).alias("__t"), F.col(program).alias("__p"), F.col("final").alias(out))
+    return programs.join(got, (programs[table] == got["__t"]) & (programs[program] == got["__p"]), "left").drop("__t", "__p")
 
 
 def admitted_edits(queries: DataFrame, tables: DataFrame, keys: tuple[str, ...] = ("idx",), edits: str = "local_edits", gold: str = "gold_target", table: str = "table_id") -> DataFrame:
@@ -69,21 +70,9 @@ def admitted_edits(queries: DataFrame, tables: DataFrame, keys: tuple[str, ...]
 def matches(pairs: DataFrame, tables: DataFrame, first: str, second: str, table: str = "table_id") -> DataFrame:
     """``pairs`` with execution_match, columns_match and values_match of two queries: null if either is missing, the first one too
     if either does not run."""
-    def sets(p: str | None) -> tuple[list[str] | None, list[str] | None]:
-        if p is None:
-            return None, None
-        try:
-            return columns_and_values(p)
-        except ProgramError:
-            return [], []
-
-    @F.pandas_udf("columns array<string>, vals array<string>")
-    def both(p: pd.Series) -> pd.DataFrame:
-        found = {x: sets(x) for x in p.unique()}
-        return pd.DataFrame({"columns": [found[x][0] for x in p], "vals": [found[x][1] for x in p]})
-
     d = verdicts(verdicts(pairs, tables, first, table, out="__one"), tables, second, table, out="__two")
-    d = d.withColumns({"__a": both(first), "__b": both(second)})
+    for p, name in ((first, "__a"), (second, "__b")):
+        d = batch.columns_and_values(d, p).withColumn(name, F.struct("columns", "values")).drop("columns", "values")
     there = F.col(first).isNotNull() & F.col(second).isNotNull()
-    same = lambda c: F.when(there, F.col(f"__a.{c}").eqNullSafe(F.col(f"__b.{c}")).cast("int"))
-    return d.withColumns({"execution_match": (F.col("__one") == F.col("__two")).cast("int"), "columns_match": same("columns"), "values_match": same("vals")}).drop("__one", "__two", "__a", "__b")
+    equal = lambda c: F.when(there, F.col(f"__a.{c}").eqNullSafe(F.col(f"__b.{c}")).cast("int"))
+    return d.withColumns({"execution_match": (F.col("__one") == F.col("__two")).cast("int"), "columns_match": equal("columns"), "values_match": equal("values")}).drop("__one", "__two", "__a", "__b")

@@ -10,6 +10,7 @@ TIME = r"(?U)^\s*(\d+)\s*:\s*(\d+(?:\.\d+)?)\s*$"
 MIXED = r"(?U)^\s*(\d+)\s*-\s*(\d+)\s*/\s*(\d+)\s*$"
 FRACTION = r"(?U)^\s*(\d+)\s*/\s*(\d+)\s*$"
 STRICT = r"(?i)^[-+]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[-+]?\d+(?:_\d+)*)?|inf(?:inity)?|nan)$"
+PLAIN = r"^[-+]?[0-9]{1,15}(?:\.[0-9]{1,15})?$"
 FIRST = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
 
 
@@ -24,21 +25,31 @@ def strict_number(c: Column) -> Column:
     return F.when(t.rlike(STRICT), plain.try_cast("double"))
 
 
-def parse_number(c: Column) -> Column:
-    """The number in a cell: minutes and seconds, a mixed or plain fraction, a float, or the first number in it; null if
-    there is none."""
-    t = F.replace(strip(c), F.lit(","), F.lit(""))
+def number_of(bare: Column) -> Column:
+    """The number in a cell that has no blanks around it."""
+    t = F.replace(bare, F.lit(","), F.lit(""))
     part = lambda p, i: F.regexp_extract(t, p, i).try_cast("double")
-    first = F.regexp_substr(t, F.lit(FIRST)).try_cast("double")
-    return (F.when(c.isNull() | (strip(c) == ""), F.lit(None).cast("double"))
+    return (F.when(bare.isNull() | (bare == ""), F.lit(None).cast("double"))
+            .when(t.rlike(PLAIN), t.try_cast("double"))  # most cells are one of these two, and no other shape
+            .when(~t.rlike(r"(?U)\d"), strict_number(t))
             .when(t.rlike(TIME), part(TIME, 1) * 60.0 + part(TIME, 2))
             .when(t.rlike(MIXED), part(MIXED, 1) + F.try_divide(part(MIXED, 2), part(MIXED, 3)))
             .when(t.rlike(FRACTION), F.try_divide(part(FRACTION, 1), part(FRACTION, 2)))
-            .otherwise(F.coalesce(strict_number(t), first)))
+            .otherwise(F.coalesce(strict_number(t), F.regexp_substr(t, F.lit(FIRST)).try_cast("double"))))
+
+
+def parse_number(c: Column) -> Column:
+    """The number in a cell: minutes and seconds, a mixed or plain fraction, a float, or the first number in it; null if
+    there is none."""
+    return number_of(strip(c))
+
+
+def text_of(bare: Column) -> Column:
+    """The normal form of a cell that has no blanks around it."""
+    t = F.replace(F.replace(F.coalesce(bare, F.lit("")), F.lit("&#34;"), F.lit('"')), F.lit("&quot;"), F.lit('"'))
+    return F.lower(strip(F.when((F.length(t) >= 2) & t.startswith('"') & t.endswith('"'), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)))
 
 
 def norm_text(c: Column) -> Column:
     """A cell for comparison as text: HTML quotes and one pair of outer quotes off, trimmed, lower case."""
-    t = F.replace(F.replace(strip(F.coalesce(c, F.lit(""))), F.lit("&#34;"), F.lit('"')), F.lit("&quot;"), F.lit('"'))
-    bare = F.when((F.length(t) >= 2) & t.startswith('"') & t.endswith('"'), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
-    return F.lower(strip(bare))
+    return text_of(strip(c))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dsl import interpreter
+from ..dsl import batch
 from ..functions import structures, trace
 from . import families
 from .dsl_queries import CATALOGUE, oracle
@@ -22,17 +21,11 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def program_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interpreter.run_column(programs(spark, sf_dir), families.events(spark, sf_dir))
+    return batch.run_programs(programs(spark, sf_dir), families.events(spark, sf_dir))
 
 
 def columns_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays of equal programs come from one walk of each batch."""
-    @F.pandas_udf("columns array<string>, vals array<string>")
-    def both(p: pd.Series) -> pd.DataFrame:
-        found = {x: interpreter.columns_and_values(x) for x in p.unique()}
-        return pd.DataFrame({"columns": [found[x][0] for x in p], "vals": [found[x][1] for x in p]})
-
-    return programs(spark, sf_dir).withColumn("__b", both("program")).select("user_id", "program", "__b.columns", F.col("__b.vals").alias("values"))
+    return batch.columns_and_values(programs(spark, sf_dir)).select("user_id", "program", "columns", "values")
 
 
 def set_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,13 @@ import random
 
 import pytest
 
-from faithline.dsl import interpreter
-from faithline.dsl.compiler import Family, run
+import interpreter
+from pyspark.sql import functions as F
+
+from faithline.dsl import batch, text_tables
+from faithline.dsl.compiler import Compiler, Family, Value, run, truth_of
 from faithline.dsl.parser import Call, Literal, ProgramError, parse_expr, parse_program
+from faithline.dsl.phases import joined_back
 from faithline.dsl.registry import ARITY
 
 BOATS = {"boat": ["Heron", "Gull", "Tern", "Gull"], "Home Port": ["Oban", "oban", "Leith", "Wick"], "length": ["9.5 m", "1,200", "7 / 2", ""], "time": ["3:05", "0:59.5", "2:30", "10:00"], "pos": ["3", "none", "1", "2"]}
@@ -61,8 +65,6 @@ def test_aggregates_of_other_values_are_other_aggregates(spark):
     """Values die as soon as they are used, so no aggregate may be named after where one lay in memory."""
     import gc
 
-    from faithline.dsl.compiler import Compiler
-
     f = family(spark, [{"k": ["p", "q"], "w": ["1", "2"]}])
     program = parse_program("greater{hop{top{filter_eq{all_rows; k; q}}; w}; hop{top{filter_eq{all_rows; k; p}}; w}}=True")
     for _ in range(100):
@@ -70,8 +72,8 @@ def test_aggregates_of_other_values_are_other_aggregates(spark):
         c.eval(program.expr)
         gc.collect(0)
         assert len(c.aggs) == len(set(c.seen)) == 4
-    uids = [v.uid for v in (c.eval(Literal("all_rows")) for _ in range(1000))]
-    assert len(set(uids)) == 1000
+    assert c.eval(Literal("all_rows")).uid == c.eval(Literal("all_rows")).uid  # equal expressions are one value
+    assert len({Value("rows").uid for _ in range(1000)}) == 1000
 
 
 def test_parser():
@@ -116,11 +118,96 @@ def test_compiler_against_interpreter(spark):
             assert got[t] == interpreter.execute(p, table), (p, table)
 
 
-def test_column_of_programs(spark):
-    f = family(spark, [{"x": ["1", "2"]}, {"x": ["a", ""]}])
-    programs = spark.createDataFrame([(0, "eq{max{all_rows; x}; 2}=True"), (1, "only{all_rows}=False"), (1, "eq{max{all_rows; x}; 2}=True")], "key int, program string")
-    got = {(r.key, r.program): (r.final, r.executable) for r in interpreter.run_column(programs, f).collect()}
-    assert got == {(0, "eq{max{all_rows; x}; 2}=True"): (True, True), (1, "only{all_rows}=False"): (True, True), (1, "eq{max{all_rows; x}; 2}=True"): (None, False)}
+def test_columns_of_programs(spark):
+    """Every golden program and every program of the random tables, as data on all tables at once."""
+    rng = random.Random(11)
+    tables = [{"x": [rng.choice(WORDS) for _ in range(n)], "y": [rng.choice(WORDS) for _ in range(n)]} for n in [rng.randint(1, 6) for _ in range(8)]]
+    more = ["only{all_rows}", "eq{count{filter_eq{all_rows; x, a, b}}; 1}=True", 'eq{count{filter_eq{all_rows; X; "a"}}; 1}=False', "true = TRUE", "false=True", "eq{a; b", "sail{all_rows}=True", "nothing", "", None,
+            "eq{count{filter_eq{all_rows; y; 1, 000}}; 0}=True", "and{only{all_rows}; ; any{all_rows}}=True", "eq{hop{top{all_rows}; &quot;y&quot;}; &#34;A &#34;}=True", "not{}=False", "before{true; argmax{all_rows; x}}=True",
+            "eq{hop{only{all_rows}; x}; a}=False", "eq{argmax{all_rows; x}; 1}=True", "filter_eq{all_rows; x; {}}=True", 'eq{"x; y}"; b}=False', "eq{ a  b ;A  B}=True", "eq{uniq{all_rows;x};  2 }= true", "eq{\x01; a}=True",
+            "all_greater{all_rows; x; hop{top{all_rows}; y}}=True", "within{filter_eq{all_rows; x; hop{bottom{all_rows}; x}}; y; b}=True", "eq{hop{all_rows; y}; b}=True"]
+    every = PROGRAMS + more
+    for dense in (True, False):
+        f = family(spark, tables)
+        f = f if dense else Family(f.df.withColumn("at", F.col("__row") * 10).drop("__row"), ("key",), "at", ("x", "y"), dense=False)
+        asked = spark.createDataFrame([(t, p, "kept") for t in [*range(8), 99, None] for p in every] + [(0, every[0], "twice")], "key int, program string, more string")
+        got = {(r.key, r.program): (r.final, r.executable) for r in batch.run_programs(asked, f).collect()}
+        assert len(got) == 10 * len(every) and batch.run_programs(asked, f).count() == 10 * len(every) + 1
+        for t, p in got:
+            expected = interpreter.execute(p, tables[t]) if t in range(8) and p is not None and "\x01" not in p else (None, False)
+            assert got[t, p] == expected, (p, tables[t] if t in range(8) else t)
+
+
+def test_mentioned_columns_and_values(spark):
+    texts = [*PROGRAMS, *(p for _, p, _ in GOLDEN), 'eq{hop{all_rows; "Home Port"}; Oban}=True', "filter_eq{all_rows; a, b, c}=True", "eq{a; b; c}=True", "eq{12; x 3}=True"]
+    got = batch.columns_and_values(spark.createDataFrame([(p,) for p in [*texts, "none", None]], "program string")).collect()
+    for r in got:
+        try:
+            expected = interpreter.columns_and_values(r.program) if r.program else (None, None)
+        except ProgramError:
+            expected = ([], [])
+        assert (r.columns, r["values"]) == expected, r.program
+
+
+TEXTS = {
+    "boats": "Boat#Home Port#length\nHeron#Oban#9.5 m\nGull#oban\n\nTern#Leith#7 / 2#too many\n\"Great # auk\"#\"the \"\"old\"\" port\"#12\r\n",
+    "no length": "boat#home port#boat\nHeron#Oban#x\nTern#Wick#y",
+    "one row": "length\n4", "header only": "boat#length", "empty": "", "blank names": "##x\na#b#c", "none": None,
+}
+TEXT_PROGRAMS = {  # program -> its verdict by table, null where not listed
+    "eq{count{filter_eq{all_rows; home port; oban}}; 2}=True": {"boats": True, "no length": False},
+    "greater{max{all_rows; length}; 10}=True": {"boats": True, "one row": False},
+    "eq{count{all_rows}; 3}=False": {"boats": False, "no length": True, "one row": True, "blank names": True},
+    "eq{hop{bottom{all_rows}; boat}; Great # auk}=True": {"boats": True, "no length": False},
+    'eq{hop{bottom{all_rows}; home port}; the "old" port}=True': {"boats": True, "no length": False},
+    "eq{hop{top{all_rows}; boat.1}; x}=True": {"no length": True},
+    "eq{hop{filter_eq{all_rows; length; }; boat}; gull}=True": {"boats": True},
+    "eq{hop{all_rows; Unnamed: 1}; b}=True": {"blank names": True},
+    "none{filter_greater{all_rows; length; 100}}=True": {"boats": True, "one row": True},
+    "second{all_rows; argmin{all_rows; length}}=True": {"boats": False, "one row": False},
+    "only{all_rows}=true": {},
+}
+
+
+def test_ragged_tables(spark):
+    tables = spark.createDataFrame(list(TEXTS.items()), "table_id string, text string")
+    asked = spark.createDataFrame([(t, p) for t in [*TEXTS, "missing", None] for p in [*TEXT_PROGRAMS, None]], "table_id string, program string")
+    got = text_tables.verdicts(asked, tables)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == asked.count()
+    for r in got.collect():
+        assert r.verdict == TEXT_PROGRAMS.get(r.program, {}).get(r.table_id), r
+    asked = asked.filter("table_id = 'boats'")
+    twice = tables.unionAll(spark.createDataFrame([("boats", "a#b\nc#d")], "table_id string, text string"))
+    assert [r.verdict for r in text_tables.verdicts(asked, twice).collect()].count(True) == [r.verdict for r in text_tables.verdicts(asked, tables).collect()].count(True)  # the least text
+    nan = text_tables.verdicts(spark.createDataFrame([("boats", "eq{hop{filter_eq{all_rows; length; nan}; boat}; gull}=True")], "table_id string, program string"), tables, blanks=True)
+    assert [r.verdict for r in nan.collect()] == [None]  # no number equals a number that is none
+
+
+def test_rows_of_a_hot_table_are_spread(spark):
+    """A computed filter value and a rank, on a family in which one table has nearly all rows: no window, and many tasks have its rows."""
+    df = spark.range(0, 200_000, numPartitions=8).selectExpr("IF(id < 199000, NULL, id) AS t", "id AS at", "CAST(id * 7919 % 200003 AS DOUBLE) AS x")
+    f = Family(df, ("t",), "at", ("x",), dense=False)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        c = Compiler(f)
+        v = truth_of(c, parse_program("greater{count{filter_greater{all_rows; x; avg{all_rows; x}}}; 90000}=True"))
+        got = c.grouped(v.needs)
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+        sizes = df.groupBy("t").agg(F.count(F.lit(1)).alias("__n"))
+        spread = joined_back(df, sizes.withColumn("v", F.col("__n") * 2), ("t",), "at")
+        tasks = spread.filter("t IS NULL").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).collect()
+        assert len(tasks) >= 24 and sum(r.n for r in tasks) == 199_000 and max(r.n for r in tasks) < 30_000 and {r.v for r in tasks} == {398_000}
+        assert spread.count() == 200_000
+        out = {r.t: r.final for r in run("greater{count{filter_greater{all_rows; x; avg{all_rows; x}}}; 90000}=True", f).collect()}
+        assert len(out) == 1001 and out[None] is True and sum(out.values()) == 1
+        third = {r.t: r.final for r in run("third{all_rows; argmax{filter_less{all_rows; x; 30000}; x}}=True", Family(df.filter("at % 3 = 0"), ("t",), "at", ("x",), dense=False)).collect()}
+        assert third[None] is False
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_one_grouped_plan(spark):
@@ -131,8 +218,8 @@ def test_one_grouped_plan(spark):
 
 
 def test_registered_plans(spark):
-    """Over rows that are only ordered, a program without computed filter values is one grouped aggregate; where it takes a row for a
-    number, the rows are numbered first, and the results are the same."""
+    """Over rows that are only ordered, a program without computed values is one grouped aggregate; where rows are compared with a value of their
+    table, it is joined back to them. No plan numbers rows, and the results are those of numbered rows."""
     import os
 
     from faithline.plans import catalogue
@@ -143,6 +230,10 @@ def test_registered_plans(spark):
     for name in ("dsl_filter_eq", "dsl_argmax", "dsl_before", "dsl_last", "dsl_sum"):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and plan.count("Exchange") == 1, name
+    for name in ("dsl_second", "dsl_fifth", "dsl_nested_stratified", "dsl_list_forms", "dsl_program_batch", "tabtext_verdict", "iv_edit_pool_admission", "eval_query_match", "dsl_columns_values"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Window", "Python", "Pandas", "Arrow")), name
+        assert "collect_list" not in plan or name not in ("dsl_list_forms",), name
     df = spark.createDataFrame([(t, 10 * r + t, str(r * 7 % 5)) for t in range(3) for r in range(t + 1)], "key int, at int, x string")
     loose, numbered = Family(df, ("key",), "at", ("x",), dense=False), Family(df.selectExpr("key", "CAST((at - key) / 10 AS long) AS __row", "x"), ("key",), "__row", ("x",))
     for p in ("eq{argmax{all_rows; x}; 1}=True", "or{top{all_rows}; only{all_rows}}=True", "second{all_rows; bottom{all_rows}}=True", "eq{hop{only{all_rows}; x}; 2}=True"):
