@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .compiler import Compiler, Fails, Family, Value, runs, truth_of
 from .parser import Call, Literal, Node, ProgramError, parse_program
-from .phases import joined_back, same
-from .values import norm_text, parse_number, strip
+from .phases import Hot, hot_tables, joined_back, same
+from .values import number_sql, quoted, strip, strip_sql, text_sql, unquoted_sql
 
 #: Forms compiled into one plan.
 PLANS = 16
@@ -47,9 +48,14 @@ def literals(program: Column) -> Column:
     return F.regexp_extract_all(_plain(program), F.lit(_LITERAL), 2)
 
 
-def unquoted(c: Column) -> Column:
-    t = strip(c)
-    return F.when((F.length(t) >= 2) & t.startswith('"') & t.endswith('"'), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+def each(array: str, rule: Callable[[str], str]) -> Column:
+    """A SQL rule for every element of an array."""
+    return F.expr(f"transform({array}, x -> {rule('x')})")
+
+
+def literal_sql(x: str) -> str:
+    """What a literal says: without blanks, and without quotes, around it."""
+    return unquoted_sql(strip_sql(x))
 
 
 def marked(form_text: str) -> str:
@@ -73,22 +79,23 @@ class _Literals:
         if len(pieces) == 1:
             n = pieces[0][1]
             return Value("text", F.get("__lits", F.lit(n)), number=F.get("__nums", F.lit(n)), text=F.get("__texts", F.lit(n)))
-        return Value("text", unquoted(F.concat(*[F.lit(t) if n < 0 else F.get("__args", F.lit(n)) for t, n in pieces])))
+        whole = "concat(" + ", ".join(quoted(t) if n < 0 else f"get(__args, {n})" for t, n in pieces) + ")"
+        said = literal_sql(whole)
+        return Value("text", F.expr(said), number=F.expr(number_sql(said)), text=F.expr(text_sql(said)))
 
 
-_CONSTANTS = ("__args", "__lits", "__nums", "__texts", "__form")
+def with_literals(df: DataFrame, program: str) -> DataFrame:
+    """The columns that a program's text gives: its form, its literals, and what they are as numbers and texts."""
+    df = df.withColumns({"__form": form(F.col(program)), "__args": literals(F.col(program))}).withColumn("__lits", each("__args", literal_sql))
+    return df.withColumns({"__nums": each("__lits", number_sql), "__texts": each("__lits", text_sql)})
 
 
-def _block(asked: DataFrame, family: Family, sizes: DataFrame, forms: list[str], program: str) -> DataFrame | None:
+def _block(asked: DataFrame, family: Family, hot: Hot, forms: list[str], program: str) -> DataFrame | None:
     """keys, program, final and executable of the programs of some forms; None if none of them can be run."""
     keys = (*family.keys, program)
-    mine = asked.filter(F.col("__form").isin(forms))
-    args = literals(F.col(program))
-    mine = mine.withColumn("__args", args).withColumn("__lits", F.transform("__args", unquoted))
-    mine = mine.withColumns({"__nums": F.transform("__lits", parse_number), "__texts": F.transform("__lits", norm_text)})
-    mine = mine.select(F.struct(*family.keys).alias("__keys"), program, *_CONSTANTS).select(*[F.col(f"__keys.{k}").alias(k) for k in family.keys], program, *_CONSTANTS)
-    rows = joined_back(family.df.select(*family.keys, family.row, *family.stored()), mine, family.keys, family.row, sizes)
-    c = Compiler(family.over(rows, keys), _Literals(), _CONSTANTS)
+    mine = with_literals(asked.filter(F.col("__form").isin(forms)).select(*keys), program)
+    rows = joined_back(family.df.select(*family.keys, family.row, *family.stored()), mine, family.keys, family.row, hot)
+    c = Compiler(family.over(rows, keys), _Literals(), lambda tables: with_literals(tables, program), hot)
     done: list[tuple[Column, Column, bool, Value]] = []
     for f in forms:
         here = F.col("__form") == f
@@ -114,8 +121,8 @@ def run_programs(programs: DataFrame, family: Family, program: str = "program")
     keys = (*family.keys, program)
     asked = programs.select(*keys).distinct().withColumn("__form", form(F.col(program))).filter("__form IS NOT NULL")
     forms = sorted(r[0] for r in asked.select("__form").distinct().collect())
-    sizes = family.df.groupBy(*family.keys).agg(F.count(F.lit(1)).alias("__n"))
-    blocks = [b for lo in range(0, len(forms), PLANS) if (b := _block(asked, family, sizes, forms[lo : lo + PLANS], program)) is not None]
+    hot = hot_tables(family.df, family.keys)
+    blocks = [b for lo in range(0, len(forms), PLANS) if (b := _block(asked, family, hot, forms[lo : lo + PLANS], program)) is not None]
     if not blocks:
         return programs.withColumns({"final": F.lit(None).cast("boolean"), "executable": F.lit(False)})
     names = {k: f"__r{i}" for i, k in enumerate(keys)}
@@ -162,9 +169,10 @@ def columns_and_values(programs: DataFrame, program: str = "program") -> DataFra
     d = d.withColumn("__args", literals(F.col(program))).join(forms, F.col("__form") == F.col("__f"), "left")
 
     def texts(templates: str) -> Column:
-        whole = F.transform(templates, lambda t: F.array_join(F.transform(t, lambda p: F.when(p["n"] < 0, p["t"]).otherwise(F.get("__args", p["n"]))), ""))
-        return F.filter(F.transform(whole, lambda x: norm_text(unquoted(x))), lambda x: ~x.isin("", "all_rows"))
+        whole = f"transform({templates}, t -> array_join(transform(t, p -> CASE WHEN p.n < 0 THEN p.t ELSE get(__args, p.n) END), ''))"
+        return F.filter(each(whole, lambda x: text_sql(literal_sql(x))), lambda x: ~x.isin("", "all_rows"))
     none = F.array().cast("array<string>")
     listed = lambda c: F.when(F.col(program).isNotNull(), F.coalesce(F.array_sort(F.array_distinct(c)), none))
-    values = F.filter(texts("__o"), lambda x: parse_number(x).isNull())
-    return d.withColumns({"columns": listed(texts("__c")), "values": listed(values)}).drop("__form", "__args", "__f", "__c", "__o")
+    d = d.withColumn("__others", texts("__o"))
+    values = F.expr(f"filter(__others, x -> ({number_sql('x')}) IS NULL)")
+    return d.withColumns({"columns": listed(texts("__c")), "values": listed(values)}).drop("__others", "__form", "__args", "__f", "__c", "__o")

@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .parser import Call, Literal, Node, Program, ProgramError, parse_expr, parse_program
-from .phases import joined_back
+from .phases import Hot, hot_tables, joined_back
 from .registry import ARITY
-from .values import norm_text, number_of, parse_number, strict_number, strip, text_of
+from .values import bare_number_sql, bare_text_sql, norm_text, parse_number, quoted, strict_sql, strip, strip_sql
 
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
 
@@ -36,9 +36,16 @@ class Field:
     numeric: Column | None = None  # the cells as numbers, where some are stored so
     known: Column | None = None  # whether the row's table has the column; None: every table has it
     plain: bool = False  # cells are numbers, no texts
-    # given by the compiler
-    number: Column | None = None
-    text: Column | None = None
+    # given by the compiler, which makes columns of the rows only for what is asked
+    made: Callable[[str], Column] | None = None
+
+    @property
+    def number(self) -> Column:
+        return self.made("number")
+
+    @property
+    def text(self) -> Column:
+        return self.made("text")
 
 
 @dataclass(frozen=True)
@@ -136,10 +143,10 @@ def _any(*errors: Column | None) -> Column | None:
 
 class Compiler:
     """The aggregates of programs over a family. ``literal`` gives the Value of a literal that is no word of the language;
-    ``constants`` are columns that hold for a whole table."""
+    ``derived`` adds the columns that follow from a table's keys (its rows have them already), ``hot`` are the large tables where they are known."""
 
-    def __init__(self, family: Family, literal: Callable[[str], Value] | None = None, constants: Iterable[str] = ()):
-        self.family, self.constants = family, tuple(constants)
+    def __init__(self, family: Family, literal: Callable[[str], Value] | None = None, derived: Callable[[DataFrame], DataFrame] = lambda tables: tables, hot: Hot | None = None):
+        self.family, self.derived, self.hot = family, derived, hot
         self.literal = literal or (lambda raw: Value("text", F.lit(raw), literal=raw))
         self.row = F.col(family.row)
         self.base = F.lit(True)  # the rows that all_rows has
@@ -167,10 +174,10 @@ class Compiler:
         self.touched.add(name)
         return F.col(name)
 
-    def of_rows(self, key: object, column: Column, phase: int, depth: int) -> Column:
+    def of_rows(self, key: object, make: Callable[[], Column], phase: int, depth: int) -> Column:
         """A column of the rows of a phase that is worked out once and used in several places; ``depth`` orders columns made from others."""
         if key not in self.made:
-            self.made[key] = (f"__c{len(self.made)}", column, phase, depth)
+            self.made[key] = (f"__c{len(self.made)}", make(), phase, depth)
         return F.col(self.made[key][0])
 
     def phase_of(self, needs: Iterable[str]) -> int:
@@ -182,8 +189,6 @@ class Compiler:
             outer, self.touched = self.touched, set(v.needs)
             col, needs = make(), frozenset(self.touched)
             self.touched = outer
-            if not needs:
-                return col
             name = self.kept[key] = f"__t{len(self.kept)}"
             self.of_tables[name] = (col, needs, 1 + max((self.of_tables[n][2] for n in needs if n in self.of_tables), default=0))
         name = self.kept[key]
@@ -206,7 +211,6 @@ class Compiler:
     def grouped(self, needs: Iterable[str]) -> DataFrame:
         """The tables' keys with the aggregates of these names."""
         df, keys, wanted = self.family.df, self.family.keys, set(needs)
-        fixed = [F.first(c).alias(c) for c in self.constants]
 
         def with_columns(df: DataFrame, phase: int) -> DataFrame:
             mine = [m for m in self.made.values() if m[2] == phase]
@@ -214,7 +218,9 @@ class Compiler:
                 df = df.withColumns({m[0]: m[1] for m in mine if m[3] == depth})
             return df
 
-        def made_of(tables: DataFrame, names: Iterable[str]) -> DataFrame:
+        def grouped(df: DataFrame, names: Iterable[str]) -> DataFrame:
+            aggs = [self.aggs[n][0].alias(n) for n in sorted(names) if n in self.aggs]
+            tables = self.derived(df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("__n")])))
             mine = {n: self.of_tables[n] for n in names if n in self.of_tables}
             for depth in sorted({m[2] for m in mine.values()}):
                 tables = tables.withColumns({n: m[0] for n, m in mine.items() if m[2] == depth})
@@ -222,12 +228,11 @@ class Compiler:
         df = with_columns(df, 0)
         for phase in sorted({b[1] for b in self.back.values()}):
             here = {n: v for n, v in self.back.items() if v[1] == phase}
-            names = sorted(frozenset().union(*(v[2] for v in here.values())))
-            tables = made_of(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *fixed, *[self.aggs[n][0].alias(n) for n in names if n in self.aggs]), names)
-            tables = tables.select(*keys, "__n", *[col.alias(n) for n, (col, _, _) in here.items()])
-            df = with_columns(joined_back(df, tables, keys, self.family.row), phase + 1)
-        aggs = [self.aggs[n][0].alias(n) for n in sorted(wanted) if n in self.aggs]
-        return made_of(df.groupBy(*keys).agg(*fixed, *(aggs or [F.count(F.lit(1)).alias("__n")])), wanted)
+            names = frozenset().union(*(v[2] for v in here.values()))
+            tables = grouped(df, names).select(*keys, *[col.alias(n) for n, (col, _, _) in here.items()])
+            self.hot = self.hot or hot_tables(self.family.df, keys)
+            df = with_columns(joined_back(df, tables, keys, self.family.row, self.hot), phase + 1)
+        return grouped(df, wanted)
 
     # scalars
 
@@ -247,19 +252,26 @@ class Compiler:
         if v.number is not None:
             return v.number
         if isinstance(v.literal, str):
-            return parse_number(F.lit(v.literal))
+            return parse_number(quoted(v.literal))
         if v.kind == "number":
             return v.col.cast("double")
         if v.kind == "row":
             return self.row_number(v).cast("double")
         if v.kind == "text":
-            return self.once(("number of", v.uid), v, lambda: parse_number(v.col))
+            return self.once(("number of", v.uid), v, lambda: parse_number(self.named(v)))
         return F.lit(None).cast("double")
 
     def to_text(self, v: Value) -> Column:
         if v.text is not None:
             return v.text
-        return self.once(("text of", v.uid), v, lambda: norm_text((self.row_number(v) if v.kind == "row" else v.col).cast("string")))
+        if isinstance(v.literal, str):
+            return norm_text(quoted(v.literal))
+        return self.once(("text of", v.uid), v, lambda: norm_text(self.named(v)))
+
+    def named(self, v: Value) -> str:
+        """The name of a table's column that holds a value as text."""
+        self.once(("named", v.uid), v, lambda: (self.row_number(v) if v.kind == "row" else v.col).cast("string"))
+        return self.kept["named", v.uid]
 
     def row_number(self, v: Value) -> Column:
         """A row's number in its table: how many rows are before it."""
@@ -338,12 +350,20 @@ class Compiler:
         key = name.strip().lower() if isinstance(name, str) else str(name)
         if key not in self.fields:
             f = self.family.field(name)
-            f.raw = self.of_rows((key, "raw"), f.raw, phase, 0)
-            f.known = f.known if f.known is None else self.of_rows((key, "known"), f.known, phase, 0)
-            bare = self.of_rows((key, "bare"), strip(f.raw), phase, 1)
-            parsed = f.numeric if f.plain else number_of(bare) if f.numeric is None else F.coalesce(f.numeric, number_of(bare))
-            f.number = self.of_rows((key, "number"), parsed, phase, 2)
-            f.text = self.of_rows((key, "text"), text_of(bare), phase, 2)
+            f.raw = self.of_rows((key, "raw"), lambda: f.raw, phase, 0)
+            f.known = f.known if f.known is None else self.of_rows((key, "known"), lambda: f.known, phase, 0)
+            name = self.made[key, "raw"][0]
+
+            def made(what: str) -> Column:
+                if what == "number" and f.plain:
+                    return self.of_rows((key, what), lambda: f.numeric, phase, 2)
+                self.of_rows((key, "bare"), lambda: F.expr(strip_sql(name)), phase, 1)
+                bare = self.made[key, "bare"][0]
+                if what == "text":
+                    return self.of_rows((key, what), lambda: F.expr(bare_text_sql(bare)), phase, 2)
+                parsed = lambda: F.expr(bare_number_sql(bare))
+                return self.of_rows((key, what), parsed if f.numeric is None else lambda: F.coalesce(f.numeric, parsed()), phase, 2)
+            f.made = made
             self.fields[key] = f
         return self.fields[key]
 
@@ -393,7 +413,7 @@ class Compiler:
             hit = self.ordered(op, f.number, m)
         known = F.lit(True) if f.known is None else f.known
         out = Value("rows", hint=f, error=_any(error, self.unknown(c, f)), phase=max(c.phase, phase), depth=max(c.depth, 2) + 1)
-        out.where = self.of_rows(("where", out.uid), c.where & known & F.coalesce(hit, F.lit(False)), out.phase, out.depth)
+        out.where = self.of_rows(("where", out.uid), lambda: c.where & known & F.coalesce(hit, F.lit(False)), out.phase, out.depth)
         return out
 
     # comparisons, logic, arithmetic
@@ -547,7 +567,8 @@ class Compiler:
         error = None
         if f is None:
             c, f, error = self.listed(c)
-            n, key = strict_number(F.replace(f.raw, F.lit(","), F.lit(""))), f"{name} of a list"
+            f.number  # its cell without blanks is a column now
+            n, key = F.expr(strict_sql(f"replace({self.made[f.key, 'bare'][0]}, ',', '')")), f"{name} of a list"
         else:
             c, f = self.rowset(c), self.field_of(f)
             n, key, error = f.number, name, self.unknown(c, f)
@@ -562,7 +583,7 @@ class Compiler:
             got = self.agg((name, c.uid, f.key), (F.max if name == "max" else F.min)(F.when(c.where, f.number)), c.phase)
             return Value("number", got, got.isNull())
         best = self._extreme(c, f, name == "max")
-        return Value("number", self.once((name, c.uid, f.key), best, lambda: parse_number(best.pick(f))), best.error)
+        return Value("number", self.to_number(Value("text", best.pick(f), needs=best.needs)), best.error)
 
     do_min = do_max
 

@@ -10,6 +10,8 @@ the least of them counts."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,8 @@ NO_VALUE = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
 
 
 def fields(line: Column, sep: str = "#") -> Column:
-    """The fields of a line."""
-    mark = rf"\Q{sep}\E"
-    parts = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{mark}("(?:[^"]++|"")*+"(?:(?!{mark}).)*+|(?:(?!{mark}).)*+)'), 1)
+    """The fields of a line, divided by one character."""
+    parts = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{re.escape(sep)}("(?:[^"]++|"")*+"[^{re.escape(sep)}]*+|[^{re.escape(sep)}]*+)'), 1)
     whole = lambda x: F.regexp_replace(F.regexp_replace(x, r'^"((?:[^"]++|"")*+)"', "$1"), '""', '"')
     return F.transform(parts, lambda x: F.when(x.startswith('"'), whole(x)).otherwise(x))
 

@@ -98,11 +98,11 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbers(spark, sf_dir).select("idx", values.parse_number(F.col("s")).alias("number"))
+    return numbers(spark, sf_dir).select("idx", values.parse_number("s").alias("number"))
 
 
 def _norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbers(spark, sf_dir).select("idx", values.norm_text(F.col("s")).alias("norm"))
+    return numbers(spark, sf_dir).select("idx", values.norm_text("s").alias("norm"))
 
 
 _N = "WITH n AS (" + NUMBERS.replace("$orders", "orders") + ") "

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faithline.dsl import batch, text_tables
 from faithline.dsl.compiler import Compiler, Family, Value, run, truth_of
 from faithline.dsl.parser import Call, Literal, ProgramError, parse_expr, parse_program
-from faithline.dsl.phases import joined_back
+from faithline.dsl.phases import hot_tables, joined_back
 from faithline.dsl.registry import ARITY
 
 BOATS = {"boat": ["Heron", "Gull", "Tern", "Gull"], "Home Port": ["Oban", "oban", "Leith", "Wick"], "length": ["9.5 m", "1,200", "7 / 2", ""], "time": ["3:05", "0:59.5", "2:30", "10:00"], "pos": ["3", "none", "1", "2"]}
@@ -196,8 +196,10 @@ def test_rows_of_a_hot_table_are_spread(spark):
         v = truth_of(c, parse_program("greater{count{filter_greater{all_rows; x; avg{all_rows; x}}}; 90000}=True"))
         got = c.grouped(v.needs)
         assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
-        sizes = df.groupBy("t").agg(F.count(F.lit(1)).alias("__n"))
-        spread = joined_back(df, sizes.withColumn("v", F.col("__n") * 2), ("t",), "at")
+        hot = hot_tables(df, ("t",))
+        assert hot.tables == [(None,)] and not hot_tables(df, ("at",)).tables
+        tables = df.groupBy("t").agg((F.count(F.lit(1)) * 2).alias("v"))
+        spread = joined_back(df, tables, ("t",), "at", hot)
         tasks = spread.filter("t IS NULL").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).collect()
         assert len(tasks) >= 24 and sum(r.n for r in tasks) == 199_000 and max(r.n for r in tasks) < 30_000 and {r.v for r in tasks} == {398_000}
         assert spread.count() == 200_000
