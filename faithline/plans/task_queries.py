@@ -65,6 +65,39 @@ ORACLES |= {
                         "CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END::INTEGER AS values_match FROM u",
 }
 
+# tables of different columns
+
+RAGGED = (
+    "greater{count{filter_eq{all_rows; kind; click}}; 12}=True",  # a third of the tables has no such column
+    "less{avg{filter_greater{all_rows; no; 100}; amount}; 50}=True",
+    "eq{hop{argmax{all_rows; amount}; no}; hop{bottom{all_rows}; no}}=False",
+    "third{all_rows; argmin{all_rows; no}}=False",
+    "none{filter_eq{all_rows; what; hop{top{all_rows}; what}}}=False",
+)
+
+
+def ragged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table text for every user, under one of three headers."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", F.round(F.col("value"), 2).alias("v"))
+    no, v, k = F.col("event_id").cast("string"), F.format_string("%.2f", "v"), F.col("user_id") % 3
+    line = F.when(k == 0, F.concat_ws("#", "event_type", no)).when(k == 1, F.concat_ws("#", v, no, F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))).otherwise(F.concat_ws("#", no, v, "event_type"))
+    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
+    head = F.when(F.col("user_id") % 3 == 0, "Kind#no").when(F.col("user_id") % 3 == 1, "AMOUNT#No #kind").otherwise("no#Amount#What")
+    return g.select(F.col("user_id").cast("string").alias("table_id"), F.concat(head, F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
+
+
+def _ragged(spark, sf_dir):
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    each = users.select("user_id", F.col("user_id").cast("string").alias("table_id"), F.posexplode(F.array(*map(F.lit, RAGGED))).alias("edit_no", "program"))
+    return text_tables.verdicts(each, ragged_tables(spark, sf_dir)).select("user_id", "edit_no", "verdict")
+
+
+QUERIES["tabtext_ragged"] = _ragged
+ORACLES["tabtext_ragged"] = """WITH e AS (SELECT user_id, event_id, event_type, round(value, 2) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+u AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') > 12 AS e0, avg(v) FILTER (WHERE event_id > 100) < 50 AS e1, arg_max(event_id, {'v': v, 'r': -r}) <> max(event_id) AS e2 FROM e GROUP BY user_id)
+SELECT user_id, unnest([0, 1, 2, 3, 4])::INTEGER AS edit_no,
+unnest([CASE WHEN user_id % 3 < 2 THEN e0 END, CASE WHEN user_id % 3 > 0 THEN e1 END, CASE WHEN user_id % 3 > 0 THEN e2 END, true, CASE WHEN user_id % 3 = 2 THEN true END]) AS verdict FROM u"""
+
 # functions that are traced
 
 FUNCTIONS = (
