@@ -44,10 +44,17 @@ def compare_scores(a: Column, b: Column, tolerance: float = 1e-3) -> Column:
     return F.coalesce(close(a, b, tolerance).cast("int"), F.lit(0))
 
 
-def set_match(columns_a: Column, values_a: Column, columns_b: Column, values_b: Column) -> Column:
-    """Whether two queries name the same columns and values; null if either side is missing."""
+def set_match(columns_a: Column, values_a: Column, columns_b: Column, values_b: Column, text_a: Column, text_b: Column) -> Column:
+    """Whether two queries name the same columns and values, taken together; two that name nothing are compared as texts; null if either side is missing."""
     union = lambda c, v: F.array_sort(F.array_union(c, v))
-    return (union(columns_a, values_a) == union(columns_b, values_b)).cast("int")
+    a, b = union(columns_a, values_a), union(columns_b, values_b)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), text_a == text_b).otherwise(a == b).cast("int")
+
+
+def same_answer(a: Column, b: Column, dataset: Column) -> Column:
+    """Equal answers; grades (dataset ricechem) are equal within 0.01. A missing one is equal to none."""
+    graded = close(a.try_cast("double"), b.try_cast("double"), 0.01)
+    return F.coalesce(F.when(dataset == "ricechem", graded).otherwise(a == b), F.lit(False))
 
 
 def classify(well_formed: Column, mediator: Column, gold: Column, target: Column | None = None) -> Column:

@@ -85,4 +85,4 @@ def queried(completion: Column, mode: str = "none", short: bool = False) -> tupl
 
 def answered(completion: Column, short: bool = False) -> Column:
     """The answer said in a completion of a program task. With a tool, see ``trace.tool_answers``."""
-    return F.coalesce(text.final_answer(completion), F.when(F.lit(short), F.trim(completion)))
+    return text.final_answer(completion, short)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import structures
 from .interventions import LOCAL, picked
 
 KEYS = ["dataset", "run_type", "model", "idx"]
@@ -36,22 +37,32 @@ def edits_mean(edits: DataFrame, by: list[str]) -> DataFrame:
     return edits.groupBy(*by, "kind").agg(F.avg(follows(F.col("f_after"), F.col("y_after")).cast("int")).alias("follow_rate"), F.count(F.lit(1)).alias("n"))
 
 
+def rounded(c: Column, digits: int = 2) -> Column:
+    """Rounded as tables show it: ties go to the even digit."""
+    return F.rint(c * 10**digits) / 10**digits
+
+
 def faith_table(facts: DataFrame, datasets: list[str]) -> DataFrame:
-    """For each model a column of mean f_id, f_strong and their difference for every dataset."""
-    m = lambda c: F.avg(F.col(c).cast("int"))
-    return facts.groupBy("model").pivot("dataset", datasets).agg(m("f_id").alias("id"), m("f_strong").alias("strong"), (m("f_id") - m("f_strong")).alias("delta"))
+    """For each model the means of f_id, f_ood and f_strong for every dataset, rounded, and the difference of the first and last as shown."""
+    m = lambda c: rounded(F.avg(F.col(c).cast("int")))
+    delta = rounded(m("f_id") - m("f_strong"))
+    return facts.groupBy("model").pivot("dataset", datasets).agg(m("f_id").alias("id"), m("f_ood").alias("ood"), m("f_strong").alias("strong"), delta.alias("delta"))
 
 
 def accuracy_table(runs: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Accuracy with the structure (correct over all), the baseline's, and the share of samples on which both agree."""
-    with_m = runs.groupBy(*RUN).agg(F.avg((F.col("status") == "correct").cast("int")).alias("acc_with_m"))
-    without = baseline.groupBy("dataset", "model").agg(F.avg(F.coalesce((F.col("predicted") == F.col("gold")).cast("int"), F.lit(0))).alias("acc_baseline"))
+    """Accuracy with the structure (the run's answers against gold, over all samples), the baseline's, and the share of samples on which both agree."""
+    right = structures.same_answer(F.col("y_before"), F.col("gold"), F.col("dataset"))
+    with_m = runs.groupBy(*RUN).agg(F.avg(right.cast("int")).alias("acc_with_m"))
+    hit = structures.same_answer(F.col("predicted"), F.col("gold"), F.col("dataset"))
+    without = baseline.groupBy("dataset", "model").agg(F.avg(hit.cast("int")).alias("acc_baseline"))
     return with_m.join(without, ["dataset", "model"], "left").join(agreement(runs, baseline), RUN, "left")
 
 
 def agreement(runs: DataFrame, baseline: DataFrame) -> DataFrame:
-    both = runs.join(baseline, ["dataset", "model", "idx"]).filter(F.col("y_before").isNotNull() & F.col("predicted").isNotNull())
-    return both.groupBy(*RUN).agg(F.avg((F.col("y_before") == F.col("predicted")).cast("int")).alias("agreement"), F.count(F.lit(1)).alias("n_pairs"))
+    """The share of samples with both answers on which they are the same."""
+    both = runs.join(baseline.select("dataset", "model", "idx", "predicted"), ["dataset", "model", "idx"]).filter(F.col("y_before").isNotNull() & F.col("predicted").isNotNull())
+    same = structures.same_answer(F.col("y_before"), F.col("predicted"), F.col("dataset"))
+    return both.groupBy(*RUN).agg(F.avg(same.cast("int")).alias("agreement"), F.count(F.lit(1)).alias("n_pairs"))
 
 
 def prompt_pivot(facts: DataFrame, regimes: list[str]) -> DataFrame:

@@ -94,13 +94,26 @@ _add("an_fact_table", facts, "SELECT * FROM facts")
 _add("an_f_id", lambda s, d: facts(s, d).groupBy(*RUN).agg(F.avg(F.col("f_id").cast("int")).alias("f_id")), f"SELECT {_G}, avg(f_id::INT) AS f_id FROM facts GROUP BY {_G}")
 _add("an_f_ood_strong", lambda s, d: facts(s, d).groupBy(*RUN).agg(F.avg(F.col("f_ood").cast("int")).alias("f_ood"), F.avg(F.col("f_strong").cast("int")).alias("f_strong")),
      f"SELECT {_G}, avg(f_ood::INT) AS f_ood, avg(f_strong::INT) AS f_strong FROM facts GROUP BY {_G}")
-_piv = ", ".join(f"avg(f_id::INT) FILTER (WHERE dataset = '{d}') AS {d}_id, avg(f_strong::INT) FILTER (WHERE dataset = '{d}') AS {d}_strong, avg(f_id::INT) FILTER (WHERE dataset = '{d}') - avg(f_strong::INT) FILTER (WHERE dataset = '{d}') AS {d}_delta" for d in ("averitec", "tabfact"))
+_mean = lambda c, d: f"round_even(avg({c}::INT) FILTER (WHERE dataset = '{d}') * 100, 0) / 100"
+_piv = ", ".join([*(f"{_mean('f_' + c, d)} AS {d}_{c}" for d in ("averitec", "tabfact") for c in ("id", "ood", "strong")), *(f"round_even(({_mean('f_id', d)} - {_mean('f_strong', d)}) * 100, 0) / 100 AS {d}_delta" for d in ("averitec", "tabfact"))])
 _add("an_faith_table", lambda s, d: faithfulness.faith_table(facts(s, d).filter("run_type = 'standard'"), ["averitec", "tabfact"]), f"SELECT model, {_piv} FROM facts WHERE run_type = 'standard' GROUP BY model")
 _add("an_accuracy", lambda s, d: (lambda r: faithfulness.accuracy_table(r, baseline(r)))(runs(s, d)),
-     f"SELECT r.dataset, r.run_type, r.model, avg((status = 'correct')::INT) AS acc_with_m, avg(coalesce((predicted = b.gold)::INT, 0)) AS acc_baseline, avg((y_before = predicted)::INT) AS agreement, count((y_before = predicted)::INT) AS n_pairs "
+     f"SELECT r.dataset, r.run_type, r.model, avg(coalesce((y_before = r.gold)::INT, 0)) AS acc_with_m, avg(coalesce((predicted = b.gold)::INT, 0)) AS acc_baseline, avg((y_before = predicted)::INT) AS agreement, count((y_before = predicted)::INT) AS n_pairs "
      "FROM runs r JOIN base b ON r.dataset = b.dataset AND r.model = b.model AND r.idx = b.idx GROUP BY ALL")
 _add("an_agreement", lambda s, d: (lambda r: faithfulness.agreement(r, baseline(r)))(runs(s, d)),
      "SELECT r.dataset, r.run_type, r.model, avg((y_before = predicted)::INT) AS agreement, count(*) AS n_pairs FROM runs r JOIN base b ON r.dataset = b.dataset AND r.model = b.model AND r.idx = b.idx WHERE y_before IS NOT NULL AND predicted IS NOT NULL GROUP BY ALL")
+
+
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of one dataset as graded answers, some of them off by a little, some by too much."""
+    off = F.col("idx") % 3 * 0.006
+    return runs(spark, sf_dir).filter("dataset = 'tabfact'").withColumns({"dataset": F.lit("ricechem"), "y_before": F.col("y_before") + off, "gold": F.col("gold").cast("double")})
+
+
+_add("an_graded_accuracy", lambda s, d: faithfulness.accuracy_table(graded(s, d), baseline(runs(s, d)).filter("dataset = 'tabfact'").withColumn("dataset", F.lit("ricechem"))),
+     "SELECT 'ricechem' AS dataset, r.run_type, r.model, avg(coalesce((y_before = r.gold AND r.idx % 3 < 2)::INT, 0)) AS acc_with_m, avg(coalesce((predicted = b.gold)::INT, 0)) AS acc_baseline, "
+     "avg((y_before = predicted AND r.idx % 3 < 2)::INT) FILTER (WHERE y_before IS NOT NULL AND predicted IS NOT NULL) AS agreement, count(y_before + predicted) AS n_pairs "
+     "FROM runs r JOIN base b ON r.dataset = b.dataset AND r.model = b.model AND r.idx = b.idx WHERE r.dataset = 'tabfact' GROUP BY ALL")
 _add("an_prompt_pivot", lambda s, d: faithfulness.prompt_pivot(facts(s, d), ["standard", "detailed", "max_detailed"]),
      "SELECT model, dataset, " + ", ".join(f"avg(f_strong::INT) FILTER (WHERE run_type = '{r}') AS {r}" for r in ("standard", "detailed", "max_detailed")) + " FROM facts GROUP BY model, dataset")
 _add("an_prompt_summary", lambda s, d: faithfulness.prompt_summary(facts(s, d)).select("dataset", "run_type", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std")),

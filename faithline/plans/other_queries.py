@@ -31,7 +31,7 @@ def columns_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = columns_values(spark, sf_dir)
     other = d.select(F.col("user_id"), F.col("columns").alias("c2"), F.col("values").alias("v2"), F.col("program").alias("program2"))
-    return d.join(other, "user_id").select("user_id", "program", "program2", structures.set_match(F.col("columns"), F.col("values"), F.col("c2"), F.col("v2")).alias("match"))
+    return d.join(other, "user_id").select("user_id", "program", "program2", structures.set_match(F.col("columns"), F.col("values"), F.col("c2"), F.col("v2"), F.col("program"), F.col("program2")).alias("match"))
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,51 @@ _add("txt_bool_list_args", {"answers": lambda: F.array_join(F.transform(text.boo
      "SELECT idx, CASE WHEN k = 7 THEN lower(a) || ',' || lower(a2) END AS answers FROM c")
 _add("txt_baseline_answer", {"grade": lambda: text.baseline_grade(C()), "verdict": lambda: text.baseline_verdict(C()), "result": lambda: text.baseline_result(C())},
      f"SELECT idx, CASE WHEN k IN (0, 2, 4) THEN CAST(g AS DOUBLE) END AS grade, CASE WHEN k IN (0, 1, 3) THEN {_title('v')} END AS verdict, "
-     "CASE WHEN k = 5 THEN a = 'True' WHEN k = 6 THEN a2 = 'True' WHEN k = 7 THEN a2 = 'True' WHEN k = 0 THEN a2 = 'True' WHEN k = 1 THEN a2 = 'True' WHEN k = 2 THEN a2 = 'True' END AS result FROM c")
+     "CASE WHEN k = 5 THEN a = 'True' END AS result FROM c")
+
+# answers in model text, case by case: how a text is read, the text, and what the rules of the evaluation make of it ({n} is the order's number)
+
+CASES = (
+    ("verdict", "Final verdict - refuted.", "Refuted"), ("verdict", "The final verdict is Supported", None), ("verdict", "Final Verdict: supportedly", None), ("verdict", "note {n}\nFINAL  VERDICT :\nSupported, as said", "Supported"),
+    ("verdict_short", " refuted\n", "Refuted"), ("verdict_short", "Supported.", None), ("verdict_short", "I say Supported", None),
+    ("result", "Verifier Query: only{all_rows}=True\nExecution Result: True or False?", None), ("result", "note {n}\nexecution  result:\tFALSE  \nmore", "false"), ("result", "  Execution Result: True", None), ("result", "Execution Result - True", None),
+    ("result_short", "True!", "true"), ("result_short", " false. ", "false"), ("result_short", "True, I think", None),
+    ("answer", "Final answer - {n}", "{n}"), ("answer", "Trace:\nline 1:\nFinal Answer: [{n}, 2] \nFinal Answer: 4", "[{n}, 2]"), ("answer", "final answer:\n\n  'x'\nrest", "'x'"), ("answer", "The answer: 3", None),
+    ("answer_short", " {n}\nand more", "{n}"), ("answer_short", "so, Final Answer: 7", "7"),
+    ("base_verdict", "The claim is not supported by it, I think so", None), ("base_verdict", "It is, I say, Refuted!", "Refuted"), ("base_verdict", "first\n supported \nthen refuted", "Supported"), ("base_verdict", "verdict - refuted, not supported", "Refuted"), ("base_verdict", "Final Verdict: Supported<|im_end|>", "Supported"),
+    ("base_result", "It may be true that cats fly", None), ("base_result", "Answer: True\nnot false", "true"), ("base_result", "Verdict: True", "true"), ("base_result", "I would say that it is False.", "false"), ("base_result", "so\nTrue .\nor false", "true"), ("base_result", "result=true or so", None),
+    ("base_grade", "2.5\nFinal grade: 3", "2.5"), ("base_grade", "grade (0-8): 3 of {n}\n7", "3.0"), ("base_grade", "Score - 4.5, for {n} points", "4.5"), ("base_grade", "a grade of 5", None), ("base_grade", "some words\n1e1", "10.0"), ("base_grade", "score (of 9): 3", None),
+    ("query", "Verifier Query:\n\n  eq{count{all_rows}; {n}}=True \nExecution Result: True", "eq{count{all_rows}; {n}}=True"), ("query", "Verifier Query: bad{{=True", None), ("query", "verifier query: only{all_rows}=true", None), ("query", " Verifier Query: only{all_rows}=True", None),
+    ("query", 'Verifier Query: eq{"a=True', None), ("query", "Verifier Query: only{all_rows}\nVerifier Query: only{all_rows}=True", None),
+    ("tool_query", 'TOOL: run\nARGS: {"query": "only{all_rows}=False", "why": "n {n}"}', "only{all_rows}=False"), ("tool_query", 'ARGS: ```json\n{"query": " eq{a; {n}}=True "}\n```', "eq{a; {n}}=True"), ("tool_query", 'ARGS: {"other": 1}\n\n{"query": "only{all_rows}=True"}', None),
+    ("tool_query", 'ARGS: {"query": "eq{x; \\"b\\"}=True"}', None),
+    ("trace", "Trace:\nline 1:\n  x = {n}\n Final Answer: 3", "line 1:\n  x = {n}"), ("trace", "so trace : line 2:\n  y = 1\nFinal tool call:\nTOOL: replay", "line 2:\n  y = 1"), ("trace", "Trace:\n\n", None), ("trace", "line 1:\n  x = 1", None),
+    ("gemma", "a <end_of_turn> b {n} <end_of_turn> c", "a <end_of_turn> b {n} "), ("qwen", "x<|im_end|>y {n}<|endoftext|><|im_end|>z", "xy {n}"), ("qwen", " no token {n} ", " no token {n} "), ("gpt", "done {n}<|return|>", "done {n}"),
+    ("llama", "a<|eot_id|>b <|end_of_text|>", "ab <|end_of_text|>"), ("falcon", "a<|endoftext|> b</s>", "a b</s>"),
+    ("legacy", "- Q: is it? A: True", "is it?=true"), ("legacy", "so Q: n {n}? A: yes because\nQ: n {n}? A: No (seen)", "n {n}?=no"), ("legacy", "Q: sure? A: yesterday\nFinal verdict: Refuted\nQ: late? A: no", None), ("legacy", "Q: a A: b? A: FALSE", "a A: b?=false"),
+)
+
+
+def read_as() -> dict[str, Column]:
+    """How texts are read, by name."""
+    t, truth = F.col("t"), lambda c: c.cast("string")
+    old = F.transform(text.questions_answered(t), lambda x: F.concat_ws("=", x["question"], x["answer"]))
+    return {"verdict": text.final_verdict(t), "verdict_short": text.final_verdict(t, True), "result": truth(text.execution_result(t)), "result_short": truth(text.execution_result(t, True)), "answer": text.final_answer(t), "answer_short": text.final_answer(t, True),
+            "base_verdict": text.baseline_verdict(t), "base_result": truth(text.baseline_result(t)), "base_grade": text.baseline_grade(t).cast("string"), "query": text.verifier_query(t), "tool_query": text.tool_query(t), "trace": text.trace_block(t),
+            **{f: text.clean_for_model(t, f) for f in text.FAMILIES}, "legacy": F.nullif(F.array_join(old, ";"), F.lit(""))}
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, ways = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), read_as()
+    case = F.get(F.array(*[F.struct(F.lit(way).alias("way"), F.lit(t).alias("t")) for way, t, _ in CASES]), (F.col("o_orderkey") % len(CASES)).cast("int"))
+    d = o.select("o_orderkey", case.alias("c")).select("o_orderkey", "c.way", F.replace("c.t", F.lit("{n}"), F.col("o_orderkey").cast("string")).alias("t"))
+    return d.select("o_orderkey", "way", F.coalesce(*[F.when(F.col("way") == w, c) for w, c in ways.items()]).alias("read"))
+
+
+_said = lambda x: "NULL" if x is None else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+QUERIES["txt_answers"] = _cases
+ORACLES["txt_answers"] = ("WITH c(k, way, read) AS (VALUES " + ", ".join(f"({i}, '{way}', {_said(r)})" for i, (way, _, r) in enumerate(CASES))
+                          + f") SELECT o_orderkey, way, replace(read, '{{n}}', o_orderkey::VARCHAR) AS read FROM orders JOIN c ON o_orderkey % {len(CASES)} = k")
 
 # numbers and normal forms
 
