@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dsl import text_tables
-from ..functions import prompts, structures, text, tools, trace
+from ..functions import prompts, structures, text, tool_json, tools, trace
 from ..operators import faithfulness, generation, interventions, metrics
 from ..operators.faithfulness import RUN
 from . import eval_queries as runs_
@@ -127,7 +127,7 @@ _TASKS = (f"t AS (SELECT o_orderkey, o_orderkey % 50 AS n, lower(o_orderstatus)
 
 
 def _tool_answers(spark, sf_dir):
-    d = _tasks(spark, sf_dir).filter("o_orderkey % 5 = 1")
+    d = _tasks(spark, sf_dir).withColumn("code", F.lit(FUNCTIONS[1]))
     n = F.col("n").cast("string")
     said = F.get(F.array(
         F.concat(F.lit('TOOL: replay\nARGS: {"trace": "line 4:\\n  n = '), n, F.lit('"} and so on')),
@@ -145,9 +145,33 @@ QUERIES |= {
 ORACLES |= {
     "trace_record": f"WITH {_TASKS} SELECT o_orderkey, verdict, CASE WHEN verdict = 'kept' THEN k END::INTEGER AS n_steps, CASE WHEN verdict = 'kept' THEN res END AS gold_target FROM v",
     "trace_admission": f"WITH {_TASKS} SELECT verdict, count(*) AS n FROM v GROUP BY verdict",
-    "trace_tool_answer": "SELECT o_orderkey, CASE WHEN o_orderkey // 5 % 4 < 2 THEN (o_orderkey % 50)::VARCHAR END AS answer, CASE WHEN o_orderkey // 5 % 4 < 2 THEN 1 END::INTEGER AS answer_match FROM orders WHERE o_orderkey % 5 = 1",
+    "trace_tool_answer": "SELECT o_orderkey, CASE WHEN o_orderkey // 5 % 4 < 2 THEN (o_orderkey % 50)::VARCHAR END AS answer, CASE WHEN o_orderkey // 5 % 4 < 2 THEN 1 END::INTEGER AS answer_match FROM orders",
 }
 
+# arguments of tool calls: (completion, the object in it, what it has under trace, the trace's text or its steps' line numbers); {n} is the order's number
+ARGUMENTS = (
+    ('TOOL: replay\nARGS: {"trace": "line 2: {n}"}', '{"trace": "line 2: {n}"}', "text", "line 2: {n}"),
+    ('ARGS: {"trace": "line 2:\\n  x = {n}", "more": [{}]} and {so} on', '{"trace": "line 2:\\n  x = {n}", "more": [{}]}', "text", "line 2:\n  x = {n}"),
+    ('args : ```json\n{"trace": [{"line": {n}, "locals": {"s": "}\\"{"}}, {"line": "3"}]}\n```', '{"trace": [{"line": {n}, "locals": {"s": "}\\"{"}}, {"line": "3"}]}', "steps", "{n},3"),
+    ('ARGS: the call is {"trace": []} {"trace": "late"}', '{"trace": []}', "steps", ""),
+    ('ARGS: [1] {"trace": "x"}', None, None, None), ('ARGS: "trace" {"trace": "x"}', None, None, None), ('ARGS: 12 {"trace": "x"}', None, None, None),
+    ('ARGS: [1, {"trace": "in a list that never ends {n}"}', '{"trace": "in a list that never ends {n}"}', "text", "in a list that never ends {n}"),
+    ('ARGS: {"trace": {"line": 1}}', '{"trace": {"line": 1}}', None, None), ('ARGS: {"steps": "x {n}"}', '{"steps": "x {n}"}', None, None),
+    ('ARGS: {"trace": "never closed {n}', None, None, None), ("ARGS: {'trace': 'quoted otherwise'}", None, None, None), ('{"trace": "no arguments {n}"}', None, None, None), ("", None, None, None),
+)
+
+
+def _arguments(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    said = F.get(F.array(*[F.lit(a[0]) for a in ARGUMENTS]), (F.col("o_orderkey") % len(ARGUMENTS)).cast("int"))
+    d = o.withColumn("block", tool_json.block(F.replace(said, F.lit("{n}"), F.col("o_orderkey").cast("string")))).withColumn("object", tool_json.object_of("block"))
+    return d.select("o_orderkey", "object", tool_json.trace_kind("object").alias("kind"), F.coalesce(tool_json.trace_text("object"), F.array_join(tool_json.trace_lines("object"), ",")).alias("trace"))
+
+
+_text = lambda x: "NULL" if x is None else "replace('" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "', '{n}', o_orderkey::VARCHAR)"
+QUERIES["tool_trace_arguments"] = _arguments
+ORACLES["tool_trace_arguments"] = "SELECT o_orderkey, " + ", ".join(f"CASE o_orderkey % {len(ARGUMENTS)} " + " ".join(f"WHEN {i} THEN {_text(a[k])}" for i, a in enumerate(ARGUMENTS)) + f" END AS {name}" for k, name in ((1, "object"), (2, "kind"), (3, "trace"))) + " FROM orders"
+
 QUERIES["iv_trace_edits"] = lambda s, d: trace.local_edits(traces(s, d), "text", "l_orderkey").select("l_orderkey", "level", "name")
 ORACLES["iv_trace_edits"] = ("WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, l_returnflag FROM lineitem), n AS (SELECT l_orderkey, count(*) AS n FROM t GROUP BY l_orderkey), "
                              "l(level, name) AS (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in trace.LEVELS.items() if 1 <= k <= 6) + ") SELECT l_orderkey, level, name FROM n JOIN l ON n.n > 1 OR level <= 3")
