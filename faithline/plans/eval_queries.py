@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import faithfulness, metrics
 from ..operators.faithfulness import RUN
+from ..sources import sinks
 
 _MODELS = ", ".join(f"('{d}', '{m}', '{r}', {i * 12 + j * 4 + k})" for i, d in enumerate(("averitec", "tabfact")) for j, m in enumerate(("faithful", "stubborn", "noisy")) for k, r in enumerate(("standard", "detailed", "max_detailed", "tool")))
 RUNS = f"""
@@ -123,5 +124,10 @@ _add("an_symmetry", lambda s, d: faithfulness.symmetry(facts(s, d)),
 _add("an_tool_delta", lambda s, d: faithfulness.tool_delta(facts(s, d)),
      "SELECT dataset, model, avg(f_strong::INT) FILTER (WHERE run_type = 'standard') AS standard, avg(f_strong::INT) FILTER (WHERE run_type = 'tool') AS tool, "
      "avg(f_strong::INT) FILTER (WHERE run_type = 'tool') - avg(f_strong::INT) FILTER (WHERE run_type = 'standard') AS delta FROM facts GROUP BY dataset, model")
+_ANCHORS = ((0.0, 0.26, "5DBB89", "D3CF70"), (0.26, 0.36, "D3CF70", "FFD466"), (0.36, 0.65, "FFD466", "EB8C70"))
+_part = lambda h, k: int(h[2 * k : 2 * k + 2], 16)
+_channel = lambda k: "CASE " + " ".join(f"WHEN d <= {hi}::DOUBLE THEN round_even({_part(a, k)}::DOUBLE + (d - {lo}::DOUBLE) / ({hi}::DOUBLE - {lo}::DOUBLE) * {_part(b, k) - _part(a, k)}, 0)::INTEGER" for lo, hi, a, b in _ANCHORS) + f" ELSE {_part('EB8C70', k)} END"
+QUERIES["an_delta_colour"] = lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", sinks.colour((F.col("o_orderkey") % 131 - 15) / 100).alias("colour"))
+ORACLES["an_delta_colour"] = f"SELECT o_orderkey, printf('%02X%02X%02X', {', '.join(map(_channel, range(3)))}) AS colour FROM (SELECT o_orderkey, least(greatest((o_orderkey % 131 - 15) / 100, 0), 1)::DOUBLE AS d FROM orders)"
 QUERIES["an_latest_run"] = lambda s, d: faithfulness.latest(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 ORACLES["an_latest_run"] = "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL"

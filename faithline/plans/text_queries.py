@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dsl import values
-from ..functions import prompts, structures, text
+from ..functions import prompts, sql, structures, text
 from ..operators import interventions
 
 _A = "CASE WHEN o_orderstatus = 'O' THEN 'True' ELSE 'False' END"
@@ -216,3 +216,12 @@ ORACLES |= {
     **{f"prompt_{r}": f"WITH {CK} SELECT idx, 'Judge the order.' || chr(10) || chr(10) || '{t + chr(10) + chr(10) if t else ''}' || 'Order ' || idx::VARCHAR || chr(10) || chr(10) || 'Checklist:' || chr(10) || "
        "string_agg('- Q: line ' || n::VARCHAR || ' (True/False): ' || CASE WHEN a = 1 THEN 'True' ELSE 'False' END, chr(10) ORDER BY pos) || chr(10) || 'Final Verdict:' AS prompt FROM m GROUP BY idx" for r, t in prompts.REGIMES.items()},
 }
+
+
+def _edits_in_sql(spark, sf_dir):
+    sql.register(spark, "faithline_")
+    return spark.sql("SELECT s.idx, e.kind, e.edit_no, array_join(transform(e.edited, x -> if(x.answer, '1', '0')), '') AS answers "
+                     "FROM (SELECT *, faithline_generation_status(true, mediator, gold) AS status FROM {samples}) AS s, LATERAL faithline_checklist_edits(s.mediator, s.gold, s.status) AS e WHERE e.kind = 'Local Edits'", samples=checklists(spark, sf_dir))
+
+
+QUERIES["sql_local_edits"], ORACLES["sql_local_edits"] = _edits_in_sql, ORACLES["iv_local_edits"]

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from faithline.functions import structures, text, trace
+from faithline.functions import structures, text, tool_json, trace
 from faithline.operators import faithfulness, interventions, metrics
 from faithline.sources import readers, sinks
 
@@ -98,7 +98,7 @@ def test_readers_and_sinks(spark, tmp_path):
     got = readers.run_dumps(spark, str(tmp_path / "runs"), "struct<idx:string>").collect()
     assert [(g.dataset, g.run_type, g.model, g.idx) for g in got] == [("tabfact", "standard", "m", "m_20250202")]
     df = spark.createDataFrame([("m_1", 0.25), ("x", None)], "model string, delta double")
-    assert "| m_1 | 0.250 |" in sinks.markdown(df) and r"\cellcolor{red!50}0.25" in sinks.latex(df, ("delta",))
+    assert "| m_1 | 0.250 |" in sinks.markdown(df) and r"\cellcolor[HTML]{CECE71}0.25" in sinks.latex(df, ("delta",))
     sinks.run_dump(df, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
@@ -125,7 +125,7 @@ def test_lines_of_checklists(spark):
     assert one(spark, text.checklist(t, "rubric"), t="Checklist:\nnothing") is None
 
 
-def test_tracing():
+def test_tracing(spark):
     """Programs are interpreted as Python would run them, a step for every line that is reached."""
     import sys
 
@@ -160,8 +160,9 @@ def test_tracing():
     assert len(steps) == 1 and result == ([2, 4, 8], {1: -1, 2: -2}, "34")
     assert trace.admission("def f(x):\n    return open(x)", "'a'")[0] == "trace" and trace.admission("def g(x):\n    return x", "1")[0] == "resolve"
     assert trace.admission("def f():\n    while True:\n        pass", "")[0] == "trace" and trace.admission("def f(x):\n    return -x", "1.5")[2] == "-1.5"
-    assert trace.tool_steps('x ARGS: {"trace": [{"line": "3", "locals": {"a": "[1]"}}]} junk') == [trace.Step(3, {"a": [1]})]
-    assert trace.tool_steps('ARGS: {"trace": [{"line": "x", "locals": {}}]}') is None and trace.tool_steps('{"trace": "line 1:"}', True) == "line 1:"
+    said = lambda t, short=False: trace.tool_steps(spark.createDataFrame([(t,)], "t string").select(tool_json.block(F.col("t"), short).alias("b")).select(tool_json.object_of("b").alias("o")).first()["o"])
+    assert said('x ARGS: {"trace": [{"line": "3", "locals": {"a": "[1]"}}]} junk') == [trace.Step(3, {"a": [1]})]
+    assert said('ARGS: {"trace": [{"line": "x", "locals": {}}]}') is None and said('{"trace": "line 1:"}', True) == "line 1:" and said('{"trace": "line 1:"}') is None
     assert [trace.same_answer(*p) for p in (("[1,2]", "[1, 2]"), ("a", "b"), ("1", None), (" x ", "x"))] == [1, 0, None, 1]
 
 
@@ -196,3 +197,46 @@ def test_ricechem_files(spark, tmp_path):
         (tmp_path / f"answers/a{n}.csv").write_text("SID,Answer,Rubric\nx,x,x\n" + "".join(f's{n}{i},"line one\nline two {i}",r\n' for i in range(3)))
     got = readers.ricechem(spark, str(tmp_path / "rubric"), str(tmp_path / "answers"), 4).orderBy("idx").collect()
     assert [(r.idx, r.student_answer, r.gold_score, [x.answer for x in r.gold_rubric]) for r in got] == [(f"4@s{n}{i}", f"line one line two {i}", float(i), [True, False]) for n in (1, 2) for i in range(3)]
+
+
+def test_a_broken_run_leaves_no_half_dump(spark, tmp_path):
+    import os
+
+    import pytest
+
+    runs = spark.createDataFrame([("a", "correct"), ("b", "error")], "idx string, status string")
+    path = tmp_path / "run"
+    breaks = runs.select(F.when(F.col("idx") == "b", F.raise_error(F.lit("killed"))).otherwise(F.col("status")).alias("n"))
+    for metrics_ in (breaks, None):
+        with pytest.raises(Exception):  # noqa: B017  the second table fails, or is none
+            sinks.run_folder(runs, {"model": "m"}, metrics_, str(path))
+        assert os.listdir(tmp_path) == []
+    sinks.run_folder(runs, {"model": "m"}, runs.groupBy("status").count(), str(path))
+    assert sorted(os.listdir(path)) == ["meta", "metrics", "result"] and spark.read.json(str(path / "result")).count() == 2
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.run_folder(runs.limit(1), {"model": "m"}, breaks, str(path))
+    assert os.listdir(tmp_path) == ["run"] and spark.read.json(str(path / "result")).count() == 2  # the one that was there
+
+
+def test_tables_without_the_driver(spark, tmp_path):
+    df = spark.range(500).selectExpr("CAST(id AS STRING) AS m_1", "IF(id = 3, NULL, id / 4) AS delta", "id AS k").repartition(7)
+    sinks.markdown_lines(df, ["k"]).write.text(str(tmp_path / "t"))
+    lines = "".join(open(p).read() for p in sorted(map(str, (tmp_path / "t").glob("part-*")))).splitlines()
+    assert len(lines) == 502 and lines[:3] == ["| m_1 | delta | k |", "| --- | --- | --- |", "| 0 | 0.000 | 0 |"] and lines[5] == "| 3 |  | 3 |" and lines[-1] == "| 499 | 124.750 | 499 |"
+    deltas = spark.createDataFrame([(x,) for x in (None, float("nan"), -1.0, 0.0, 0.13, 0.26, 0.31, 0.36, 0.5, 0.65, 0.9)], "d double")
+    assert [r.c for r in deltas.select(sinks.colour(F.col("d")).alias("c")).collect()] == [None, None, "5DBB89", "5DBB89", "98C57C", "D3CF70", "E9D26B", "FFD466", "F5B16B", "EB8C70", "EB8C70"]
+
+
+def test_sql_functions(spark):
+    from faithline.functions import sql
+
+    assert sql.register(spark, "fl_") == ["fl_" + n for n in sql.FUNCTIONS]
+    got = spark.sql("SELECT fl_same_answer('1.005', '1.0', 'ricechem') a, fl_same_answer('1.005', '1.0', 'tabfact') b, fl_same_answer(NULL, NULL, 'x') c").first()
+    assert tuple(got) == (True, False, False)
+    c = "array<struct<item:string,pos:int,answer:boolean>>"
+    gold, wrong = [("a", 0, True), ("b", 1, False)], [("a", 0, False), ("b", 1, False)]
+    df = spark.createDataFrame([(1, gold[::-1], gold), (2, wrong, gold), (3, None, gold)], f"idx int, mediator {c}, gold {c}")
+    status = spark.sql("SELECT idx, mediator, gold, fl_same_checklist(mediator, gold) AS same, fl_generation_status(true, mediator, gold) AS status FROM {df}", df=df)
+    assert [(r.same, r.status) for r in status.orderBy("idx").collect()] == [(1, "correct"), (0, "incorrect"), (None, "error")]
+    mine = spark.sql("SELECT s.idx, e.* FROM {s} AS s, LATERAL fl_checklist_edits(s.mediator, s.gold, s.status) AS e", s=status)
+    assert sorted(map(repr, mine.collect())) == sorted(map(repr, interventions.checklist_edits(status, ["idx"]).withColumnRenamed("mediator", "edited").collect()))
