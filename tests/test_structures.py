@@ -240,3 +240,20 @@ def test_sql_functions(spark):
     assert [(r.same, r.status) for r in status.orderBy("idx").collect()] == [(1, "correct"), (0, "incorrect"), (None, "error")]
     mine = spark.sql("SELECT s.idx, e.* FROM {s} AS s, LATERAL fl_checklist_edits(s.mediator, s.gold, s.status) AS e", s=status)
     assert sorted(map(repr, mine.collect())) == sorted(map(repr, interventions.checklist_edits(status, ["idx"]).withColumnRenamed("mediator", "edited").collect()))
+
+
+def test_a_later_dump_replaces_an_earlier_one(spark, tmp_path):
+    from faithline.streaming import dumps
+
+    source, out, checkpoint = (str(tmp_path / p) for p in ("in", "out", "checkpoint"))
+    kinds = "model string, idx string, status string, stamp string"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, kinds).selectExpr("'d' AS dataset", "'standard' AS run_type", "*").coalesce(1).write.mode("append").json(source)
+        dumps.latest(spark, source, out, checkpoint)
+        return {r.model: (r.stamp, r.n_total, r.n_correct, r.n_incorrect, r.n_error) for r in dumps.current(spark, out).collect()}
+
+    assert arrive(("a", "1", "correct", "2024"), ("a", "2", "error", "2024"), ("b", "1", "correct", None)) == {"a": ("2024", 2, 1, 0, 1), "b": ("", 1, 1, 0, 0)}
+    assert arrive(("a", "3", "correct", "2024")) == {"a": ("2024", 3, 2, 0, 1), "b": ("", 1, 1, 0, 0)}  # more of the same dump
+    assert arrive(("a", "1", "incorrect", "2025"), ("a", "9", "correct", "2023"), ("b", "2", "other", None)) == {"a": ("2025", 1, 0, 1, 0), "b": ("", 2, 1, 0, 0)}
+    assert arrive(("a", "9", "correct", "2024"))["a"] == ("2025", 1, 0, 1, 0)  # late
