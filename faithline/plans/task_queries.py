@@ -359,3 +359,30 @@ ORACLES |= {
     "an_slot": f"{_RUNS} SELECT dataset, CASE WHEN dataset = 'averitec' AND run_type = 'detailed' THEN 'standard' ELSE run_type END AS run_type, model, count(*) AS n, sum(idx)::BIGINT AS s, count(*) FILTER (WHERE status = 'correct') AS n_correct "
                "FROM runs WHERE NOT (dataset = 'averitec' AND run_type = 'standard') GROUP BY ALL",
 }
+
+# edits from a pool, a sample of edits, and samples that count as errors
+
+
+def _sampled(spark, sf_dir):
+    d = checklists(spark, sf_dir).withColumn("status", structures.classify(F.lit(True), F.col("mediator"), F.col("gold")))
+    return interventions.sampled(interventions.checklist_edits(d, ["idx"]), ["idx"], 2, 7).groupBy("idx").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("edit_no").alias("n_distinct"))
+
+
+def _pooled(spark, sf_dir):
+    r = runs_.runs(spark, sf_dir).filter("dataset = 'tabfact' AND run_type = 'standard' AND model = 'noisy'")
+    pool = r.select("idx", F.explode(F.sequence(F.lit(0), F.col("idx") % 3)).alias("edit_no")).withColumn("query", F.concat(F.lit("q"), F.col("edit_no").cast("string")))
+    return interventions.pool_edits(r, pool, "idx").select("idx", "kind", F.col("edit_no").cast("int").alias("edit_no"), "query")
+
+
+def _filtered(spark, sf_dir):
+    d = runs_.runs(spark, sf_dir).withColumn("status", faithfulness.filtered_status(F.col("idx") % 4, F.col("idx") % 3, F.col("status"), F.col("dataset")))
+    return d.groupBy(*RUN).agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("correct", "incorrect", "error")])
+
+
+_MOVED = "dataset = 'averitec' AND status = 'incorrect' AND idx % 4 <> idx % 3"
+QUERIES |= {"iv_sampled_edits": _sampled, "iv_pool_edits": _pooled, "an_filter_sample": _filtered}
+ORACLES |= {
+    "iv_sampled_edits": f"WITH {CK}, p AS (SELECT idx, CASE WHEN idx % 10 < 6 THEN least(count(*), 2) ELSE 1 END AS n FROM m WHERE idx % 10 < 9 GROUP BY idx) SELECT idx, n, n AS n_distinct FROM p",
+    "iv_pool_edits": f"{_RUNS} SELECT idx, 'Local Edits' AS kind, e::INTEGER AS edit_no, 'q' || e::VARCHAR AS query FROM runs, unnest(range(idx % 3 + 1)) AS t(e) WHERE dataset = 'tabfact' AND run_type = 'standard' AND model = 'noisy' AND status = 'correct'",
+    "an_filter_sample": f"{_RUNS} SELECT {_G}, count(*) FILTER (WHERE status = 'correct') AS correct, count(*) FILTER (WHERE status = 'incorrect' AND NOT ({_MOVED})) AS incorrect, count(*) FILTER (WHERE status = 'error' OR ({_MOVED})) AS error FROM runs GROUP BY ALL",
+}
