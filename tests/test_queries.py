@@ -8,7 +8,7 @@ import __spark_entry__
 from faithline.plans import catalogue, task_queries
 
 SF = "/root/testdata/sf0.001"
-SOME = ["dsl_filter_eq", "dsl_greater", "dsl_most_freq", "dsl_last", "dsl_all_less", "dsl_missing_column", "dsl_nested_stratified", "txt_checklist", "txt_baseline_answer", "val_parse_number", "tool_verdict", "iv_local_edits", "eval_baseline", "an_faith_table", "an_symmetry", "trace_duplicate", "trace_coerce", "trace_simulate", "dsl_program_parse", "dsl_program_batch", "trace_applicable_levels", "dsl_third", "dsl_before", *task_queries.QUERIES]
+SOME = ["dsl_filter_eq", "dsl_greater", "dsl_most_freq", "dsl_last", "dsl_all_less", "dsl_missing_column", "dsl_nested_stratified", "txt_checklist", "txt_baseline_answer", "val_parse_number", "tool_verdict", "iv_local_edits", "eval_baseline", "an_faith_table", "an_symmetry", "trace_duplicate", "trace_coerce", "trace_simulate", "dsl_program_parse", "dsl_program_batch", "trace_applicable_levels", "dsl_third", "dsl_before", "dsl_list_forms", "txt_answers", "an_accuracy", "an_graded_accuracy", "an_delta_colour", "sql_local_edits", *task_queries.QUERIES]
 
 
 def plain(x):
