@@ -75,3 +75,18 @@ ORACLES = {
     "trace_drop": f"WITH {_TEXTS} SELECT l_orderkey, string_agg(x, chr(10) ORDER BY k) AS text FROM s WHERE k > 1 OR n = 1 GROUP BY l_orderkey",
     "trace_duplicate": f"WITH {_TEXTS} SELECT l_orderkey, string_agg(x, chr(10) ORDER BY k) AS text FROM (SELECT * FROM s UNION ALL SELECT * FROM s WHERE n > 1 AND k = n // 2 + 1) GROUP BY l_orderkey",
 }
+
+#: What the programs mention: (columns, other literals without a number), read off their texts.
+MENTIONED = {
+    "dsl_filter_eq": ("event_type", "click"), "dsl_filter_not_eq": ("event_type", "click"), "dsl_filter_greater": ("value", ""), "dsl_filter_less": ("value", ""), "dsl_greater": ("event_type value", "click"),
+    "dsl_and": ("event_type", "click purchase"), "dsl_argmax": ("event_type value", "click"), "dsl_argmin": ("event_type value", "click"), "dsl_top": ("event_type value", "click"), "dsl_bottom": ("event_type value", "click"),
+    "dsl_before": ("value", ""), "dsl_after": ("event_type", "click purchase"), "dsl_first": ("event_type value", "click"), "dsl_count": ("", ""), "dsl_min": ("event_type value", "click"),
+    "dsl_most_freq": ("event_type", "click"), "dsl_not_within": ("event_type value", "click"),
+}
+_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]::VARCHAR[]"
+_SAID = "said AS (" + " UNION ALL ".join(f"SELECT {i} AS i, {_TEXT(p)} AS program, {_list(MENTIONED[n][0])} AS columns, {_list(MENTIONED[n][1])} AS vals" for i, (n, p) in enumerate(zip(_NAMES, _EV, strict=True))) + ")"
+ORACLES |= {
+    "dsl_columns_values": f"WITH {_PICKS}, {_SAID} SELECT user_id, program, columns, vals AS values FROM picks JOIN said USING (i)",
+    "dsl_set_match": f"WITH {_PICKS}, {_SAID}, d AS (SELECT user_id, program, list_sort(list_concat(columns, vals)) AS m FROM picks JOIN said USING (i)) SELECT a.user_id, a.program, b.program AS program2, "
+                     "CASE WHEN len(a.m) = 0 AND len(b.m) = 0 THEN a.program = b.program ELSE a.m = b.m END::INTEGER AS match FROM d AS a JOIN d AS b ON a.user_id = b.user_id",
+}
