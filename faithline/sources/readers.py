@@ -92,9 +92,9 @@ def cruxeval(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, code string, input string, output string").json(path)
 
 
-def run_dumps(spark: SparkSession, root: str, schema: str, runs: bool = True) -> DataFrame:
+def run_dumps(spark: SparkSession, root: str, schema: str, runs: bool = True, newest: str = "file_name") -> DataFrame:
     """Samples of run dumps {root}/dataset[/run]/model_*.json with dataset, run_type, model and file_name from the path;
-    of each model the file with the last name."""
+    of each model the file with the last name, or, with ``newest`` as modified, the one that was written last (of equal times the last name)."""
     from ..operators.faithfulness import latest
 
     d = spark.read.schema(f"meta map<string,string>, result array<{schema}>").option("multiLine", True).json(f"{root}/*{'/*' if runs else ''}/*.json")
@@ -102,4 +102,7 @@ def run_dumps(spark: SparkSession, root: str, schema: str, runs: bool = True) ->
     part = lambda k: F.element_at(path, -k)
     d = d.select("meta", "result", part(3 if runs else 2).alias("dataset"), (part(2) if runs else F.lit("baseline")).alias("run_type"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"))
     d = d.withColumn("model", F.regexp_extract("file_name", r"^(.*?)(?:_\d.*)?\.json$", 1))
-    return latest(d, ["dataset", "run_type", "model"], "file_name").select("dataset", "run_type", "model", "file_name", "meta", F.explode("result").alias("r")).select("dataset", "run_type", "model", "file_name", "meta", "r.*")
+    if newest not in ("file_name", "modified"):
+        raise ValueError(f"dumps are not told apart by {newest}")
+    d = d.withColumn("__newest", F.struct(newest, "file_name"))
+    return latest(d, ["dataset", "run_type", "model"], "__newest").select("dataset", "run_type", "model", "file_name", "meta", F.explode("result").alias("r")).select("dataset", "run_type", "model", "file_name", "meta", "r.*")

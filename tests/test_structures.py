@@ -1,6 +1,7 @@
 """Completions, traces, readers, sinks and the stream extension."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -97,6 +98,8 @@ def test_readers_and_sinks(spark, tmp_path):
         (tmp_path / f"runs/tabfact/standard/{name}.json").write_text(json.dumps({"meta": {"n": "1"}, "result": [{"idx": name}]}))
     got = readers.run_dumps(spark, str(tmp_path / "runs"), "struct<idx:string>").collect()
     assert [(g.dataset, g.run_type, g.model, g.idx) for g in got] == [("tabfact", "standard", "m", "m_20250202")]
+    os.utime(tmp_path / "runs/tabfact/standard/m_20250101.json", (2e9, 2e9))
+    assert [g.idx for g in readers.run_dumps(spark, str(tmp_path / "runs"), "struct<idx:string>", newest="modified").collect()] == ["m_20250101"]
     df = spark.createDataFrame([("m_1", 0.25), ("x", None)], "model string, delta double")
     assert "| m_1 | 0.250 |" in sinks.markdown(df) and r"\cellcolor[HTML]{CECE71}0.25" in sinks.latex(df, ("delta",))
     sinks.run_dump(df, str(tmp_path / "out"))
@@ -125,6 +128,12 @@ def test_lines_of_checklists(spark):
     assert one(spark, text.checklist(t, "rubric"), t="Checklist:\nnothing") is None
 
 
+def test_kept_samples(spark):
+    df = spark.createDataFrame([(3, "def f(x):\n    y = x\n    return y", "1"), (1, "def g(x):\n    return x", "1"), (2, "def f(x):\n    y = [x]\n    return y", "2")], "id int, code string, args string")
+    admitted = trace.admitted(df, "code", "args")
+    assert [r.id for r in trace.kept(admitted, "id", 1).collect()] == [2] and trace.kept(admitted, "id").count() == 2
+
+
 def test_tracing(spark):
     """Programs are interpreted as Python would run them, a step for every line that is reached."""
     import sys
@@ -200,8 +209,6 @@ def test_ricechem_files(spark, tmp_path):
 
 
 def test_a_broken_run_leaves_no_half_dump(spark, tmp_path):
-    import os
-
     import pytest
 
     runs = spark.createDataFrame([("a", "correct"), ("b", "error")], "idx string, status string")
