@@ -36,10 +36,10 @@ def set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trace text for every order: a step for each of its lines."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_returnflag").distinct()
-    line = F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(":\n  q = "), F.col("q").cast("string"), F.lit("\n  flag = '"), F.col("l_returnflag"), F.lit("'"))
-    g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "q", "l_returnflag", line.alias("t")))).alias("s"))
-    return g.select("l_orderkey", F.array_join(F.transform("s", lambda x: x["t"]), "\n").alias("text"))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_returnflag").alias("x"))
+    g = li.repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("x")).alias("s"))
+    line = lambda x: F.concat(F.lit("line "), x["l_linenumber"].cast("string"), F.lit(":\n  q = "), x["q"].cast("string"), F.lit("\n  flag = '"), x["l_returnflag"], F.lit("'"))
+    return g.select("l_orderkey", F.array_join(F.transform("s", line), "\n").alias("text"))
 
 
 SOURCE = "def f(q, flag):\n    if q > 3:\n        return [q * 2, flag.lower()]\n    return q"

@@ -1,5 +1,6 @@
 """Completions, traces, readers, sinks and the stream extension."""
 
+import ast
 import json
 import os
 
@@ -264,3 +265,28 @@ def test_a_later_dump_replaces_an_earlier_one(spark, tmp_path):
     assert arrive(("a", "3", "correct", "2024")) == {"a": ("2024", 3, 2, 0, 1), "b": ("", 1, 1, 0, 0)}  # more of the same dump
     assert arrive(("a", "1", "incorrect", "2025"), ("a", "9", "correct", "2023"), ("b", "2", "other", None)) == {"a": ("2025", 1, 0, 1, 0), "b": ("", 2, 1, 0, 0)}
     assert arrive(("a", "9", "correct", "2024"))["a"] == ("2025", 1, 0, 1, 0)  # late
+
+
+def test_trace_edits_share_steps_and_lines(spark, monkeypatch):
+    """A trace is read once for all its edits, a line that recurs once for all traces, and unchanged steps are written once; results are those of single edits."""
+    text = "\n".join(f"line {i % 3}:\n  x = {i}\n  s = 'ab'\n  l = [1, 2]\n  f = -0.5\n  t = it's\n  # so" for i in range(6))
+    written = []
+    monkeypatch.setattr(trace, "_step_text", lambda s, was=trace._step_text: written.append(s.line) or was(s))
+    got = trace.edits_of(text, "7")
+    assert len(written) < 2 * 6  # six edits of six steps
+    steps = trace.parse(text)
+    assert got == [(k, trace.LEVELS[k], trace.to_text(trace.perturb(steps, k, "7"))) for k in range(1, 7)]
+    trace._known.cache_clear()
+    assert trace.parse(text) == steps and trace._known.cache_info().hits > 20
+    for v in ("0", "-7", "007", "1_0", "-0.0", "1.", "1e3", "'a\"b'", '"it\'s"', "'a\\n'", "'a' 'b'", "True", "None", "[1, 'a']", "{1: (2,)}", "it's", "'é'", "--1", "1" * 200):
+        try:
+            want = ast.literal_eval(v)
+        except (ValueError, SyntaxError):
+            want = v
+        assert repr(trace.literal(v)) == repr(want) and type(trace.literal(v)) is type(want)
+    one, two = trace.parse("line 1:\n  l = [1]"), trace.parse("line 1:\n  l = [1]")
+    one[0].locals["l"].append(2)
+    assert two[0].locals["l"] == [1] and trace.perturb(two, 0, "k")[0].locals["l"] is not two[0].locals["l"]
+    d = spark.createDataFrame([(1, text, 5), (2, "nothing", 6), (3, "line 1:\n  x = 1", 7)], "k int, t string, more int")
+    rows = trace.local_edits(d, "t", "k").collect()
+    assert rows[0].asDict().keys() == {"k", "more", "level", "name", "perturbed"} and [(r.k, r.more, r.level) for r in rows] == [*[(1, 5, i) for i in range(1, 7)], *[(3, 7, i) for i in (1, 2, 3)]]
