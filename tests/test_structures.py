@@ -290,3 +290,18 @@ def test_trace_edits_share_steps_and_lines(spark, monkeypatch):
     d = spark.createDataFrame([(1, text, 5), (2, "nothing", 6), (3, "line 1:\n  x = 1", 7)], "k int, t string, more int")
     rows = trace.local_edits(d, "t", "k").collect()
     assert rows[0].asDict().keys() == {"k", "more", "level", "name", "perturbed"} and [(r.k, r.more, r.level) for r in rows] == [*[(1, 5, i) for i in range(1, 7)], *[(3, 7, i) for i in (1, 2, 3)]]
+
+
+def test_trace_columns_and_shuffles(spark):
+    """Trace columns hold what parse gives, with nulls, empty steps and repeated locals; an order's lines meet in one shuffle, repeated lines once."""
+    from faithline.plans import other_queries
+
+    texts = [None, "no header", "line 1:", TRACE, "line 2:\n  x = 1\n  x = 2\n  # a\n  # b", "line 3:\n  é = 1\n  s = 'é'"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    got = {r.k: r.trace for r in trace.parsed(df, "t").collect()}
+    for k, t in enumerate(texts):
+        steps = trace.parse(t)
+        assert (got[k] is None) == (steps is None)
+        assert [(s.line, [tuple(x) for x in s.locals], s.nl_comment) for s in got[k] or []] == [(s.line, [(n, repr(v)) for n, v in s.locals.items()], s.nl_comment) for s in steps or []]
+    plan = other_queries.traces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
