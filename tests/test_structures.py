@@ -305,3 +305,13 @@ def test_trace_columns_and_shuffles(spark):
         assert [(s.line, [tuple(x) for x in s.locals], s.nl_comment) for s in got[k] or []] == [(s.line, [(n, repr(v)) for n, v in s.locals.items()], s.nl_comment) for s in steps or []]
     plan = other_queries.traces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_coerced_without_deep_copies(spark, monkeypatch):
+    """Steps that a perturbation leaves alone are not copied, and no number or text ever is."""
+    text = "\n".join(f"line {i}:\n  x = {i}\n  s = 'ab'" for i in range(20))
+    steps = trace.parse(text)
+    monkeypatch.setattr(trace.copy, "deepcopy", lambda *_: 1 / 0)
+    got = trace.perturb(steps, 3, "k")
+    assert got[-1].locals == {"x": [19, 19], "s": "ab"} and got[:-1] == steps[:-1] and steps[-1].locals["x"] == 19
+    assert sum(a is b for a, b in zip(trace._perturbed(steps, 3, "k"), steps, strict=True)) == 19
