@@ -315,3 +315,17 @@ def test_coerced_without_deep_copies(spark, monkeypatch):
     got = trace.perturb(steps, 3, "k")
     assert got[-1].locals == {"x": [19, 19], "s": "ab"} and got[:-1] == steps[:-1] and steps[-1].locals["x"] == 19
     assert sum(a is b for a, b in zip(trace._perturbed(steps, 3, "k"), steps, strict=True)) == 19
+
+
+def test_simulated_source_read_once(monkeypatch):
+    """A function's source is parsed once for all traces, also where its return fails or its values are changed in place."""
+    calls = []
+    monkeypatch.setattr(trace.ast, "parse", lambda s, *a, was=ast.parse, **k: calls.append(s) or was(s, *a, **k))
+    code = "def f(q, l):\n    return 1 // q"
+    for f in (trace._known_tree, trace._first_return):
+        f.cache_clear()
+    assert [trace.simulate([trace.Step(1, {"q": q, "l": [q]})], code) for q in range(5)] == ["ERROR: integer division or modulo by zero", 1, 0, 0, 0]
+    assert len(calls) == 1
+    grown = "def f(l):\n    return l.append(3) or l"
+    assert [trace.simulate(trace.parse("line 1:\n  l = [1]"), grown) for _ in range(3)] == [[1, 3]] * 3
+    assert trace.simulate([trace.Step(1)], "def f(:") == trace.simulate([trace.Step(1)], "def f(:") and trace.simulate([trace.Step(1)], "x = 1") == "ERROR: no return found"
