@@ -329,3 +329,20 @@ def test_simulated_source_read_once(monkeypatch):
     grown = "def f(l):\n    return l.append(3) or l"
     assert [trace.simulate(trace.parse("line 1:\n  l = [1]"), grown) for _ in range(3)] == [[1, 3]] * 3
     assert trace.simulate([trace.Step(1)], "def f(:") == trace.simulate([trace.Step(1)], "def f(:") and trace.simulate([trace.Step(1)], "x = 1") == "ERROR: no return found"
+
+
+def test_admission_asked_once(monkeypatch):
+    """Equal tasks are run once in a task of Spark, whatever comes of them; long traces are not kept, and so many tasks at most are."""
+    asked = []
+    monkeypatch.setattr(trace, "admission", lambda s, a, most, was=trace.admission: asked.append(a) or was(s, a, most))
+    trace._asked.clear()
+    code = "def f(n, s):\n    t = [n] * len(s)\n    return t"
+    for _ in range(3):
+        assert trace._known_admission(code, "4, 'ab'", 80) == ("kept", trace.record(code, "4, 'ab'")[0], "[4, 4]")
+        assert trace._known_admission(code, "4", 80)[0] == "resolve" and trace._known_admission(code, "4, 5", 80)[0] == "trace" and trace._known_admission(code, "4, 'ab'", 1)[0] == "trace"
+    assert len(asked) == 4
+    long = f"1, '{'x' * 10_000}'"
+    assert trace._known_admission(code, long, 80)[2] == trace._known_admission(code, long, 80)[2] and asked.count(long) == 2
+    for i in range(trace.TASKS + 5):
+        trace._known_admission(code, f"{i}, 'a'", 80)
+    assert len(trace._asked) == trace.TASKS
