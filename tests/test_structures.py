@@ -346,3 +346,17 @@ def test_admission_asked_once(monkeypatch):
     for i in range(trace.TASKS + 5):
         trace._known_admission(code, f"{i}, 'a'", 80)
     assert len(trace._asked) == trace.TASKS
+
+
+def test_recorded_without_deep_copies(monkeypatch):
+    """A function is parsed once for all its calls; what a step holds is its own, and no number, text or flat list needs a deep copy."""
+    code = "def f(n, l):\n    for i in range(n):\n        l.append(i)\n    return l"
+    want = [({"n": 2, "l": [9]}), {"n": 2, "l": [9], "i": 0}, {"n": 2, "l": [9, 0], "i": 0}, {"n": 2, "l": [9, 0], "i": 1}, {"n": 2, "l": [9, 0, 1], "i": 1}, {"n": 2, "l": [9, 0, 1], "i": 1}]
+    calls = []
+    trace._known_tree.cache_clear()
+    monkeypatch.setattr(trace.ast, "parse", lambda s, *a, was=ast.parse, **k: calls.append(s) or was(s, *a, **k))
+    monkeypatch.setattr(trace.copy, "deepcopy", lambda *_: 1 / 0)
+    for _ in range(3):
+        steps, result = trace.record(code, "2, [9]")
+        assert [s.locals for s in steps] == want and [s.line for s in steps] == [2, 3, 2, 3, 2, 4] and result == [9, 0, 1]
+    assert sum(c == code for c in calls) == 1
