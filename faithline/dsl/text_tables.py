@@ -22,6 +22,9 @@ from .values import strip
 # What a reader of CSV takes for no value.
 NO_VALUE = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+#: Characters of table texts in a task, times the programs asked of a table: a task's rows are some twenty times that.
+PART = 16_000_000
+
 
 def fields(line: Column, sep: str = "#") -> Column:
     """The fields of a line, divided by one character."""
@@ -39,9 +42,19 @@ def _told_apart(names: Column) -> Column:
     return F.transform(F.array(named), lambda every: F.transform(every, lambda x, i: numbered(x, i, every)))[0]
 
 
-def rows(tables: DataFrame, table: str = "table_id", text: str = "text", sep: str = "#", blanks: bool = False) -> Ragged:
-    """Tables of (id, text) as one family, keyed by the id."""
-    one = tables.groupBy(F.col(table).alias(table)).agg(F.min(text).alias("__text"))
+def dealt(tables: DataFrame, table: str, text: str, programs: int = 1) -> DataFrame:
+    """Tables by their ids in partitions of about PART characters for each program. A text is much smaller than its rows beside all the programs asked of it, which a task
+    sorts, so what is known of the texts' compressed size must not decide how many a task gets."""
+    size = tables.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    parts = -(-size * max(programs, 1) // PART)
+    if parts <= tables.sparkSession.sparkContext.defaultParallelism:
+        return tables.repartition(table)
+    return tables.repartition(parts, table)
+
+
+def rows(tables: DataFrame, table: str = "table_id", text: str = "text", sep: str = "#", blanks: bool = False, programs: int = 1) -> Ragged:
+    """Tables of (id, text) as one family, keyed by the id; ``programs`` says how many are asked of a table, about."""
+    one = dealt(tables.select(F.col(table).alias(table), F.col(text).alias("__of")), table, "__of", programs).groupBy(table).agg(F.min("__of").alias("__text"))
     lines = one.select(table, F.filter(F.split("__text", r"\r\n|\n|\r"), lambda x: strip(x) != "").alias("__lines"))
     head = lines.select(table, _told_apart(fields(F.get("__lines", F.lit(0)), sep)).alias("__head"), "__lines")
     names = F.transform("__head", lambda x: F.lower(strip(x)))
@@ -56,7 +69,8 @@ def verdicts(programs: DataFrame, tables: DataFrame, program: str = "program", t
     """The rows of ``programs`` with the verdict of each on its table: null without =True or =False at its end, for a table that is
     unknown or has no row, and for a program that fails there."""
     asked = programs.select(table, program).distinct().filter(F.col(program).rlike("=(True|False)$"))
-    family = rows(tables.select(F.col(table).alias(table), F.col(text).alias("__of")), table, "__of", blanks=blanks)
+    each = asked.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(table).alias("t")).first()
+    family = rows(tables.select(F.col(table).alias(table), F.col(text).alias("__of")), table, "__of", blanks=blanks, programs=-(-each["n"] // max(each["t"], 1)))
     got = batch.run_programs(asked, family, program).select(F.col(table).alias("__t"), F.col(program).alias("__p"), F.col("final").alias(out))
     return programs.join(got, (programs[table] == got["__t"]) & (programs[program] == got["__p"]), "left").drop("__t", "__p")
 

@@ -370,3 +370,19 @@ def test_arguments_worked_out_once(spark):
     got = one(spark, text.checklist_of(F.col("t"), "question"), t="\n".join(lines))
     assert [(x.item, x.pos, x.answer) for x in got] == [("a - b", 0, True), ("x", 1, False), ("one", 2, True), ("same", 3, False), ("(only)", 4, True)]
     assert one(spark, text.checklist_of(F.col("t"), "question"), t="Q: x (x") is None
+
+
+def test_table_texts_dealt_by_size(spark, monkeypatch):
+    """How many table texts a task gets goes by their characters and by the programs asked of a table, not by what they take compressed; verdicts stay."""
+    from faithline.dsl import text_tables
+
+    d = spark.createDataFrame([(str(i), "kind#no\n" + "click#1\n" * 100) for i in range(64)], "table_id string, text string")
+    asked = d.select("table_id", F.explode(F.array(F.lit("eq{count{all_rows}; 100}=True"), F.lit("eq{count{all_rows}; 99}=True"))).alias("program"))
+    size = 64 * (8 + 800)
+    assert text_tables.dealt(d, "table_id", "text").rdd.getNumPartitions() <= 4  # left to Spark
+    monkeypatch.setattr(text_tables, "PART", size // 10)
+    assert text_tables.dealt(d, "table_id", "text").rdd.getNumPartitions() == 11
+    assert text_tables.dealt(d, "table_id", "text", 2).rdd.getNumPartitions() == 21
+    assert text_tables.dealt(d.limit(0), "table_id", "text").count() == 0
+    got = text_tables.verdicts(asked, d).groupBy("program", "verdict").count().collect()
+    assert sorted((r.program[-8:-6], r.verdict, r["count"]) for r in got) == [("99", False, 64), ("00", True, 64)][::-1]
