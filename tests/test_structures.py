@@ -386,3 +386,21 @@ def test_table_texts_dealt_by_size(spark, monkeypatch):
     assert text_tables.dealt(d.limit(0), "table_id", "text").count() == 0
     got = text_tables.verdicts(asked, d).groupBy("program", "verdict").count().collect()
     assert sorted((r.program[-8:-6], r.verdict, r["count"]) for r in got) == [("99", False, 64), ("00", True, 64)][::-1]
+
+
+def test_recurring_steps_read_once(spark):
+    """Steps that recur in traces are read, retyped and written once in a task; texts of any cut read as before, and nothing that is shared is changed."""
+    texts = [None, "", "no header", TRACE, "  x = 0\nline 1:\n  x = 1", "line 1:\njunk\n  x = 1", "line 1:\r\n  x = [1]\r\nline 2:\n  x = [2]\x1c  y = 3", " line 1:\n  x = 1\nLINE\t2 :\n  y = 'a'\n\n  # so", f"line 1:\n  s = '{'x' * 300}'"]
+    for t in texts:
+        for level in trace.LEVELS:
+            assert trace.shared(t) == trace.parse(t) and (t is None or trace.parse(t) is None or trace.to_text(trace._perturbed(trace.shared(t), level, "k")) == trace.to_text(trace.perturb(trace.parse(t), level, "k")))
+    trace._known_steps.cache_clear()
+    rows = [(i, f"line 1:\n  q = {i % 7}\nline 2:\n  q = {i % 5}\n  flag = 'A'") for i in range(100)]
+    assert [trace.shared(t) for _, t in rows] == [trace.parse(t) for _, t in rows] and trace._known_steps.cache_info().misses == 7 + 5
+    twice = trace._perturbed(trace._perturbed(trace.shared(rows[0][1]), 3, "k"), 3, "k")
+    assert twice[1].locals == {"q": "0", "flag": "A"}
+    got = trace.perturbed(spark.createDataFrame(rows, "k int, t string"), "t", "k", 3).collect()
+    assert [r.perturbed for r in got] == [f"line 1:\n  q = {i % 7}\nline 2:\n  q = [{i % 5}, {i % 5}]\n  flag = 'A'" for i in range(100)]
+    grown = "def f(l):\n    return l.append(3) or l"
+    said = trace.simulated(spark.createDataFrame([("line 1:\n  l = [1]",)] * 3, "t string").coalesce(1), "t", grown).collect()
+    assert [r.answer for r in said] == ["[1, 3]"] * 3
