@@ -404,3 +404,20 @@ def test_recurring_steps_read_once(spark):
     grown = "def f(l):\n    return l.append(3) or l"
     said = trace.simulated(spark.createDataFrame([("line 1:\n  l = [1]",)] * 3, "t string").coalesce(1), "t", grown).collect()
     assert [r.answer for r in said] == ["[1, 3]"] * 3
+
+
+def test_trace_batches_by_line(monkeypatch):
+    """A batch of traces becomes an Arrow array with each different line read once, equal to what the texts give one by one."""
+    import pyarrow as pa
+
+    step = pa.struct([("line", pa.int32()), ("locals", pa.list_(pa.struct([("name", pa.string()), ("repr", pa.string())]))), ("nl_comment", pa.string())])
+    kind = pa.list_(step)
+    texts = [None, "", "no header", TRACE, "  x = 0\nline 1:\n  x = 1\n  y = 2\n  x = [3]", "line 1:\n  # a\n  # b\nline 2:", "line 1:\r\n  x = it's\x1c  y = {1: (2,)}\u2028line 2:\n  x = 1", "  x = 9\n  # before"]
+    for batch in (texts, texts[:1], [], ["line 4:"]):
+        got = trace._parsed_array(pa.array(batch, pa.string()), kind)
+        got.validate(full=True)
+        assert got.to_pylist() == trace._trace_array([trace.parse(t) for t in batch], kind).to_pylist()
+    asked = []
+    monkeypatch.setattr(trace, "_known", lambda line: asked.append(line) or trace._said(line))
+    trace._parsed_array(pa.array([f"line 1:\n  x = {i % 3}" for i in range(1000)]), kind)
+    assert len(asked) == 4
