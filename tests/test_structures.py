@@ -421,3 +421,14 @@ def test_trace_batches_by_line(monkeypatch):
     monkeypatch.setattr(trace, "_known", lambda line: asked.append(line) or trace._said(line))
     trace._parsed_array(pa.array([f"line 1:\n  x = {i % 3}" for i in range(1000)]), kind)
     assert len(asked) == 4
+
+
+def test_equal_tasks_become_rows_once():
+    """What is asked of equal tasks of a batch is worked out and made an Arrow array once; nulls are values of their own."""
+    import pyarrow as pa
+
+    asked = []
+    make = trace._once(lambda a, b: asked.append((a, b)) or f"{a}-{b}", lambda found, kind: pa.array(found, kind))
+    a, b = ["x", None, "y", "x", None, "x"] * 50, ["1", "1", None, "1", "1", None] * 50
+    assert make([pa.array(a), pa.array(b)], pa.string()).to_pylist() == [f"{x}-{y}" for x, y in zip(a, b, strict=True)]
+    assert len(asked) == len(set(asked)) == 4 and make([pa.array([], pa.string())] * 2, pa.string()).to_pylist() == []
