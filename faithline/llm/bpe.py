@@ -4,8 +4,10 @@ Text is cut by the pre-token pattern; each pre-token's bytes form a linked list
 their merge rank. A bucket per rank holds the list positions; a two-level bitmap over the ranks finds the lowest
 non-empty bucket by find-first-set. Popped entries whose pair has changed since are stale and skipped, so
 nothing is ever searched for deletion. The work is O(n) queue steps for a pre-token of n bytes, however long.
+A bucket of a short pre-token is a bitmap as well, over its positions, and is gone through in one pop.
 
-Equal pre-tokens are mostly merged once per task (a cache of bounded bytes, freed with the task). Runs as one map over Arrow batches: no
+Equal pre-tokens are mostly merged once: in a task by ``encode``, in all tasks of a Python worker by ``digests`` (caches of bounded bytes,
+freed with the task and the worker). Runs as one map over Arrow batches: no
 shuffle, and only the id and text columns are read.
 Defined results: a null text is the empty text (no ids; empty bytes); each row gives one row, repeated rows
 included; an empty table gives an empty result; other columns are ignored.
@@ -25,9 +27,12 @@ from pyspark.sql import DataFrame
 
 from .common import table
 
-#: A task's cache: bytes of a generation as reckoned by an entry's size, and the longest pre-token that it keeps.
-CACHE_BYTES, CACHE_CHARS, ENTRY_BYTES = 36 << 20, 64, 120
+#: A cache: bytes of a generation as reckoned by an entry's size, and the longest pre-token that it keeps.
+CACHE_BYTES, CACHE_CHARS, ENTRY_BYTES = 56 << 20, 64, 200
 STRETCH = 4096
+#: Longest pre-token, in bytes, whose buckets are bitmaps over positions.
+SHORT = 60
+_BIT = [1 << i for i in range(256)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,6 +56,9 @@ class Codec:
         self.usual = pattern == _USUAL
         # the lower level of the bitmap over the ranks; all zeros again whenever a pre-token is done
         self.low = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
+        #: id of every byte, and rank of every pair of bytes, -1 if there is none
+        self.one = [ranks.get(bytes((a,))) for a in range(256)]
+        self.two = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
 
     def find(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
@@ -63,6 +71,8 @@ class Codec:
         if whole is not None:
             return [whole]
         n, low, top = len(piece), self.low, 0
+        if n <= SHORT:
+            return self._merge_short(piece)
         buckets: dict[int, list[int]] = {}
         after, before = list(range(1, n + 2)), list(range(-1, n))  # of each part's first byte
         now: list[int | None] = [None] * n  # rank of the pair that starts at a part, as last queued
@@ -113,6 +123,78 @@ class Codec:
             i = j
         return out
 
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """``merge`` where a bucket is a bitmap over positions. A pair that a merge makes is longer than what it merged, so no bucket
+        gets its own rank while it is gone through; if it gets a lower one, what is left of the bucket queues again."""
+        ranks, two, low, n, top = self.ranks.get, self.two, self.low, len(piece), 0
+        now = [two[a << 8 | b] for a, b in itertools.pairwise(piece)]  # rank of the pair that starts at a part, -1 without
+        now.append(-1)
+        after, before = list(range(1, n + 2)), list(range(-1, n))  # of each part's first byte
+        made = [self.one[b] for b in piece]  # id of the part that starts here
+        buckets: dict[int, int] = {}
+        for i, rank in enumerate(now):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank] |= _BIT[i]
+                else:
+                    buckets[rank] = _BIT[i]
+                    low[rank >> 8] |= _BIT[rank & 255]
+                    top |= _BIT[rank >> 8]
+        while top:
+            first = top & -top
+            word = first.bit_length() - 1
+            bits = low[word]
+            bit = bits & -bits
+            rank = (word << 8) + bit.bit_length() - 1
+            bucket = buckets.pop(rank)
+            low[word] = bits ^ bit
+            if bits == bit:
+                top ^= first
+            while bucket:
+                place = bucket & -bucket
+                bucket ^= place
+                i = place.bit_length() - 1
+                if now[i] != rank:
+                    continue  # stale
+                j = after[i]
+                now[i] = now[j] = -1
+                made[i] = rank
+                after[i] = k = after[j]
+                before[k] = i
+                least = rank
+                if k < n and (r := ranks(piece[i : after[k]])) is not None:
+                    now[i] = r
+                    if r in buckets:
+                        buckets[r] |= place
+                    else:
+                        buckets[r] = place
+                        low[r >> 8] |= _BIT[r & 255]
+                        top |= _BIT[r >> 8]
+                    least = r
+                h = before[i]
+                if h >= 0:
+                    now[h] = -1
+                    if (r := ranks(piece[h:k])) is not None:
+                        now[h] = r
+                        if r in buckets:
+                            buckets[r] |= _BIT[h]
+                        else:
+                            buckets[r] = _BIT[h]
+                            low[r >> 8] |= _BIT[r & 255]
+                            top |= _BIT[r >> 8]
+                        if r < least:
+                            least = r
+                if least < rank and bucket:
+                    buckets[rank] = bucket
+                    low[word] |= bit
+                    top |= first
+                    break
+        out, i = [], 0
+        while i < n:
+            out.append(made[i])
+            i = after[i]
+        return out
+
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.find(text) for i in self.merge(piece.encode())]
 
@@ -146,6 +228,18 @@ def _codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
+@functools.lru_cache(maxsize=1)
+def _lines(path: str, pattern: str) -> _Cache:
+    """What a pre-token adds to the digests: its ids as text, a blank before each, and their bytes."""
+    codec = _codec(path, pattern)
+    said = [f" {i}".encode() for i in range(max(codec.tokens, default=0) + 1)]
+
+    def make(piece):
+        ids = codec.merge(piece.encode())
+        return b"".join(map(said.__getitem__, ids)), codec.decode(ids)
+    return _Cache(make)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int> for every row."""
     import pyarrow as pa
@@ -180,19 +274,18 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     import pyarrow as pa
 
     def run(batches):
-        codec = _codec(path, pattern)
-        kept = _Cache(lambda piece: tuple(codec.merge(piece.encode())))
-        said = [str(i) for i in range(max(codec.tokens, default=0) + 1)]
+        codec, kept = _codec(path, pattern), _lines(path, pattern)
         for b in batches:
             n, ids_, decoded = [], [], []
             for t in b.column(1):
                 count, line, data, first = 0, hashlib.sha256(), hashlib.sha256(), True
                 pieces = codec.find(t.as_py() or "")
                 for lo in range(0, len(pieces), STRETCH):
-                    ids = list(itertools.chain.from_iterable(map(kept.__getitem__, pieces[lo : lo + STRETCH])))
-                    count += len(ids)
-                    line.update((("" if first else " ") + " ".join(map(said.__getitem__, ids))).encode())
-                    data.update(codec.decode(ids))
+                    lines, parts = zip(*map(kept.__getitem__, pieces[lo : lo + STRETCH]), strict=True)
+                    ids = b"".join(lines)
+                    count += ids.count(b" ")
+                    line.update(ids[1:] if first else ids)
+                    data.update(b"".join(parts))
                     first = False
                 n.append(count)
                 ids_.append(line.hexdigest())

@@ -233,3 +233,28 @@ def test_main_text_of_the_pages_is_their_article(spark):
         article = re.search("<article>(.*)</article>", given[r.page_id], re.S)[1]
         blocks = (" ".join(html.unescape(re.sub("</?b>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", article))
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_short_pre_tokens_and_lasting_digests(monkeypatch):
+    """Buckets over positions give what the queue of lists gives, also where a merge makes a pair of a lower rank; what a pre-token adds to the digests stays for the next task."""
+    import random
+
+    import public_tokenizers
+
+    from faithline.llm import bpe
+
+    draw = random.Random(3)
+    for _ in range(40):
+        tokens = [b"a", b"b", b"c", *{bytes(draw.choices(b"abc", k=draw.randint(2, 5))) for _ in range(40)}]
+        order = draw.sample(range(len(tokens)), len(tokens))
+        codec = bpe.Codec(dict(zip(tokens, order, strict=True)), public_tokenizers.PATTERN)
+        for n in (1, 2, 7, bpe.SHORT, bpe.SHORT + 1):
+            piece = bytes(draw.choices(b"abc", k=n))
+            got = codec.merge(piece)
+            with monkeypatch.context() as m:
+                m.setattr(bpe, "SHORT", -1)
+                assert got == codec.merge(piece) and codec.decode(got) == piece
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe._codec(*args).merge(" athinti".encode())
+    assert bpe._lines(*args)[" athinti"] == ("".join(f" {i}" for i in ids).encode(), b" athinti")
+    assert bpe._lines(*args) is bpe._lines(*args) and " athinti" in bpe._lines(*args)
