@@ -536,6 +536,54 @@ def test_lm_scores_by_brute_force():
     assert a > 0.5 * b
 
 
+def test_lm_score_looks_distinct_words_up_once(monkeypatch):
+    """Work on words goes by distinct ones, and blocks of word numbers give the symbols, contexts, steps and scores of the texts' pieces."""
+    import numpy as np
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *key):
+            Asked.n += 1
+            return super().get(*key)
+
+    rng = random.Random(7)
+    words = ["ba", "do", "ri", "x" * 40, "é" * 3, *(f"rare{i}" for i in range(60))]
+    texts = [None, "", "ba"] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 90))) for _ in range(120)] + [" ".join(rng.choice(words) for _ in range(300))]
+    code = a_code([t or "" for t in texts], 60)
+    code.ids = Asked(code.ids)
+    monkeypatch.setattr(lm_score, "SPELLED", 100)
+    monkeypatch.setattr(lm_score, "PIECE_WORDS", 64)
+    index = lm_score._index()
+    lists = [[index[w] for w in [lm_score.END_WORD, *(t or "").encode().lower().split()]][1:] + [0] for t in texts]
+    block = lm_score.Block(list(range(len(texts))), 3, np.array([len(x) for x in lists]), np.zeros(len(texts)), np.array(sum(lists, []), np.int32), b" ".join(list(index)[1:]))
+    block = lm_score.Block.of(block.packed())
+    assert block.ids.tolist() == sum(lists, []) and block.n_train == 3
+    runs = list(lm_score._runs(block.lexicon(code), block.ids, block.sizes))
+    assert Asked.n == len(index)
+    pieces = list(lm_score._batches(texts))
+    assert len(runs) == len(pieces) > 10
+    one, two = lm_score.Model(code, 16), lm_score.Model(code, 16)
+    for a, b in zip(runs, pieces, strict=True):
+        assert all((x == y).all() for x, y in zip(one.symbols(a), two.symbols(b), strict=True))
+        one.learn(a, 1.0)
+        two.learn(b, 1.0)
+    assert (one.counts == two.counts).all() and (one.weights == two.weights).all() and (one.seen == two.seen).all()
+    Asked.n = 0
+    list(two.decisions(list(lm_score._pieces(["ba do " * 500]))))
+    assert Asked.n == 3
+
+
+def test_lm_score_cuts_words_at_ascii_white_space(spark):
+    """Words are those of bytes.split for every character of one byte; blank texts, blocks of a few rows and null ids change nothing."""
+    texts = ["".join(f"a{chr(i)}B" for i in range(256)) + " ", " \t\n\x0b\x0c\r ", "", None, " ba  do ", "ba"]
+    rows = [(None if i == 5 else i, t) for i, t in enumerate(texts)]
+    r = {x.doc_id: x for x in lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: x.n_tokens for d, x in r.items()} == {d: len((t or "").encode().lower().split()) + 1 for d, t in rows}
+    blank = [r[d] for d in (1, 2, 3)]
+    assert len({(x.base_score, x.n_known, round(x.score, 6)) for x in blank if not x.held_out}) <= 1 and all(x.n_tokens == 1 and x.score < 0 for x in blank)
+
+
 def brute_components(rows, k, percent):
     sets = {}
     for d, t in rows:
