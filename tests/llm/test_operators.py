@@ -575,7 +575,7 @@ def test_lm_score_looks_distinct_words_up_once(monkeypatch):
 
 
 def test_lm_score_cuts_words_at_ascii_white_space(spark):
-    """Words are those of bytes.split for every character of one byte; blank texts, blocks of a few rows and null ids change nothing."""
+    """Words are those of bytes.split around every character up to U+00FF; blank texts are the end mark alone."""
     texts = ["".join(f"a{chr(i)}B" for i in range(256)) + " ", " \t\n\x0b\x0c\r ", "", None, " ba  do ", "ba"]
     rows = [(None if i == 5 else i, t) for i, t in enumerate(texts)]
     r = {x.doc_id: x for x in lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
